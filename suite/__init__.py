@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["views_checks", "scalars"]
+MODULES = ["views_checks", "scalars", "track_queries"]
 
 
 def load() -> None:
