@@ -1,10 +1,24 @@
-"""Polygon tables: sizes, centroids, representative points, edges."""
+"""Polygon tables: edges, sizes, centroids, representative points.
+
+``area_vertices`` is ``(area_id, part_no, ring_no, v, lng, lat)`` with ``v`` dense from 0 and ring 0 the outer one.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LNG, METERS_PER_DEG
+from ..functions.polygons import edge_distance_sql, edge_struct, inside_sql
+from ..plans.chunks import with_neighbors
+
+RING = ["area_id", "part_no", "ring_no"]
+# Entry samples per area, their offset, tolerance of the deepest point in metres.
+SAMPLE_POINTS, SAMPLE_OFFSET_DEG, SAMPLE_MAX_SHARE = 8, 0.0045, 0.5
+DEEPEST_TOLERANCE_M = 220.0
+
 
 def bbox(points: DataFrame) -> DataFrame:
     """One row with the bounding box; the unit square when there are no points."""
@@ -12,3 +26,133 @@ def bbox(points: DataFrame) -> DataFrame:
         F.coalesce(F.min("lng"), F.lit(0.0)).alias("min_lng"), F.coalesce(F.min("lat"), F.lit(0.0)).alias("min_lat"),
         F.coalesce(F.max("lng"), F.lit(1.0)).alias("max_lng"), F.coalesce(F.max("lat"), F.lit(1.0)).alias("max_lat"),
     )
+
+
+def ring_edges(area_vertices: DataFrame) -> DataFrame:
+    """Edges ``(area_id, part_no, ring_no, v, lng, lat, lng2, lat2)`` with the closing edge; zero-length ones dropped."""
+    near = with_neighbors(area_vertices, RING, "v", nxt={"lng2": "lng", "lat2": "lat"}).drop("_chunk")
+    near = near.select(*RING, "v", "lng", "lat", "lng2", "lat2")
+    first = area_vertices.where("v = 0").select(*RING, F.col("lng").alias("f_lng"), F.col("lat").alias("f_lat"))
+    last = near.where("lng2 IS NULL").drop("lng2", "lat2").join(first, RING)
+    closing = last.select(*RING, "v", "lng", "lat", F.col("f_lng").alias("lng2"), F.col("f_lat").alias("lat2"))
+    return near.where("lng2 IS NOT NULL").unionByName(closing).where("lng <> lng2 OR lat <> lat2")
+
+
+def area_km2(areas: DataFrame, area_vertices: DataFrame) -> DataFrame:
+    """Shoelace size: all outer rings minus holes, never negative; 0 without a usable ring."""
+    cross = F.sum(F.col("lng") * F.col("lat2") - F.col("lng2") * F.col("lat"))
+    rings = ring_edges(area_vertices).groupBy(*RING).agg(F.abs(cross / 2).alias("deg2"), F.count("*").alias("n"))
+    signed = F.when(F.col("ring_no") == 0, F.col("deg2")).otherwise(-F.col("deg2"))
+    size = rings.where("n >= 3").groupBy("area_id").agg(F.sum(signed).alias("deg2"))
+    km_per_deg2 = KM_PER_DEG_LNG * F.cos(F.radians("lat")) * KM_PER_DEG_LAT
+    out = areas.select("area_id", "lat").join(size, "area_id", "left")
+    return out.select("area_id", (F.greatest(F.lit(0.0), F.coalesce("deg2", F.lit(0.0))) * km_per_deg2).alias("km2"))
+
+
+def centroid(area_vertices: DataFrame) -> DataFrame:
+    """Mean of all vertices of all rings."""
+    return area_vertices.groupBy("area_id").agg(F.avg("lng").alias("lng"), F.avg("lat").alias("lat"))
+
+
+def largest_part(area_vertices: DataFrame) -> DataFrame:
+    """Part with the most outer vertices, the first one on a tie: ``(area_id, part_no, vertices)``."""
+    outer = area_vertices.where("ring_no = 0").groupBy("area_id", "part_no").agg(F.count("*").alias("vertices"))
+    best = F.max_by(F.struct("part_no", "vertices"), F.struct("vertices", -F.col("part_no")))
+    return outer.where("vertices >= 3").groupBy("area_id").agg(best.alias("b")).select("area_id", "b.*")
+
+
+def sample_ring(area_vertices: DataFrame, max_points: int) -> DataFrame:
+    """Every max(1, n / max)-th vertex of each ring, renumbered; rings left with fewer than three are dropped.
+
+    Holes keep at most half as many points as outer rings, but at least eight.
+    """
+    size = area_vertices.groupBy(*RING).agg(F.count("*").alias("n"))
+    allowed = F.when(F.col("ring_no") == 0, F.lit(max(1, max_points))).otherwise(F.lit(max(8, max_points // 2)))
+    size = size.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / allowed)))
+    size = size.where(F.ceil(F.col("n") / F.col("step")) >= 3)
+    out = area_vertices.join(size, RING).where(F.col("v") % F.col("step") == 0)
+    return out.withColumn("v", (F.col("v") / F.col("step")).cast("int")).select(*RING, "v", "lng", "lat")
+
+
+def entry_samples(areas: DataFrame, area_vertices: DataFrame) -> DataFrame:
+    """Up to eight ring vertices per area, pulled towards its inner point: ``(area_id, i, lng, lat)``."""
+    best = largest_part(area_vertices).select("area_id", "part_no", F.col("vertices").alias("n"))
+    outer = area_vertices.where("ring_no = 0").join(best, ["area_id", "part_no"])
+    m = F.least(F.lit(SAMPLE_POINTS), F.col("n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / m))
+    picked = outer.where((F.col("v") % step == 0) & (F.col("v") / step < m))
+    picked = picked.select("area_id", (F.col("v") / step).cast("int").alias("i"), F.col("lng").alias("v_lng"), F.col("lat").alias("v_lat"))
+    rows = areas.select("area_id", "lng", "lat").join(picked, "area_id", "left")
+    dx, dy = F.col("lng") - F.col("v_lng"), F.col("lat") - F.col("v_lat")
+    length = F.hypot(dx, dy)
+    pull = F.when(length < 1e-9, 0.0).otherwise(F.least(SAMPLE_OFFSET_DEG / length, F.lit(SAMPLE_MAX_SHARE)))
+    return rows.select(
+        "area_id", F.coalesce("i", F.lit(0)).alias("i"),
+        F.coalesce(F.col("v_lng") + dx * pull, F.col("lng")).alias("lng"), F.coalesce(F.col("v_lat") + dy * pull, F.col("lat")).alias("lat"),
+    )
+
+
+def cos_ref(areas: DataFrame):
+    """Cosine of the pool's mean latitude as a scalar column."""
+    return areas.agg(F.coalesce(F.cos(F.radians(F.avg("lat"))), F.lit(1.0))).scalar()
+
+
+def projected_edges(area_vertices: DataFrame, cos) -> DataFrame:
+    """``(area_id, e)`` with one projected edge struct per row."""
+    k = F.col("_cos")
+    rows = ring_edges(area_vertices).withColumn("_cos", cos)
+    edge = edge_struct(F.col("lng") * k, F.col("lat"), F.col("lng2") * k, F.col("lat2"))
+    return rows.select("area_id", edge.alias("e"))
+
+
+def edge_arrays(area_vertices: DataFrame, cos) -> DataFrame:
+    """Per area its edges as one array and the projected bounding box."""
+    return projected_edges(area_vertices, cos).groupBy("area_id").agg(
+        F.collect_list("e").alias("edges"), F.min("e.ax").alias("x0"), F.min("e.ay").alias("y0"),
+        F.max("e.ax").alias("x1"), F.max("e.ay").alias("y1"),
+    )
+
+
+def with_deepest(geoms: DataFrame, tolerance_deg: float, rounds: int = 10, name: str = "deepest", only=None) -> DataFrame:
+    """Add ``struct(d, x, y)``: a point whose distance to the boundary is within the tolerance of the largest.
+
+    Starts from the box centre and a grid; every round splits the cells that could still hold a deeper point.
+    All inside one row, without a join. ``only`` limits the work to rows where it holds.
+    """
+    grid = 6
+    half = "(greatest(x1 - x0, y1 - y0) / {0} / 2)".format(grid)
+
+    mid = f"named_struct('x', (x0 + x1) / 2, 'y', (y0 + y1) / 2, 'h', {half} * {grid})"
+    cells = (
+        f"array_append(transform(sequence(0, {grid * grid - 1}), i -> named_struct('x', (x0 + x1) / 2 + {half} * (2 * (i % {grid}) - {grid - 1}), "
+        f"'y', (y0 + y1) / 2 + {half} * (2 * (i div {grid}) - {grid - 1}), 'h', {half})), {mid})"
+    )
+    d = edge_distance_sql("edges", "c.x", "c.y")
+    rate = f"c -> named_struct('d', CASE WHEN {inside_sql('edges', 'c.x', 'c.y')} THEN {d} ELSE -{d} END, 'x', c.x, 'y', c.y, 'h', c.h)"
+    guard = "true" if only is None else only
+    empty = "CAST(array() AS array<struct<d:double,x:double,y:double,h:double>>)"
+    out = geoms.withColumn("_cells", F.expr(f"CASE WHEN {guard} THEN transform({cells}, {rate}) ELSE {empty} END"))
+    out = out.withColumn("_best", F.expr("array_max(_cells)"))
+    quarter = "named_struct('x', c.x + c.h / 2 * {0}, 'y', c.y + c.h / 2 * {1}, 'h', c.h / 2)"
+    split = "array(" + ", ".join(quarter.format(a, b) for a in (-1, 1) for b in (-1, 1)) + ")"
+    for _ in range(rounds):
+        open_cells = f"filter(_cells, c -> c.d + c.h * {math.sqrt(2)}D > _best.d + {tolerance_deg}D)"
+        out = out.withColumn("_cells", F.expr(f"transform(flatten(transform({open_cells}, c -> {split})), {rate})"))
+        out = out.withColumn("_best", F.expr("greatest(_best, coalesce(array_max(_cells), _best))"))
+    return out.withColumn(name, F.expr("named_struct('d', _best.d, 'x', _best.x, 'y', _best.y)")).drop("_cells", "_best")
+
+
+def deepest_points(areas: DataFrame, area_vertices: DataFrame, tolerance_m: float = DEEPEST_TOLERANCE_M) -> DataFrame:
+    """Centre of (nearly) the largest inscribed circle per area: ``(area_id, lng, lat, depth_m)``.
+
+    Areas without usable rings fall back to their given point with depth 0.
+    """
+    cos = cos_ref(areas)
+    rows = with_deepest(edge_arrays(area_vertices, cos), tolerance_m / METERS_PER_DEG).withColumn("_cos", cos)
+    found = rows.select("area_id", (F.col("deepest.x") / F.col("_cos")).alias("d_lng"), F.col("deepest.y").alias("d_lat"), F.col("deepest.d").alias("d"))
+    out = areas.select("area_id", "lng", "lat").join(found, "area_id", "left")
+    good = F.col("d") > 0
+    return out.select(
+        "area_id", F.when(good, F.col("d_lng")).otherwise(F.col("lng")).alias("lng"), F.when(good, F.col("d_lat")).otherwise(F.col("lat")).alias("lat"),
+        F.when(good, F.col("d") * METERS_PER_DEG).otherwise(0.0).alias("depth_m"),
+    )
