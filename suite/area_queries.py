@@ -64,7 +64,7 @@ BASE = f"WITH {SQ}"
 
 
 def idx(v):
-    return coverage.area_index(v.areas, v.area_vertices)
+    return v.once("area_index", lambda: coverage.area_index(v.areas, v.area_vertices).stored())
 
 
 @query("area_km2", f"{BASE} SELECT area_id, {r('(4e0*hy*hy-CASE WHEN holed THEN 4e0*gy*gy ELSE 0e0 END)*111.320e0*cos(radians(lat))*110.574e0', 3)} AS km2 FROM sq")
@@ -159,8 +159,8 @@ ENTRY = f"""{BASE}, {PTS}, md AS (SELECT track_id, area_id, min(seq) AS s FROM p
  f AS (SELECT mc.track_id, mc.area_id, coalesce(md.s, mc.s) AS s, CASE WHEN md.s IS NULL THEN 'credit' ELSE 'deep' END AS level FROM mc LEFT JOIN md USING (track_id, area_id)),
  w AS (SELECT f.track_id, f.s, f.level, sq.* REPLACE (CASE WHEN f.level = 'deep' THEN deep_d ELSE credit_d END AS full_d), i.px AS qx, i.py AS qy, o.px AS x0, o.py AS y0, i.px-o.px AS vx, i.py-o.py AS vy, n.px-i.px AS fx, n.py-i.py AS fy
   FROM f JOIN sq USING (area_id) JOIN pts i ON i.track_id = f.track_id AND i.seq = s LEFT JOIN pts o ON o.track_id = f.track_id AND o.seq = s-1 LEFT JOIN pts n ON n.track_id = f.track_id AND n.seq = s+1),
- {cross_cte('cw', 'w', 'full')}, at AS (SELECT *, CASE WHEN x0 IS NULL THEN qx ELSE x0+t*vx END AS ex, CASE WHEN y0 IS NULL THEN qy ELSE y0+t*vy END AS ey, coalesce(vx, fx) AS dx, coalesce(vy, fy) AS dy FROM cw),
- ah AS (SELECT *, ex+dx/sqrt(dx*dx+dy*dy)*(20e0/111320e0) AS ax, ey+dy/sqrt(dx*dx+dy*dy)*(20e0/111320e0) AS ay FROM at)"""
+ {cross_cte('cw', 'w', 'full')}, ent AS (SELECT *, CASE WHEN x0 IS NULL THEN qx ELSE x0+t*vx END AS ex, CASE WHEN y0 IS NULL THEN qy ELSE y0+t*vy END AS ey, coalesce(vx, fx) AS dx, coalesce(vy, fy) AS dy FROM cw),
+ ah AS (SELECT *, ex+dx/sqrt(dx*dx+dy*dy)*(20e0/111320e0) AS ax, ey+dy/sqrt(dx*dx+dy*dy)*(20e0/111320e0) AS ay FROM ent)"""
 _MOVE = f"level = 'credit' AND {inside('credit_d', 'ax', 'ay')}"
 
 

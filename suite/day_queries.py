@@ -195,10 +195,10 @@ def _(v):
 
 
 @query("enrich_elevation", f"""WITH {PROFILE}, {FLAT}, port AS (SELECT g.*, x.cum_m AS am, x.ele AS az, y.cum_m AS bm, y.ele AS bz FROM flats g JOIN prof x ON x.track_id = g.track_id AND x.i = start_idx JOIN prof y ON y.track_id = g.track_id AND y.i = end_idx)
- SELECT p.track_id, p.i AS seq, {r('CASE WHEN start_idx IS NULL THEN ele ELSE az+(cum_m-am)/(bm-am)*(bz-az) END', 5)} AS ele FROM prof p LEFT JOIN port ON port.track_id = p.track_id AND p.i > start_idx AND p.i < end_idx""")
+ SELECT p.track_id, p.i AS seq, {r('CASE WHEN start_idx IS NULL THEN ele ELSE az+(cum_m-am)/(bm-am)*(bz-az) END', 7)} AS ele FROM prof p LEFT JOIN port ON port.track_id = p.track_id AND p.i > start_idx AND p.i < end_idx""")
 def _(v):
     d = elevation.enrich_elevation(v.track_points, v.dem_cells, stats.flat_spans(matched(v)))
-    return rnd(d.select("track_id", "seq", "ele"), "ele", digits=5)
+    return rnd(d.select("track_id", "seq", "ele"), "ele", digits=7)
 
 
 SLICED = f"""WITH {SPANS}, c AS (SELECT track_id, seq, cum_m FROM {CUM} q), o AS (SELECT s.track_id, b.day, dim, greatest(s.start_idx, b.start_idx) AS s, least(s.end_idx, b.end_idx) AS e, b.start_idx AS w0, code

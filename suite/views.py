@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.plans.chunks import dense_rank_rows, with_neighbors
+from trackspark.plans.lineage import materialize
 
 TABLES = ["customer", "supplier", "part", "orders", "events", "pages"]
 NUM = "regexp_extract(props,'([0-9]+)',1)"
@@ -102,12 +103,29 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Views:
-    """Lazy DataFrames of one table folder."""
+    """DataFrames of one table folder.
+
+    The track, area and way-point tables that the operators take as input are derived once per Spark application
+    and kept as parquet tables; everything else is lazy.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def once(self, name: str, make):
+        """An input built once per Spark application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = make()
+        return _STORED[key]
+
+    def stored(self, name: str, df) -> DataFrame:
+        return self.once(name, lambda: materialize(df(), name))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -130,6 +148,9 @@ class Views:
 
     @cached_property
     def track_points(self):
+        return self.stored("track_points", self._track_points)
+
+    def _track_points(self):
         ranked = dense_rank_rows(self.events, "user_id", "event_id", "seq")
         return ranked.withColumn("n", self._count(self.events)).selectExpr(
             "user_id AS track_id", "seq", "event_id", "ts", f"{LNG.format(n='n')} AS lng", f"{LAT} AS lat",
@@ -148,6 +169,9 @@ class Views:
 
     @cached_property
     def areas(self):
+        return self.stored("areas", self._areas)
+
+    def _areas(self):
         shift = "CASE WHEN holed THEN 0.65e0*p/2 ELSE 0e0 END"
         land = self.grid.selectExpr(
             "id AS area_id", "concat('A', CAST(id AS STRING)) AS name", f"c_lng + {shift} AS lng", f"c_lat + {shift} AS lat",
@@ -161,6 +185,9 @@ class Views:
 
     @cached_property
     def area_vertices(self):
+        return self.stored("area_vertices", self._area_vertices)
+
+    def _area_vertices(self):
         corners = F.expr("array(struct(0 AS v, -1 AS sx, -1 AS sy), struct(1 AS v, 1 AS sx, -1 AS sy), struct(2 AS v, 1 AS sx, 1 AS sy), struct(3 AS v, -1 AS sx, 1 AS sy))")
         rings = F.expr("CASE WHEN holed THEN array(0, 1) ELSE array(0) END")
         rows = self.areas.withColumn("ring_no", F.explode(rings)).withColumn("c", F.explode(corners))
@@ -181,11 +208,17 @@ class Views:
 
     @cached_property
     def waypoints(self):
+        return self.stored("waypoints", self._waypoints)
+
+    def _waypoints(self):
         marked = self.track_points.where("event_type = 'signup'")
         return dense_rank_rows(marked, "track_id", "seq", "pos").selectExpr("track_id AS plan_id", "pos", "seq", "lng", "lat", "k")
 
     @cached_property
     def legs(self):
+        return self.stored("legs", self._legs)
+
+    def _legs(self):
         pairs = with_neighbors(self.waypoints, "plan_id", "pos", prev={"a_lng": "lng", "a_lat": "lat"}).where("a_lng IS NOT NULL")
         ok = "(plan_id + pos) % 13 <> 0 AND (plan_id + pos) % 17 <> 0"
         return pairs.selectExpr(

@@ -36,40 +36,39 @@ def edge_distance_sql(edges: str, px: str, py: str) -> str:
 def blocked_sql(edges: str, px: str, py: str, vx: str, vy: str, d: str) -> str:
     """Per nearby edge the one interval of t in which p + t v is nearer than ``d`` to it: ``array<struct<lo, hi>>``.
 
-    The zone around an edge is a slab and two discs; it is convex, so a line meets it in a single interval.
+    The zone around an edge is a slab and two discs; it is convex, so a line meets it in a single interval. Pass
+    plain column names: they are read many times per edge.
     """
     tiny = "1e-300D"
     local = (
         f"named_struct('a', ({px} - e.ax) * e.ux + ({py} - e.ay) * e.uy, 'va', {vx} * e.ux + {vy} * e.uy, "
-        f"'b', ({py} - e.ay) * e.ux - ({px} - e.ax) * e.uy, 'vb', {vy} * e.ux - {vx} * e.uy, 'len', e.len)"
+        f"'b', ({py} - e.ay) * e.ux - ({px} - e.ax) * e.uy, 'vb', {vy} * e.ux - {vx} * e.uy, 'len', e.len, "
+        f"'s', {vx} * {vx} + {vy} * {vy})"
+    )
+    near = (
+        f"(least(abs(s.b), abs(s.b + s.vb)) < {d} OR s.b * (s.b + s.vb) <= 0D) "
+        f"AND least(s.a, s.a + s.va) < s.len + {d} AND greatest(s.a, s.a + s.va) > -{d}"
     )
-    near = f"(least(abs(s.b), abs(s.b + s.vb)) < {d} OR s.b * (s.b + s.vb) <= 0) AND least(s.a, s.a + s.va) < s.len + {d} AND greatest(s.a, s.a + s.va) > -({d})"
-    speed = f"({vx} * {vx} + {vy} * {vy})"
 
-    def disc(shift: str) -> tuple[str, str, str]:
+    def disc(shift: str) -> tuple[str, str]:
         a = f"(s.a - {shift})"
-        mid = f"(-({a} * s.va + s.b * s.vb) / {speed})"
-        off = f"pow({a} * s.vb - s.b * s.va, 2) / {speed}"
-        half = f"sqrt(({d} * {d} - {off}) / {speed})"
-        hit = f"{off} < {d} * {d}"
-        return hit, f"{mid} - {half}", f"{mid} + {half}"
-
-    def line(v: str, lo: str, hi: str, start: str) -> tuple[str, str]:
-        safe = f"(CASE WHEN abs({v}) < {tiny} THEN {tiny} ELSE {v} END)"
-        p, q = f"(({lo}) - {start}) / {safe}", f"(({hi}) - {start}) / {safe}"
-        return f"least({p}, {q})", f"greatest({p}, {q})"
-
-    b_lo, b_hi = line("s.vb", f"-({d})", d, "s.b")
-    a_lo, a_hi = line("s.va", "0D", "s.len", "s.a")
-    parts = [disc("0D"), disc("s.len")]
-    body_lo, body_hi = f"greatest({b_lo}, {a_lo})", f"least({b_hi}, {a_hi})"
-    parts.append((f"{body_lo} < {body_hi}", body_lo, body_hi))
-    lows = ", ".join(f"CASE WHEN {h} THEN {lo} END" for h, lo, _ in parts)
-    highs = ", ".join(f"CASE WHEN {h} THEN {hi} END" for h, _, hi in parts)
-    zone = f"named_struct('lo', least({lows}), 'hi', greatest({highs}))"
-    return (
-        f"filter(transform(filter(transform({edges}, e -> {local}), s -> {near}), s -> {zone}), z -> z.lo IS NOT NULL)"
+        return f"-({a} * s.va + s.b * s.vb) / s.s", f"({d} * {d} - pow({a} * s.vb - s.b * s.va, 2) / s.s) / s.s"
+
+    def safe(v: str) -> str:
+        return f"(CASE WHEN abs({v}) < {tiny} THEN {tiny} ELSE {v} END)"
+
+    (m0, h0), (m1, h1) = disc("0D"), disc("s.len")
+    roots = (
+        f"named_struct('m0', {m0}, 'h0', {h0}, 'm1', {m1}, 'h1', {h1}, 'p', (-{d} - s.b) / {safe('s.vb')}, 'q', ({d} - s.b) / {safe('s.vb')}, "
+        f"'u', -s.a / {safe('s.va')}, 'w', (s.len - s.a) / {safe('s.va')})"
+    )
+    body_lo, body_hi = "greatest(least(k.p, k.q), least(k.u, k.w))", "least(greatest(k.p, k.q), greatest(k.u, k.w))"
+    zone = (
+        f"named_struct('lo', least(CASE WHEN k.h0 > 0D THEN k.m0 - sqrt(k.h0) END, CASE WHEN k.h1 > 0D THEN k.m1 - sqrt(k.h1) END, CASE WHEN {body_lo} < {body_hi} THEN {body_lo} END), "
+        f"'hi', greatest(CASE WHEN k.h0 > 0D THEN k.m0 + sqrt(k.h0) END, CASE WHEN k.h1 > 0D THEN k.m1 + sqrt(k.h1) END, CASE WHEN {body_lo} < {body_hi} THEN {body_hi} END))"
     )
+    kept = f"filter(transform({edges}, e -> {local}), s -> {near})"
+    return f"filter(transform(transform({kept}, s -> {roots}), k -> {zone}), z -> z.lo IS NOT NULL)"
 
 
 def gaps_sql(zones: str, t0: str, t1: str) -> str:

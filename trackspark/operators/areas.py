@@ -28,25 +28,38 @@ def bbox(points: DataFrame) -> DataFrame:
     )
 
 
-def ring_edges(area_vertices: DataFrame) -> DataFrame:
-    """Edges ``(area_id, part_no, ring_no, v, lng, lat, lng2, lat2)`` with the closing edge; zero-length ones dropped."""
-    near = with_neighbors(area_vertices, RING, "v", nxt={"lng2": "lng", "lat2": "lat"}).drop("_chunk")
-    near = near.select(*RING, "v", "lng", "lat", "lng2", "lat2")
-    first = area_vertices.where("v = 0").select(*RING, F.col("lng").alias("f_lng"), F.col("lat").alias("f_lat"))
-    last = near.where("lng2 IS NULL").drop("lng2", "lat2").join(first, RING)
-    closing = last.select(*RING, "v", "lng", "lat", F.col("f_lng").alias("lng2"), F.col("f_lat").alias("lat2"))
-    return near.where("lng2 IS NOT NULL").unionByName(closing).where("lng <> lng2 OR lat <> lat2")
+def rings(area_vertices: DataFrame) -> DataFrame:
+    """One row per ring: its edges ``array<struct<lng, lat, lng2, lat2>>`` with the closing one, and its size in square degrees.
+
+    Zero-length edges are dropped, so rings may be given open or closed.
+    """
+    near = with_neighbors(area_vertices, RING, "v", prev={"p_lng": "lng", "p_lat": "lat"})
+    edge = F.struct(F.col("p_lng").alias("lng"), F.col("p_lat").alias("lat"), F.col("lng").alias("lng2"), F.col("lat").alias("lat2"))
+    at = F.struct("lng", "lat")
+    per_ring = near.groupBy(*RING).agg(
+        F.collect_list(F.when(F.col("p_lng").isNotNull(), edge)).alias("e"), F.min_by(at, "v").alias("a"), F.max_by(at, "v").alias("b"),
+        F.count("*").alias("n"), F.sum(F.col("p_lng") * F.col("lat") - F.col("lng") * F.col("p_lat")).alias("cross"),
+    )
+    closing = F.struct(F.col("b.lng").alias("lng"), F.col("b.lat").alias("lat"), F.col("a.lng").alias("lng2"), F.col("a.lat").alias("lat2"))
+    edges = F.filter(F.array_append("e", closing), lambda e: (e["lng"] != e["lng2"]) | (e["lat"] != e["lat2"]))
+    turn = F.coalesce("cross", F.lit(0.0)) + F.col("b.lng") * F.col("a.lat") - F.col("a.lng") * F.col("b.lat")
+    return per_ring.select(*RING, edges.alias("edges"), "n", F.abs(turn / 2).alias("deg2"))
+
+
+def shapes(area_vertices: DataFrame) -> DataFrame:
+    """One row per area: all edges and the size in square degrees, holes taken off."""
+    size = F.when(F.col("n") < 3, 0.0).when(F.col("ring_no") == 0, F.col("deg2")).otherwise(-F.col("deg2"))
+    return rings(area_vertices).groupBy("area_id").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.sum(size).alias("deg2"))
+
+
+def _km2(deg2, lat):
+    return F.greatest(F.lit(0.0), F.coalesce(deg2, F.lit(0.0))) * KM_PER_DEG_LNG * F.cos(F.radians(lat)) * KM_PER_DEG_LAT
 
 
 def area_km2(areas: DataFrame, area_vertices: DataFrame) -> DataFrame:
     """Shoelace size: all outer rings minus holes, never negative; 0 without a usable ring."""
-    cross = F.sum(F.col("lng") * F.col("lat2") - F.col("lng2") * F.col("lat"))
-    rings = ring_edges(area_vertices).groupBy(*RING).agg(F.abs(cross / 2).alias("deg2"), F.count("*").alias("n"))
-    signed = F.when(F.col("ring_no") == 0, F.col("deg2")).otherwise(-F.col("deg2"))
-    size = rings.where("n >= 3").groupBy("area_id").agg(F.sum(signed).alias("deg2"))
-    km_per_deg2 = KM_PER_DEG_LNG * F.cos(F.radians("lat")) * KM_PER_DEG_LAT
-    out = areas.select("area_id", "lat").join(size, "area_id", "left")
-    return out.select("area_id", (F.greatest(F.lit(0.0), F.coalesce("deg2", F.lit(0.0))) * km_per_deg2).alias("km2"))
+    out = areas.select("area_id", "lat").join(shapes(area_vertices).select("area_id", "deg2"), "area_id", "left")
+    return out.select("area_id", _km2(F.col("deg2"), F.col("lat")).alias("km2"))
 
 
 def centroid(area_vertices: DataFrame) -> DataFrame:
@@ -97,20 +110,14 @@ def cos_ref(areas: DataFrame):
     return areas.agg(F.coalesce(F.cos(F.radians(F.avg("lat"))), F.lit(1.0))).scalar()
 
 
-def projected_edges(area_vertices: DataFrame, cos) -> DataFrame:
-    """``(area_id, e)`` with one projected edge struct per row."""
+def geometry(areas: DataFrame, area_vertices: DataFrame, cos) -> DataFrame:
+    """Areas with their projected edge array, bounding box and ``km2``; areas without edges are left out."""
     k = F.col("_cos")
-    rows = ring_edges(area_vertices).withColumn("_cos", cos)
-    edge = edge_struct(F.col("lng") * k, F.col("lat"), F.col("lng2") * k, F.col("lat2"))
-    return rows.select("area_id", edge.alias("e"))
-
-
-def edge_arrays(area_vertices: DataFrame, cos) -> DataFrame:
-    """Per area its edges as one array and the projected bounding box."""
-    return projected_edges(area_vertices, cos).groupBy("area_id").agg(
-        F.collect_list("e").alias("edges"), F.min("e.ax").alias("x0"), F.min("e.ay").alias("y0"),
-        F.max("e.ax").alias("x1"), F.max("e.ay").alias("y1"),
-    )
+    out = areas.join(shapes(area_vertices), "area_id").where(F.size("edges") > 0).withColumn("_cos", cos)
+    edges = F.transform("edges", lambda e: edge_struct(e["lng"] * k, e["lat"], e["lng2"] * k, e["lat2"]))
+    out = out.withColumns({"km2": _km2(F.col("deg2"), F.col("lat")), "edges": edges}).drop("deg2")
+    box = {"x0": (F.array_min, "ax"), "y0": (F.array_min, "ay"), "x1": (F.array_max, "ax"), "y1": (F.array_max, "ay")}
+    return out.withColumns({n: f(F.col("edges")[c]) for n, (f, c) in box.items()})
 
 
 def with_deepest(geoms: DataFrame, tolerance_deg: float, rounds: int = 10, name: str = "deepest", only=None) -> DataFrame:
@@ -130,16 +137,14 @@ def with_deepest(geoms: DataFrame, tolerance_deg: float, rounds: int = 10, name:
     d = edge_distance_sql("edges", "c.x", "c.y")
     rate = f"c -> named_struct('d', CASE WHEN {inside_sql('edges', 'c.x', 'c.y')} THEN {d} ELSE -{d} END, 'x', c.x, 'y', c.y, 'h', c.h)"
     guard = "true" if only is None else only
-    empty = "CAST(array() AS array<struct<d:double,x:double,y:double,h:double>>)"
-    out = geoms.withColumn("_cells", F.expr(f"CASE WHEN {guard} THEN transform({cells}, {rate}) ELSE {empty} END"))
-    out = out.withColumn("_best", F.expr("array_max(_cells)"))
     quarter = "named_struct('x', c.x + c.h / 2 * {0}, 'y', c.y + c.h / 2 * {1}, 'h', c.h / 2)"
     split = "array(" + ", ".join(quarter.format(a, b) for a in (-1, 1) for b in (-1, 1)) + ")"
-    for _ in range(rounds):
-        open_cells = f"filter(_cells, c -> c.d + c.h * {math.sqrt(2)}D > _best.d + {tolerance_deg}D)"
-        out = out.withColumn("_cells", F.expr(f"transform(flatten(transform({open_cells}, c -> {split})), {rate})"))
-        out = out.withColumn("_best", F.expr("greatest(_best, coalesce(array_max(_cells), _best))"))
-    return out.withColumn(name, F.expr("named_struct('d', _best.d, 'x', _best.x, 'y', _best.y)")).drop("_cells", "_best")
+    open_cells = f"filter(acc.cells, c -> c.d + c.h * {math.sqrt(2)}D > acc.best.d + {tolerance_deg}D)"
+    finer = f"transform(flatten(transform({open_cells}, c -> {split})), {rate})"
+    step = f"transform(array({finer}), f -> named_struct('cells', f, 'best', greatest(acc.best, coalesce(array_max(f), acc.best))))[0]"
+    start = f"transform(array(transform({cells}, {rate})), f -> named_struct('cells', f, 'best', array_max(f)))[0]"
+    best = f"aggregate(sequence(1, {rounds}), {start}, (acc, i) -> {step}, acc -> acc.best)"
+    return geoms.withColumn(name, F.expr(f"CASE WHEN {guard} THEN {best} END"))
 
 
 def deepest_points(areas: DataFrame, area_vertices: DataFrame, tolerance_m: float = DEEPEST_TOLERANCE_M) -> DataFrame:
@@ -148,7 +153,7 @@ def deepest_points(areas: DataFrame, area_vertices: DataFrame, tolerance_m: floa
     Areas without usable rings fall back to their given point with depth 0.
     """
     cos = cos_ref(areas)
-    rows = with_deepest(edge_arrays(area_vertices, cos), tolerance_m / METERS_PER_DEG).withColumn("_cos", cos)
+    rows = with_deepest(geometry(areas, area_vertices, cos), tolerance_m / METERS_PER_DEG)
     found = rows.select("area_id", (F.col("deepest.x") / F.col("_cos")).alias("d_lng"), F.col("deepest.y").alias("d_lat"), F.col("deepest.d").alias("d"))
     out = areas.select("area_id", "lng", "lat").join(found, "area_id", "left")
     good = F.col("d") > 0

@@ -6,16 +6,17 @@ edges of the area that lie in that row of cells. Depth is measured in projected
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METERS_PER_DEG, haversine_km
 from ..functions.polygons import TOUCH, blocked_sql, edge_distance_sql, gaps_sql, inside_sql
-from ..plans.chunks import islands, top_k, with_neighbors, with_previous
+from ..plans.chunks import top_k, with_neighbors, with_previous
+from ..plans.lineage import materialize
 from ..plans.ranges import points_in_ranges
-from .areas import area_km2, cos_ref, edge_arrays, with_deepest
+from .areas import cos_ref, geometry, with_deepest
 from .tracks import cum_distance
 
 # Fixed values.
@@ -46,6 +47,10 @@ class AreaIndex:
     cos: Column
     cell: float
 
+    def stored(self) -> "AreaIndex":
+        """The same index read back from written tables, for pools that several queries use."""
+        return replace(self, geoms=materialize(self.geoms, "geoms"), cells=materialize(self.cells, "cells"))
+
 
 def area_index(areas, area_vertices, depths_m=AREA_DEPTHS_M, cell: float = CELL_DEG, pad_deg: float = 0.0) -> AreaIndex:
     """Build the index. ``areas`` may carry ``is_context``; such areas are never credited or found."""
@@ -53,10 +58,8 @@ def area_index(areas, area_vertices, depths_m=AREA_DEPTHS_M, cell: float = CELL_
     if "is_context" not in areas.columns:
         areas = areas.withColumn("is_context", F.lit(False))
     cos = cos_ref(areas)
-    km2 = area_km2(areas, area_vertices)
-    rep = areas.select("area_id", "is_context", F.col("lng").alias("_lng"), F.col("lat").alias("_lat"))
-    geoms = edge_arrays(area_vertices, cos).join(rep, "area_id").join(km2, "area_id").withColumn("_cos", cos)
-    geoms = geoms.withColumns({"_rx": F.col("_lng") * F.col("_cos"), "_ry": F.col("_lat")})
+    geoms = geometry(areas.select("area_id", "is_context", "lng", "lat"), area_vertices, cos)
+    geoms = geoms.withColumns({"_rx": F.col("lng") * F.col("_cos"), "_ry": F.col("lat")})
     geoms = geoms.withColumns({"_rd": F.expr(edge_distance_sql("edges", "_rx", "_ry")), "_in": F.expr(inside_sql("edges", "_rx", "_ry"))})
     # The deepest point is only searched where the given point does not already prove the core non-empty.
     geoms = with_deepest(geoms, deep / 8, name="_deepest", only=f"NOT (_in AND _rd >= {deep}D)")
@@ -67,15 +70,15 @@ def area_index(areas, area_vertices, depths_m=AREA_DEPTHS_M, cell: float = CELL_
     geoms = geoms.select("area_id", "is_context", "km2", "credit_d", "deep_d", "x0", "y0", "x1", "y1", "edges")
 
     reach = max(credit, deep, pad_deg) + TOUCH
-    spread = geoms.select("area_id", "y0", "y1", F.explode("edges").alias("e"))
+    box = [c for c in geoms.columns if c not in ("area_id", "edges")]
+    spread = geoms.select("area_id", *box, F.explode("edges").alias("e"))
     low, high = F.least("e.ay", "e.by") - reach, F.greatest("e.ay", "e.by") + reach
     rows = F.sequence(
         F.floor(F.greatest(low, F.col("y0") - pad_deg) / cell), F.floor(F.least(high, F.col("y1") + pad_deg) / cell)
     )
-    bands = spread.withColumn("cy", F.explode(rows)).groupBy("area_id", "cy").agg(F.collect_list("e").alias("edges"))
-    box = geoms.drop("edges")
+    bands = spread.withColumn("cy", F.explode(rows)).groupBy("area_id", "cy").agg(F.collect_list("e").alias("edges"), *[F.first(c).alias(c) for c in box])
     cols = F.sequence(F.floor((F.col("x0") - pad_deg) / cell), F.floor((F.col("x1") + pad_deg) / cell))
-    cells = bands.join(box, "area_id").withColumn("cx", F.explode(cols))
+    cells = bands.withColumn("cx", F.explode(cols))
     return AreaIndex(geoms, cells, cos, cell)
 
 
@@ -146,7 +149,13 @@ def area_coverage(points: DataFrame, idx: AreaIndex, mode: str = "credit") -> Da
     d = CORES[mode]
     seg = track_segments(points, idx)
     pairs = cell_pieces(seg.where("NOT lone").drop("lone", "lng", "lat"), idx.cell).join(idx.cells.where("NOT is_context"), ["cx", "cy"])
-    pairs = pairs.withColumn("_z", F.expr(blocked_sql("edges", "x", "y", "vx", "vy", f"greatest({d}, {TOUCH}D)")))
+    # The core lies inside the area's box shrunk by the depth; most pairs of a cell end here.
+    pairs = pairs.withColumn("_d", F.expr(d)).where(
+        "greatest(x + t0 * vx, x + t1 * vx) >= x0 + _d AND least(x + t0 * vx, x + t1 * vx) <= x1 - _d AND "
+        "greatest(y + t0 * vy, y + t1 * vy) >= y0 + _d AND least(y + t0 * vy, y + t1 * vy) <= y1 - _d"
+    )
+    pairs = pairs.withColumn("_r", F.greatest(F.col("_d"), F.lit(TOUCH)))
+    pairs = pairs.withColumn("_z", F.expr(blocked_sql("edges", "x", "y", "vx", "vy", "_r")))
     pairs = pairs.withColumn("_g", F.expr(gaps_sql("_z", "t0", "t1")))
     mid = "(g.lo + g.hi) / 2"
     free = f"exists(_g, g -> {inside_sql('edges', f'(x + {mid} * vx)', f'(y + {mid} * vy)')})"
@@ -158,11 +167,16 @@ def area_coverage(points: DataFrame, idx: AreaIndex, mode: str = "credit") -> Da
     return hit.distinct()
 
 
-def _crossing(edges: str, fx: str, fy: str, tx: str, ty: str, d: str) -> Column:
-    """On the way from outside (f) to inside (t) of a core, where it is last entered, as struct(x, y)."""
-    zones = blocked_sql(edges, fx, fy, f"({tx} - {fx})", f"({ty} - {fy})", f"greatest({d}, {TOUCH}D)")
-    t = f"coalesce(array_max(transform(filter({zones}, z -> z.lo < 1D AND z.hi > 0D), z -> least(1D, z.hi))), 0D)"
-    return F.expr(f"transform(array({t}), t -> named_struct('x', {fx} + t * ({tx} - {fx}), 'y', {fy} + t * ({ty} - {fy})))[0]")
+def _with_crossing(rows: DataFrame, name: str, f: tuple[str, str], t: tuple[str, str], d: str) -> DataFrame:
+    """Add ``name``: on the way from outside (f) to inside (t) of a core, where it is last entered, as struct(x, y).
+
+    Without an outside point it is the inside point itself.
+    """
+    tmp = {"_fx": F.col(f[0]), "_fy": F.col(f[1]), "_vx": F.col(t[0]) - F.col(f[0]), "_vy": F.col(t[1]) - F.col(f[1]), "_r": F.greatest(F.expr(d), F.lit(TOUCH))}
+    zones = blocked_sql("edges", "_fx", "_fy", "_vx", "_vy", "_r")
+    last = f"coalesce(array_max(transform(filter({zones}, z -> z.lo < 1D AND z.hi > 0D), z -> least(1D, z.hi))), 0D)"
+    at = f"CASE WHEN _fx IS NULL THEN named_struct('x', {t[0]}, 'y', {t[1]}) ELSE transform(array({last}), t -> named_struct('x', _fx + t * _vx, 'y', _fy + t * _vy))[0] END"
+    return rows.withColumns(tmp).withColumn(name, F.expr(at)).drop(*tmp)
 
 
 def _around(points: DataFrame, idx: AreaIndex) -> DataFrame:
@@ -181,27 +195,31 @@ def passages(points: DataFrame, idx: AreaIndex) -> DataFrame:
     """Runs of vertices in the deep core: ``(track_id, area_id, n, first_seq, entry, exit, chord_km)``.
 
     Entry and exit lie on the core's boundary; a run open at the track's end closes at its last vertex; runs less
-    than 30 m apart are one passage.
+    than 30 m apart are one passage. Whether a vertex starts or ends a run is tested on its two neighbours in the
+    same row; vertices in the middle of a run are dropped before anything is grouped.
     """
     key = ["track_id", "area_id"]
+
+    def core(x, y):
+        far = edge_distance_sql("edges", x, y)
+        return F.coalesce(F.expr(f"{inside_sql('edges', x, y)} AND (deep_d <= 0D OR {far} > deep_d)"), F.lit(False))
+
     here = members(_around(points, idx), idx, "deep").select(*key, "seq", "x", "y", "px", "py", "nx", "ny", "deep_d")
-    gone = with_previous(here, key, "seq", {"p_seq": "seq"})
-    runs = islands(gone, key, "seq", F.coalesce(F.col("p_seq") != F.col("seq") - 1, F.lit(True)))
-    runs = runs.groupBy(*key, "island", "deep_d").agg(
-        F.min("seq").alias("first_seq"), F.min_by(F.struct("x", "y", "px", "py"), "seq").alias("a"), F.max_by(F.struct("x", "y", "nx", "ny"), "seq").alias("b")
-    )
-    runs = runs.join(idx.geoms.select("area_id", "edges"), "area_id")
-    entry = F.when(F.col("a.px").isNull(), F.struct("a.x", "a.y")).otherwise(_crossing("edges", "a.px", "a.py", "a.x", "a.y", "deep_d"))
-    leave = F.when(F.col("b.nx").isNull(), F.struct("b.x", "b.y")).otherwise(_crossing("edges", "b.nx", "b.ny", "b.x", "b.y", "deep_d"))
-    runs = runs.withColumns({"i": entry, "o": leave}).select(*key, "first_seq", "i", "o")
-    near = with_previous(runs, key, "first_seq", {"p_o": "o"})
-    apart = _km("p_o.x", "p_o.y", "i.x", "i.y") >= MERGE_KM
-    joined = islands(near, key, "first_seq", F.coalesce(apart, F.lit(True)), name="n")
-    joined = joined.groupBy(*key, "n").agg(F.min("first_seq").alias("first_seq"), F.min_by("i", "first_seq").alias("i"), F.max_by("o", "first_seq").alias("o"))
+    here = here.join(idx.geoms.select("area_id", "edges"), "area_id").withColumns({"opens": ~core("px", "py"), "closes": ~core("nx", "ny")})
+    edge = here.where("opens OR closes")
+    edge = _with_crossing(edge, "i", ("px", "py"), ("x", "y"), "deep_d")
+    edge = _with_crossing(edge, "o", ("nx", "ny"), ("x", "y"), "deep_d")
+    edge = edge.select(*key, "seq", F.when(F.col("opens"), F.col("i")).alias("i"), F.when(F.col("closes"), F.col("o")).alias("o"))
+    along = Window.partitionBy(*key).orderBy("seq")
+    runs = edge.withColumn("o", F.coalesce("o", F.lead("o").over(along))).where("i IS NOT NULL")
+    runs = runs.withColumn("p_o", F.lag("o").over(along))
+    apart = F.coalesce(_km("p_o.x", "p_o.y", "i.x", "i.y") >= MERGE_KM, F.lit(True))
+    runs = runs.withColumn("n", F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    joined = runs.groupBy(*key, "n").agg(F.min("seq").alias("first_seq"), F.min_by("i", "seq").alias("i"), F.max_by("o", "seq").alias("o"))
     joined = joined.withColumn("_cos", idx.cos)
     lng = lambda c: F.col(c + ".x") / F.col("_cos")
     return joined.select(
-        *key, (F.col("n") - 1).cast("int").alias("n"), "first_seq", lng("i").alias("entry_lng"), F.col("i.y").alias("entry_lat"),
+        *key, F.col("n").cast("int").alias("n"), "first_seq", lng("i").alias("entry_lng"), F.col("i.y").alias("entry_lat"),
         lng("o").alias("exit_lng"), F.col("o.y").alias("exit_lat"), _km("i.x", "i.y", "o.x", "o.y").alias("chord_km"),
     )
 
@@ -223,8 +241,7 @@ def entry_points(points: DataFrame, idx: AreaIndex) -> DataFrame:
     both = both.withColumns({"level": F.when(F.col("deep").isNotNull(), "deep").otherwise("credit"), "v": F.coalesce("deep", "credit")})
     d = F.when(F.col("deep").isNotNull(), F.col("deep_d")).otherwise(F.col("credit_d"))
     both = both.withColumn("d", d)
-    at = F.when(F.col("v.px").isNull(), F.struct("v.x", "v.y")).otherwise(_crossing("edges", "v.px", "v.py", "v.x", "v.y", "d"))
-    both = both.withColumn("at", at)
+    both = _with_crossing(both, "at", ("v.px", "v.py"), ("v.x", "v.y"), "d")
     dx = F.when(F.col("v.px").isNotNull(), F.col("v.x") - F.col("v.px")).otherwise(F.col("v.nx") - F.col("v.x"))
     dy = F.when(F.col("v.py").isNotNull(), F.col("v.y") - F.col("v.py")).otherwise(F.col("v.ny") - F.col("v.y"))
     both = both.withColumns({"_dx": dx, "_dy": dy}).withColumn("_l", F.hypot("_dx", "_dy"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.budget import budget_effort, budget_fit, effort_km
 from ..functions.geo import half_up, haversine_km
 from ..plans.chunks import fill_forward, with_neighbors
+from ..plans.lineage import materialize
 from ..plans.ranges import overlaps, points_in_ranges
 from .tracks import cum_distance, cum_effort
 
@@ -20,9 +21,10 @@ def split_days(profile: DataFrame, days: DataFrame) -> DataFrame:
 
     A day ends at the first sample reaching its share of the effort, but at least one sample after the day
     before; with f(d) that first sample, the end is ``d + max over j <= d of (f(j) - j)``. The samples meet
-    the targets in an as-of scan along the effort axis, cut into buckets.
+    the targets in an as-of scan along the effort axis, cut into buckets. The running effort is written out once,
+    as the totals, the scan and both boundary look-ups read it.
     """
-    cum = cum_effort(profile)
+    cum = materialize(cum_effort(profile), "effort")
     climb = F.col("cum_climb")
     total = cum.groupBy("track_id").agg(
         F.max("i").alias("last"), F.max("cum_effort").alias("effort"), F.max("cum_climb").alias("climb"),
@@ -99,7 +101,7 @@ def slice_stats(spans: DataFrame, points: DataFrame, bounds: DataFrame) -> DataF
     window = bounds.select("track_id", "day", F.col("start_idx").alias("w0"), F.col("end_idx").alias("w1"))
     cut = overlaps(spans, window, ["track_id"], "start_idx", "end_idx", "w0", "w1")
     cut = cut.withColumns({"s": F.greatest("start_idx", "w0"), "e": F.least("end_idx", "w1")})
-    cum = cum_distance(points.select("track_id", "seq", "lng", "lat"))
+    cum = materialize(cum_distance(points.select("track_id", "seq", "lng", "lat")), "distance")
     at = lambda i, m: cum.select("track_id", F.col("seq").alias(i), F.col("cum_m").alias(m))
     out = cut.join(at("s", "m0"), ["track_id", "s"]).join(at("e", "m1"), ["track_id", "e"])
     out = out.where(F.col("m1") > F.col("m0"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import half_up, linear_interp
 from ..plans.chunks import fill_forward, with_neighbors
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, materialize
 from ..plans.ranges import points_in_ranges
 from .tracks import cum_distance
 
@@ -127,7 +127,7 @@ def elevation_windows(points: DataFrame, window_km: float = WINDOW_KM) -> DataFr
     equi-joins on (track, vertex), whatever the length of one track.
     """
     reach = window_km * 1000.0
-    along = cum_distance(points.select("track_id", "seq", "lng", "lat"))
+    along = materialize(cum_distance(points.select("track_id", "seq", "lng", "lat")), "distance")
     shape = along.agg(F.max("cum_m").alias("m")).first()
     samples = along.select("track_id", F.col("cum_m").alias("x"), F.lit(0).alias("kind"), F.col("seq").alias("j"), F.lit(None).cast("int").alias("i"))
     wants = along.select("track_id", (F.col("cum_m") + reach).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("j"), F.col("seq").alias("i"))
@@ -152,7 +152,7 @@ def elevation_windows(points: DataFrame, window_km: float = WINDOW_KM) -> DataFr
 
 def enrich_elevation(points: DataFrame, cells: DataFrame, spans: DataFrame, samples: int = WINDOW_SAMPLES) -> DataFrame:
     """3-D track: at most ``samples`` heights per window, linear in between, tunnels and bridges flattened."""
-    along = cum_distance(points.select("track_id", "seq", "lng", "lat"))
+    along = materialize(cum_distance(points.select("track_id", "seq", "lng", "lat")), "distance")
     wins = elevation_windows(points).withColumn("size", F.col("end_i") - F.col("start_i") + 1)
     picks = F.when(F.col("size") <= samples, F.sequence("start_i", "end_i")).otherwise(
         F.transform(F.sequence(F.lit(0), F.lit(samples - 1)),
@@ -162,4 +162,4 @@ def enrich_elevation(points: DataFrame, cells: DataFrame, spans: DataFrame, samp
     known = sample_dem(along.join(chosen, ["track_id", "seq"]), cells)
     profile = known.select("track_id", F.col("cum_m").alias("x"), F.col("ele").alias("v"))
     z = interp_join(along.withColumnRenamed("cum_m", "x"), profile).select("track_id", "seq", "lng", "lat", F.col("x").alias("cum_m"), F.col("v").alias("ele"))
-    return flatten_spans(z, spans)
+    return flatten_spans(materialize(z, "heights"), spans)

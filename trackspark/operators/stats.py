@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import vertex_key
 from ..functions.tags import classify_smoothness, classify_surface, is_tunnel_or_bridge, road_of_tags, tag_value
-from ..plans.chunks import fill_forward, islands, with_chunk, with_previous
+from ..plans.chunks import fill_forward, islands, running_max, with_previous
 from ..plans.lineage import cut_lineage
 
 NO_TAG = "[no tag]"  # fixed value
@@ -80,7 +80,7 @@ def match_endpoints(messages: DataFrame, points: DataFrame) -> DataFrame:
         rows = rows.withColumns({"_at": F.struct("at", "kind", F.coalesce("row_no", "idx").alias("o")), "_chunk": F.floor(F.col("at") / 65_536)})
         found = fill_forward(rows, keys, "_at", {"end_idx": F.col("idx")}, backward=True).where("kind = 0")
         found = found.select(*keys, "row_no", F.col("at").alias("bound"), "end_idx")
-        seen = fill_max(found, "track_id", "row_no", "end_idx", "seen")
+        seen = running_max(found, "track_id", "row_no", "end_idx", "seen")
         state = cut_lineage(seen)
         if state.where(F.col("end_idx") < F.col("seen")).isEmpty():
             break
@@ -88,21 +88,10 @@ def match_endpoints(messages: DataFrame, points: DataFrame) -> DataFrame:
     return messages.join(state.select("track_id", "row_no", "end_idx"), ["track_id", "row_no"], "left")
 
 
-def fill_max(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
-    """Running maximum of ``value`` over the rows before this one."""
-    df = with_chunk(df, order)
-    w = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumn(name, F.max(value).over(w))
-    tot = df.groupBy(key, "_chunk").agg(F.max(value).alias("_t"))
-    carry = tot.select(key, "_chunk", F.max("_t").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
-    out = inner.join(carry, [key, "_chunk"]).withColumn(name, F.greatest(name, "_c"))
-    return out.drop("_c", "_chunk")
-
-
 def stat_spans(matched: DataFrame) -> DataFrame:
     """Spans per dimension from matched messages; a message that does not advance loses only its span."""
     live = matched.where("dist_m > 0")
-    live = fill_max(live, "track_id", "row_no", "end_idx", "start_idx").withColumn("start_idx", F.coalesce("start_idx", F.lit(0)))
+    live = running_max(live, "track_id", "row_no", "end_idx", "start_idx").withColumn("start_idx", F.coalesce("start_idx", F.lit(0)))
     return classified(live.where(F.col("end_idx") > F.col("start_idx"))).select("track_id", "dim", "row_no", "start_idx", "end_idx", "code")
 
 

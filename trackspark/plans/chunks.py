@@ -42,8 +42,12 @@ def with_neighbors(df, key, order, prev=None, nxt=None, size: int = CHUNK) -> Da
     return out.withColumns(cols).where(F.col("_home") == F.col(CHUNK_COL)).drop("_home")
 
 
-def _carry(df, key, order, aggs: dict[str, Column], combine, backward: bool = False) -> DataFrame:
-    """One row per (key, chunk) holding what the earlier (or later) chunks of that key amount to."""
+def _carry(df, key, aggs: dict[str, Column], combine, backward: bool = False) -> DataFrame:
+    """One row per (key, chunk) holding what the earlier (or later) chunks of that key amount to.
+
+    This reads ``df`` a second time, with only the columns it needs and aggregated before the shuffle; a chain of
+    scans should be written out in between (see :func:`..plans.lineage.materialize`).
+    """
     keys = _keys(key)
     per_chunk = df.groupBy(*keys, CHUNK_COL).agg(*[c.alias("_c_" + n) for n, c in aggs.items()])
     w = Window.partitionBy(*keys).orderBy(F.col(CHUNK_COL).desc() if backward else CHUNK_COL)
@@ -61,12 +65,23 @@ def running_sum(df, key, order, sums: dict[str, Column], size: int = CHUNK) -> D
     sums = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
     w = Window.partitionBy(*_keys(key), CHUNK_COL).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inner = df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    carry = _carry(df, key, order, {n: F.sum(c) for n, c in sums.items()}, F.sum)
+    carry = _carry(df, key, {n: F.sum(c) for n, c in sums.items()}, F.sum)
     out = inner.join(carry, [*_keys(key), CHUNK_COL])
     total = {n: F.col(n) + F.coalesce(F.col("_c_" + n), F.lit(0)) for n in sums}
     return out.withColumns(total).drop(*["_c_" + n for n in sums])
 
 
+def running_max(df, key, order: str, value: str, name: str, size: int = CHUNK) -> DataFrame:
+    """Largest ``value`` over the rows before this one (NULL on the first)."""
+    df = with_chunk(df, order, size)
+    keys = _keys(key)
+    w = Window.partitionBy(*keys, CHUNK_COL).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = df.withColumn(name, F.max(value).over(w))
+    carry = _carry(df, keys, {"m": F.max(value)}, F.max)
+    out = inner.join(carry, [*keys, CHUNK_COL])
+    return out.withColumn(name, F.greatest(name, "_c_m")).drop("_c_m", CHUNK_COL)
+
+
 def fill_forward(df, key, order, cols: dict[str, Column], size: float = CHUNK, backward=False) -> DataFrame:
     """Last non-NULL value at or before each row (``backward``: first at or after)."""
     df = _chunked(df, order, size)
@@ -76,7 +91,7 @@ def fill_forward(df, key, order, cols: dict[str, Column], size: float = CHUNK, b
     inner = df.withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in cols.items()})
     pick = F.min_by if backward else F.max_by
     last = {n: pick(c, F.when(c.isNotNull(), F.col(order))) for n, c in cols.items()}
-    carry = _carry(df, key, order, last, lambda n: F.last(n, ignorenulls=True), backward)
+    carry = _carry(df, keys, last, lambda n: F.last(n, ignorenulls=True), backward)
     out = inner.join(carry, [*keys, CHUNK_COL])
     return out.withColumns({n: F.coalesce(F.col(n), F.col("_c_" + n)) for n in cols}).drop(*["_c_" + n for n in cols])
 
@@ -88,7 +103,7 @@ def with_previous(df, key, order, prev: dict[str, str], size: int = CHUNK) -> Da
     w = Window.partitionBy(*keys, CHUNK_COL).orderBy(order)
     row = F.struct(*[F.col(c).alias(n) for n, c in prev.items()])
     inner = df.withColumn("_p", F.lag(row).over(w))
-    carry = _carry(df, key, order, {"p": F.max_by(row, order)}, lambda n: F.last(n, ignorenulls=True))
+    carry = _carry(df, keys, {"p": F.max_by(row, order)}, lambda n: F.last(n, ignorenulls=True))
     out = inner.join(carry, [*keys, CHUNK_COL]).withColumn("_p", F.coalesce("_p", "_c_p"))
     return out.withColumns({n: F.col("_p")[n] for n in prev}).drop("_p", "_c_p")
 

@@ -1,22 +1,43 @@
-"""Cutting lineage in iterative jobs so that a lost executor cannot undo the rounds before."""
+"""Cutting lineage in iterative jobs and writing shared intermediates once.
+
+Both go to the folder named by ``spark.checkpoint.dir``, which every executor can reach, so a lost executor costs
+neither the rounds before nor the table.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared checkpoint folder.
 
-    A local session without one gets a private folder; on a cluster the folder must be configured.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder; a local session without one gets a private folder."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trackspark-"))
+        folder = tempfile.mkdtemp(prefix="trackspark-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for the small state of an iterative job."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a frame that several branches read to a parquet table and return the table.
+
+    Readers still prune columns and push filters, and the optimizer knows its real size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/trackspark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
