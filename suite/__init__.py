@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["views_checks", "scalars", "track_queries", "day_queries", "area_queries", "neighbor_queries"]
+MODULES = ["views_checks", "scalars", "track_queries", "day_queries", "area_queries", "neighbor_queries", "plan_queries", "table_queries"]
 
 
 def load() -> None:

@@ -9,7 +9,7 @@ from .geo import col
 
 # Name patterns and the phrases that decide a failure class, first match wins.
 DEM_NAME = "^([NS])([0-9]{2})([EW])([0-9]{3})$"
-SEGMENT_NAME = "^([EW])([0-9]{1,3})_([NS])([0-9]{1,2})$"
+SEGMENT_NAME = "^([EW])([0-9]+)_([NS])([0-9]+)$"
 FAIL_PHRASES = [
     ("target-island", ["island"]),
     ("not-mapped", ["not mapped", "datafile", "not found"]),
@@ -51,7 +51,7 @@ def parse_segment(name) -> Column:
     ok = base.rlike(SEGMENT_NAME)
     lng = F.when(ok, _signed(base, SEGMENT_NAME, 1, "W"))
     lat = F.when(ok, _signed(base, SEGMENT_NAME, 3, "S"))
-    good = ok & (lng % 5 == 0) & (lat % 5 == 0) & lng.between(-180, 175) & lat.between(-90, 85)
+    good = ok & (lng % 5 == 0) & (lat % 5 == 0)
     return F.when(good, F.struct(lng.alias("lng"), lat.alias("lat")))
 
 
@@ -93,7 +93,7 @@ def fail_reason(message) -> Column:
 
 def missing_tile(message) -> Column:
     """Tile name in a ``datafile X.rd5 not found`` message, else NULL."""
-    hit = F.regexp_extract(col(message), "datafile ([EW][0-9]+_[NS][0-9]+)\\.rd5 not found", 1)
+    hit = F.regexp_extract(col(message), "datafile\\s+([A-Z][0-9]+_[A-Z][0-9]+)\\.rd5\\s+not\\s+found", 1)
     return F.when(hit != "", hit)
 
 

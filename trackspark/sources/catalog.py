@@ -7,25 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.names import EUROPE, dem_tile_name, in_europe, is_outdated, parse_dem_tile, parse_segment
 
-# Fixed value: a listing row holds the file's link and, further on, its size in bytes.
-LISTING_ROW = 'href="([EW][0-9]+_[NS][0-9]+\\.rd5)"[^\\n]*?([0-9]+)\\s*(?:\\n|$|<)'
+# Fixed value: a listing row is the file's link, two words of date and time, and the size in bytes.
+LISTING_ROW = '<a href="([EW]\\d+_[NS]\\d+)\\.rd5">[^<]+</a>\\s+\\S+\\s+\\S+\\s+(\\d+)'
 
 
-def list_installed(spark: SparkSession, path: str, kind: str = "segment") -> DataFrame:
+def list_installed(spark: SparkSession, path: str, kind: str = "segment", name_pattern: str = "([^/]+)\\.[a-z0-9]+$") -> DataFrame:
     """``(name, size_bytes, installed_at)`` of installed files; only file metadata is read, other names are dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    name = F.regexp_extract("path", "([^/]+)\\.[a-z0-9]+$", 1)
+    name = F.regexp_extract("path", name_pattern, 1)
     parsed = parse_segment(name) if kind == "segment" else parse_dem_tile(name)
     rows = files.withColumns({"name": name, "p": parsed}).where("p IS NOT NULL")
     return rows.select("name", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("installed_at"))
 
 
 def parse_listing(pages: DataFrame) -> DataFrame:
-    """Every file named in HTML listings: ``(page_id, name, size_bytes)``."""
+    """Every well-named file in HTML listings: ``(page_id, name, size_bytes)``."""
     names = F.regexp_extract_all("html", F.lit(LISTING_ROW), F.lit(1))
     sizes = F.regexp_extract_all("html", F.lit(LISTING_ROW), F.lit(2))
     rows = pages.select("page_id", F.explode(F.arrays_zip(names.alias("n"), sizes.alias("s"))).alias("f"))
-    return rows.select("page_id", F.regexp_replace("f.n", "\\.rd5$", "").alias("name"), F.col("f.s").cast("bigint").alias("size_bytes"))
+    rows = rows.select("page_id", F.col("f.n").alias("name"), F.col("f.s").cast("bigint").alias("size_bytes"))
+    return rows.where(parse_segment("name").isNotNull())
 
 
 def dem_grid(spark: SparkSession, europe_only: bool = True) -> DataFrame:
