@@ -139,7 +139,7 @@ def _(v):
     return archive.archive_tracks(with_ele(v)).select("track_id", "encoded")
 
 
-@query("unarchive_tracks", f"SELECT track_id, seq, {r('floor(lng*1e6+0.5e0)/1e6', 6)} AS lng, {r('floor(lat*1e6+0.5e0)/1e6', 6)} AS lat, {r('floor(value*30e0+0.5e0)/10e0', 1)} AS ele FROM track_points")
+@query("unarchive_tracks", f"SELECT track_id, seq, {r('floor(lng*1e6+0.5e0)/1e6', 6)} AS lng, {r('floor(lat*1e6+0.5e0)/1e6', 6)} AS lat, {r('floor(value*3e0*10e0+0.5e0)/10e0', 1)} AS ele FROM track_points")
 def _(v):
     back = archive.unarchive_tracks(archive.archive_tracks(with_ele(v), part=16))
     return rnd(rnd(back, "lng", "lat", digits=6), "ele", digits=1)
@@ -147,12 +147,12 @@ def _(v):
 
 def gpx_input(v):
     drafts = v.track_points.select("track_id").distinct().selectExpr("track_id AS draft_id", "track_id div 3 AS group_id", "CAST(track_id % 3 AS INT) AS day_number", "concat('A&B <', track_id, '>') AS name")
-    pts = v.track_points.selectExpr("track_id AS draft_id", "seq", "round(lng, 6) AS lng", "round(lat, 6) AS lat", "round(value * 3, 1) AS ele")
+    pts = v.track_points.selectExpr("track_id AS draft_id", "seq", "round(lng, 6) AS lng", "round(lat, 6) AS lat", "round(value * 3, 2) AS ele")
     return drafts, pts
 
 
 @query("gpx_lines", """SELECT track_id // 3 AS group_id, CAST(track_id % 3 AS INT) AS day_number, track_id AS draft_id, part_no, text FROM (
- SELECT track_id, seq // 4096 AS part_no, string_agg(concat('      <trkpt lat="', CAST(round(lat, 6) AS VARCHAR), '" lon="', CAST(round(lng, 6) AS VARCHAR), '"><ele>', CAST(round(value*3, 1) AS VARCHAR), '</ele></trkpt>'), chr(10) ORDER BY seq) AS text FROM track_points GROUP BY ALL
+ SELECT track_id, seq // 4096 AS part_no, string_agg(concat('      <trkpt lat="', CAST(round(lat, 6) AS VARCHAR), '" lon="', CAST(round(lng, 6) AS VARCHAR), '"><ele>', CAST(round(value*3, 2) AS VARCHAR), '</ele></trkpt>'), chr(10) ORDER BY seq) AS text FROM track_points GROUP BY ALL
  UNION ALL SELECT DISTINCT track_id, -1, concat('  <trk>', chr(10), '    <name>A&amp;B &lt;', track_id, '&gt;</name>', chr(10), '    <trkseg>') FROM track_points
  UNION ALL SELECT DISTINCT track_id, 1152921504606846976, concat('    </trkseg>', chr(10), '  </trk>') FROM track_points) q""")
 def _(v):
