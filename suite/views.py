@@ -124,7 +124,7 @@ class Views:
         return _STORED[key]
 
     def stored(self, name: str, df) -> DataFrame:
-        return self.once(name, lambda: materialize(df(), name))
+        return self.once(name, lambda: materialize(df(), name, spread=True))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

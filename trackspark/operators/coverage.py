@@ -49,7 +49,7 @@ class AreaIndex:
 
     def stored(self) -> "AreaIndex":
         """The same index read back from written tables, for pools that several queries use."""
-        return replace(self, geoms=materialize(self.geoms, "geoms"), cells=materialize(self.cells, "cells"))
+        return replace(self, geoms=materialize(self.geoms, "geoms", spread=True), cells=materialize(self.cells, "cells", spread=True))
 
 
 def area_index(areas, area_vertices, depths_m=AREA_DEPTHS_M, cell: float = CELL_DEG, pad_deg: float = 0.0) -> AreaIndex:
@@ -129,7 +129,7 @@ def cell_pieces(segments: DataFrame, cell: float) -> DataFrame:
 def track_segments(points: DataFrame, idx: AreaIndex) -> DataFrame:
     """Projected segments ``(track_id, seq, x, y, vx, vy)``; a one-point track gives one segment of no length."""
     near = with_neighbors(
-        _projected(points.select("track_id", "seq", "lng", "lat"), idx), "track_id", "seq", prev={"px": "x", "py": "y"}, nxt={"nx": "x"}
+        _projected(points.select("track_id", "seq", "lng", "lat"), idx), "track_id", "seq", prev={"px": "x", "py": "y"}, nxt={"nx": "x"}, heavy=True
     )
     lone = F.col("px").isNull() & F.col("nx").isNull()
     seg = near.where(F.col("px").isNotNull() | lone).withColumn("lone", lone)
@@ -182,7 +182,7 @@ def _with_crossing(rows: DataFrame, name: str, f: tuple[str, str], t: tuple[str,
 def _around(points: DataFrame, idx: AreaIndex) -> DataFrame:
     near = with_neighbors(
         _projected(points.select("track_id", "seq", "lng", "lat"), idx), "track_id", "seq",
-        prev={"px": "x", "py": "y"}, nxt={"nx": "x", "ny": "y"},
+        prev={"px": "x", "py": "y"}, nxt={"nx": "x", "ny": "y"}, heavy=True,
     )
     return near.drop("_chunk", "x", "y")
 

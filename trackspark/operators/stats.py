@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import vertex_key
 from ..functions.tags import classify_smoothness, classify_surface, is_tunnel_or_bridge, road_of_tags, tag_value
 from ..plans.chunks import fill_forward, islands, running_max, with_previous
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, materialize
 
 NO_TAG = "[no tag]"  # fixed value
 DIMS = ["surface", "road", "smoothness"]
@@ -96,8 +96,12 @@ def stat_spans(matched: DataFrame) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
-    """Join consecutive spans with the same code and touching ends."""
-    near = with_previous(spans, ["track_id", "dim"], "row_no", {"p_code": "code", "p_end": "end_idx"})
+    """Join consecutive spans with the same code and touching ends.
+
+    Each scan reads its input twice, so the classified spans and the first scan's result are written once.
+    """
+    near = with_previous(materialize(spans, "spans"), ["track_id", "dim"], "row_no", {"p_code": "code", "p_end": "end_idx"})
+    near = materialize(near, "spans")
     new = ~((F.col("p_code") == F.col("code")) & (F.col("p_end") == F.col("start_idx")))
     runs = islands(near, ["track_id", "dim"], "row_no", F.coalesce(new, F.lit(True)))
     return runs.groupBy("track_id", "dim", "island").agg(

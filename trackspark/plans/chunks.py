@@ -22,11 +22,20 @@ def with_chunk(df: DataFrame, order: str, size: float = CHUNK) -> DataFrame:
     return df.withColumn(CHUNK_COL, F.floor(F.col(order) / size))
 
 
-def with_neighbors(df, key, order, prev=None, nxt=None, size: int = CHUNK) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions, for stages whose cost is computing rather than bytes.
+
+    Adaptive execution merges small partitions by size only, which would leave such a stage to a few tasks. A later
+    window or join on the same keys reuses this partitioning.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def with_neighbors(df, key, order, prev=None, nxt=None, size: int = CHUNK, heavy: bool = False) -> DataFrame:
     """Add columns of the row before / after; the order column must be dense per key.
 
     ``prev`` and ``nxt`` map new column names to existing ones. Rows at a chunk edge are copied into the
-    adjoining chunk instead of joining the chunks.
+    adjoining chunk instead of joining the chunks. ``heavy`` keeps the result spread for costly work per row.
     """
     prev, nxt = prev or {}, nxt or {}
     o = F.col(order)
@@ -37,6 +46,8 @@ def with_neighbors(df, key, order, prev=None, nxt=None, size: int = CHUNK) -> Da
     if nxt:
         copies.append(F.when((o % size == 0) & (o > 0), home - 1))
     out = df.withColumn("_home", home).withColumn(CHUNK_COL, F.explode(F.array_compact(F.array(*copies))))
+    if heavy:
+        out = spread(out, *_keys(key), CHUNK_COL)
     w = Window.partitionBy(*_keys(key), CHUNK_COL).orderBy(order)
     cols = {n: F.lag(c).over(w) for n, c in prev.items()} | {n: F.lead(c).over(w) for n, c in nxt.items()}
     return out.withColumns(cols).where(F.col("_home") == F.col(CHUNK_COL)).drop("_home")

@@ -33,11 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+MAX_FILES = 200
+
+
+def materialize(df: DataFrame, name: str = "table", spread: bool = False) -> DataFrame:
     """Write a frame that several branches read to a parquet table and return the table.
 
-    Readers still prune columns and push filters, and the optimizer knows its real size.
+    Readers still prune columns and push filters, and the optimizer knows its real size. ``spread`` writes a small
+    table as several files, so that costly work on its rows is read into several tasks.
     """
+    if spread:
+        df = df.repartition(min(MAX_FILES, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_folder(df.sparkSession)}/trackspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import spread
+
 BRANCH = 4
 SALTS = 16
 _AXES = ("x", "y", "z")
@@ -69,7 +71,7 @@ def nearest(
         tables.insert(0, up.groupBy(*group, "cx", "cy", "cz").agg(*agg))
 
     per_query = Window.partitionBy(*group, "qid")
-    slim = queries.select(*group, "qid", "qx", "qy", "qz")
+    slim = spread(queries.select(*group, "qid", "qx", "qy", "qz"), *group, "qid")
 
     def prune(pairs: DataFrame) -> DataFrame:
         low, high = _bounds(slack)
