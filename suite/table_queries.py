@@ -86,16 +86,13 @@ def _(v):
     return dem.decode_rasters(files)
 
 
-@query("parse_listing", "SELECT page_id, name, size_bytes FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages) p JOIN (SELECT *, row_number() OVER (ORDER BY name) - 1 AS j FROM seg_remote) s ON s.j % (SELECT count(*) FROM pages) = p.i")
+@query("parse_listing", "SELECT size_bytes % (SELECT count(*) FROM pages) AS page_id, name, size_bytes FROM seg_remote")
 def _(v):
-    from pyspark.sql import Window
-
+    """Listing rows added to the web pages and found again."""
     pages = v.table("pages")
-    n = pages.agg(F.count("*")).scalar()
-    # Page ids are dense, so the i-th page is page i.
-    names = v.seg_remote.withColumn("j", F.row_number().over(Window.orderBy("name")) - 1).withColumn("n", n)
     row = F.concat(F.lit('<a href="'), "name", F.lit('.rd5">'), "name", F.lit(".rd5</a>   01-Jan-2024 10:00   "), F.col("size_bytes").cast("string"), F.lit("\n"))
-    extra = names.groupBy((F.col("j") % F.col("n")).alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("t"))
+    names = v.seg_remote.withColumn("n", pages.agg(F.count("*")).scalar())
+    extra = names.groupBy((F.col("size_bytes") % F.col("n")).alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("t"))
     html = pages.join(extra, "page_id", "left").select("page_id", F.concat("html", F.coalesce("t", F.lit(""))).alias("html"))
     return catalog.parse_listing(html)
 
