@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cached_property
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,13 @@ def with_views(sql: str) -> str:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _present(made) -> bool:
+    """Whether the files of a stored table are still there (scratch folders get cleared)."""
+    frames = [made] if isinstance(made, DataFrame) else [made.geoms, made.cells]
+    files = [urlparse(f) for df in frames for f in df.inputFiles()]
+    return all(os.path.exists(f.path) for f in files if f.scheme == "file")
+
+
 class Views:
     """DataFrames of one table folder.
 
@@ -119,7 +128,7 @@ class Views:
     def once(self, name: str, make):
         """An input built once per Spark application and folder."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _STORED:
+        if key not in _STORED or not _present(_STORED[key]):
             _STORED[key] = make()
         return _STORED[key]
 
