@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from trackspark.functions.names import category_key
 from trackspark.operators import areas, coverage

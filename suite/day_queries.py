@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackspark.functions import budget
 from trackspark.operators import days, elevation, stats, tracks
 
-from .registry import half_up, hav, query, r, rnd
+from .registry import half_up, query, r, rnd
 from .scalars import ROAD, ROAD_CASE, _tag_sql
 from .track_queries import CUM, STEP
 

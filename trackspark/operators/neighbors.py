@@ -16,7 +16,7 @@ PLANAR_ROOT_KM = 1600.0
 PRESENCE_KM = 200.0  # fixed value
 
 
-def _planar(points: DataFrame, prefix: str, ref_lat: dict | None, group: list[str]) -> DataFrame:
+def _planar(points: DataFrame, prefix: str) -> DataFrame:
     k = F.cos(F.radians("_ref"))
     return points.withColumns({
         prefix + "x": F.col("lng") * k * KNN_KM_PER_DEG, prefix + "y": F.col("lat") * KNN_KM_PER_DEG, prefix + "z": F.lit(0.0),
@@ -31,7 +31,7 @@ def _with_ref(points: DataFrame, pool: DataFrame, group: list[str]) -> DataFrame
 
 
 def _sites(pool: DataFrame, id_col: str, group: list[str]) -> DataFrame:
-    rows = _planar(_with_ref(pool, pool, group), "s", None, group)
+    rows = _planar(_with_ref(pool, pool, group), "s")
     return rows.select(*group, F.col(id_col).alias("sid"), "sx", "sy", "sz", F.lit(0.0).alias("sr"))
 
 
@@ -85,7 +85,7 @@ def count_within(points: DataFrame, km: float, id_col: str = "area_id") -> DataF
 
 def nearest_to(points: DataFrame, queries: DataFrame, id_col: str = "area_id", query_id: str = "qid") -> DataFrame:
     """Nearest pool point to each outside point: ``(query_id, id, km)``; the pool's projection is used."""
-    asks = _planar(_with_ref(queries, points, []), "q", None, []).select(F.col(query_id).alias("qid"), "qx", "qy", "qz")
+    asks = _planar(_with_ref(queries, points, []), "q").select(F.col(query_id).alias("qid"), "qx", "qy", "qz")
     out = nearest(asks, _sites(points, id_col, []), _distance(), 1, levels=5, root=PLANAR_ROOT_KM, slack=1e-9)
     return out.select(F.col("qid").alias(query_id), F.col("sid").alias(id_col), F.col("dist").alias("km"))
 
@@ -154,7 +154,7 @@ def map_waypoints(waypoints: DataFrame, points: DataFrame, tolerance_km: float =
     """Closest track vertex per way-point in the track's own flat projection, -1 beyond the tolerance."""
     group = ["track_id"]
     sites = _sites(points, "seq", group)
-    asks = _planar(_with_ref(waypoints, points, group), "q", None, group).select("track_id", F.col("pos").alias("qid"), "qx", "qy", "qz")
+    asks = _planar(_with_ref(waypoints, points, group), "q").select("track_id", F.col("pos").alias("qid"), "qx", "qy", "qz")
     out = nearest(asks, sites, _distance(), 1, group, levels=5, root=PLANAR_ROOT_KM, slack=1e-9)
     idx = F.when(F.col("dist") <= tolerance_km, F.col("sid")).otherwise(-1)
     found = out.select("track_id", F.col("qid").alias("pos"), idx.alias("idx"))
