@@ -80,7 +80,7 @@ class Slice:
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
-    sums: np.ndarray | None = None
+    heads: list[np.ndarray]
 
     @property
     def rows(self) -> int:
@@ -116,7 +116,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
 
 
-def _cut(data: np.ndarray, bounds: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, ...]:
+def _cut(data: np.ndarray, bounds: np.ndarray, alphabet: Alphabet, heads: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     n = len(data)
     inside = alphabet.member[data]
     before = np.zeros(n, bool)
@@ -131,10 +131,11 @@ def _cut(data: np.ndarray, bounds: np.ndarray, alphabet: Alphabet) -> tuple[np.n
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(alphabet.value[data] * up[:n], out=sums[1:])
-    return start, end, mix((sums[end] - sums[start]) * down[start]), sums
+    code = lambda stop: mix((sums[stop] - sums[start]) * down[start])
+    return start, end, code(end), *(code(np.minimum(start + k, end)) for k in heads)
 
 
-def _long(data: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, alphabet: Alphabet, heads: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     """A row above the slice size, piece by piece; pieces end at a separator."""
     parts, at, n = [], 0, len(data)
     while at < n:
@@ -146,14 +147,17 @@ def _long(data: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray,
                 break
             size *= 2
         stop = n if gaps is None else at + int(gaps[-1]) + 1
-        start, end, code, _ = _cut(data[at:stop], np.array([0, stop - at]), alphabet)
-        parts.append((start + at, end + at, code))
+        start, end, *codes = _cut(data[at:stop], np.array([0, stop - at]), alphabet, heads)
+        parts.append((start + at, end + at, *codes))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def slices(column, alphabet: Alphabet) -> Iterator[Slice]:
-    """Words of a text column in slices of about ``SLICE_BYTES``; whole rows stay together. Null counts as empty."""
+def slices(column, alphabet: Alphabet, heads: tuple[int, ...] = ()) -> Iterator[Slice]:
+    """Words of a text column in slices of about ``SLICE_BYTES``; whole rows stay together. Null counts as empty.
+
+    ``heads`` asks for the hashes of the words' first so many bytes as well.
+    """
     column = plain(column)
     offsets, data = buffers(column)
     first, n = 0, len(column)
@@ -162,11 +166,7 @@ def slices(column, alphabet: Alphabet) -> Iterator[Slice]:
         last = min(n, max(last, first + 1))
         bounds = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
-        if len(part) > SLICE_BYTES:
-            start, end, code = _long(part, alphabet)
-            sums = None
-        else:
-            start, end, code, sums = _cut(part, bounds, alphabet)
+        start, end, code, *more = _long(part, alphabet, heads) if len(part) > SLICE_BYTES else _cut(part, bounds, alphabet, heads)
         row = np.searchsorted(bounds, start, side="right") - 1
-        yield Slice(first, last, part, bounds, start, end, row, code, sums)
+        yield Slice(first, last, part, bounds, start, end, row, code, more)
         first = last
