@@ -2,17 +2,17 @@
 
 1. Each document becomes the set of its five-word shingles; documents of one set are one node. A node's signature is
    the minima of many universal hash functions; runs of minima are its bands.
-2. Nodes that share a band are candidates. The first pass links each bucket's members to its smallest one only, which
-   is linear in the bucket. A second pass takes the buckets that still hold several components: the members outside a
-   bucket's largest component meet all members of other components. Buckets where that would be many pairs are split by
-   further bands first, for all members, as often as needed; nothing is cut off.
+2. Nodes that share a band are candidates. The first pass links each bucket's members to its leader only, the member
+   that shares most with others. A second pass takes the buckets that still hold several components: their members
+   outside the largest component meet all members of other components. Where that would be many pairs (a crowd of
+   loosely similar texts), the crowd's best member outside the largest component is a second leader instead. Candidates
+   stay linear in the bucket.
 3. Candidates pass a test of their signatures, then the exact overlap of their full shingle sets.
 4. Components come from alternating large-star and small-star.
 
 A pair at the threshold shares no band with a chance of ``(1 - 0.75 ** 4) ** 40 = 2.5e-7`` and a pair above it with
-less. Splitting a bucket loses a pair only where it shares none of eight further bands, in every bucket the pair shares;
-together with the first figure that stays under 1e-6. The signature test rejects a pair at the threshold with a chance
-under 1e-6 as well (4.9 standard deviations).
+less; the signature test rejects it with a chance under 1e-6 (4.9 standard deviations). A link is lost too if every
+bucket that the pair shares (12 of 40 at the threshold) is a crowd, both of whose leaders are similar to only one of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.plans.lineage import materialize
+from trackspark.plans.lineage import discard, materialize
 
 from .components import components
 from .registry import query, table
@@ -34,8 +34,8 @@ ROWS, BANDS = 4, 40
 MINIMA = ROWS * BANDS
 #: Signature minima that must agree; the threshold less 4.9 standard deviations.
 AGREE = round(MINIMA * (0.75 - 4.9 * (0.75 * 0.25 / MINIMA) ** 0.5))
-#: Further bands that split a crowded bucket, and how often it is split before all its pairs are taken.
-SPLIT, LEVELS = 8, 3
+#: Pairs per member up to which all pairs between a bucket's components are candidates.
+SPARE = 2
 #: Pairs that are sent to every executor as a filter (16 bytes each); above, the texts are joined by a shuffle.
 SENT_PAIRS = 500_000
 
@@ -97,6 +97,11 @@ def band(number):
     return F.xxhash64(number, F.slice("minima", number * ROWS + 1, ROWS))
 
 
+def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs ``(a, b)``, the smaller id first."""
+    return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def agree(left: str, right: str):
     """Number of equal minima of two signatures."""
     return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -143,44 +148,45 @@ class Search:
             texts = texts.join(F.broadcast(wanted), "id", "left_semi")
         left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         joined = close.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return materialize(similar(joined, self.percent).distinct(), "similar")
+        found = materialize(similar(joined, self.percent), "similar")
+        discard(close)
+        return found
 
     def run(self) -> DataFrame:
-        """All links that matter for the components."""
-        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), band(b).alias("key")))
-        rows = self.nodes.select("id", F.inline(bands))
-        buckets = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
-        members = materialize(rows.join(buckets, "key"), "members")
-        tried = materialize(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-        links = self.confirm(tried)
-        label = components(links)
-        crowd = members.select("key", "band", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more, level = [], 0
-        while True:
-            parts = crowd.groupBy("key", "component").count()
-            stats = parts.groupBy("key").agg(
-                F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max(F.struct("count", "component")).alias("largest"))
-            stats = stats.where("squares < n * n").select("key", F.col("largest.component").alias("main"), (F.expr("n * n - squares") / 2 > 4 * F.col("n") + 64).alias("crowded"))
-            crowd = materialize(crowd.join(stats, "key"), "crowd")
-            last = level == LEVELS
-            small = crowd if last else crowd.where("not crowded")
-            odd = small.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
-            met = odd.join(small.select("key", F.col("id").alias("y"), F.col("component").alias("of_y")), "key").where("of_x <> of_y")
-            more.append(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-            crowd = crowd.where("crowded")
-            if last or crowd.isEmpty():
-                break
-            minima = self.nodes.select("id", "minima")
-            further = F.sequence(F.lit(level * SPLIT + 1), F.lit((level + 1) * SPLIT))
-            split = F.explode(F.transform(further, lambda k: F.xxhash64("key", band(F.pmod(F.col("band") + k, F.lit(BANDS))))))
-            crowd = crowd.join(minima, "id").select("id", "band", "component", split.alias("key"))
-            level += 1
-        pairs = more[0]
-        for x in more[1:]:
-            pairs = pairs.union(x)
-        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        found = self.confirm(pairs)
-        return links if found.isEmpty() else links.union(found)
+        """``(id, component)`` of the linked nodes."""
+        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
+        rows = self.nodes.select("id", F.explode(bands).alias("key"))
+        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = materialize(rows.join(buckets, "key"), "buckets")
+        # A node that shares large buckets often is close to what its neighbours have in common.
+        common = shared.groupBy("id").agg(F.sum("n").alias("common"))
+        members = materialize(shared.drop("n").join(common, "id"), "members")
+        discard(shared)
+        rank = F.struct("common", (-F.col("id")).alias("least"))
+        leader = members.groupBy("key").agg((-F.max(rank)["least"]).alias("leader"))
+        tried = materialize(pairs_of(members.join(leader, "key"), "leader", "id"), "stars")
+        label = components(self.confirm(tried))
+        named = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("best"))
+        total = parts.groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "component")).alias("main"),
+            F.max(F.struct("best", "component")).alias("first")).where("squares < n * n")
+        crowded = F.expr("n * n - squares") > 2 * (F.lit(SPARE) * F.col("n") + 64)
+        open_ = named.join(total.select("key", F.col("main.component").alias("main"), crowded.alias("crowded")), "key")
+        open_ = materialize(open_, "open")
+        small = open_.where("not crowded").select("key", "id", "component", "main")
+        odd = small.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
+        met = odd.join(small.select("key", F.col("id").alias("y"), F.col("component").alias("of_y")), "key").where("of_x <> of_y")
+        large = open_.where("crowded")
+        second = large.where("component <> main").groupBy("key").agg((-F.max(rank)["least"]).alias("second"))
+        more = pairs_of(met, "x", "y").union(pairs_of(large.join(second, "key"), "second", "id")).distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        discard(open_, tried, members)
+        if more.isEmpty():
+            return label
+        found = self.confirm(more)
+        discard(more)
+        return label if found.isEmpty() else components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,15 +198,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     """
     base = materialize(signatures(docs, doc_id, text), "signatures")
     named = base.where("n_shingles > 0 and doc_id is not null")
-    group = named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    member = materialize(base.select("doc_id", "n_shingles", "set1", "set2").join(group, ["set1", "set2", "n_shingles"], "left"), "nodes")
-    nodes = named.select(F.col("doc_id").alias("id"), "set1", "set2", "minima").join(
-        group.select(F.col("node").alias("id"), "set1", "set2"), ["id", "set1", "set2"], "left_semi").dropDuplicates(["id", "set1", "set2"])
-    nodes = materialize(nodes.select("id", "minima"), "minima")
+    # Equal sets have equal minima.
+    group = materialize(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("minima").alias("minima")), "sets")
+    member = base.select("doc_id", "n_shingles", "set1", "set2").join(group.drop("minima"), ["set1", "set2", "n_shingles"], "left")
+    member = materialize(member.select("doc_id", "n_shingles", "node"), "nodes")
+    discard(base)
+    nodes = group.select(F.col("node").alias("id"), "minima")
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    links = Search(source, nodes, percent).run()
-    shared = member.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = components(links.union(shared))
+    label = Search(source, nodes, percent).run()
+    # Rows that share an id but not a set.
+    split = member.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    if not split.isEmpty():
+        label = components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(split))
     ids = member.join(label.withColumnRenamed("id", "node"), "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id"))
     out = ids.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))

@@ -1,4 +1,4 @@
 """Imports every operator module; importing registers its query."""
 
-from . import bpe, decontamination, neardup, substrings, token_counts, toxicity  # noqa: F401
+from . import bpe, chat, decontamination, licenses, neardup, sharding, substrings, token_counts, topk, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
