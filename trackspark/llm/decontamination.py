@@ -199,9 +199,6 @@ def pass_through(df: DataFrame, automaton: Automaton, text: str) -> DataFrame:
             for part in slices(batch.column(at[text]), ALNUM_LOWER):
                 rows = batch.slice(part.first, part.rows)
                 first, stop, number = known.stretches(part)
-                if not len(first):
-                    yield rows
-                    continue
                 counts = part.counts()
                 begin = np.cumsum(counts) - counts
                 steps = np.zeros(len(part.hash) + 1, np.int64)
