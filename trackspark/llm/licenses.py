@@ -102,9 +102,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_words(F.col(text)).alias("words"))
     rows = rows.where(F.arrays_overlap("words", marks))
     sizes = sorted({class_size(len(w)) for _, _, w in known})
-    starts = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(n)), lambda i, n=n: F.struct(F.lit(n).alias("size"), i.cast("int").alias("first_word"))) for n in sizes
-    ])) if sizes else F.array().cast("array<struct<size:int,first_word:int>>")
+    begins = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(n)), lambda i: F.struct(F.lit(n).alias("size"), i.cast("int").alias("first_word")))
+    starts = F.flatten(F.array(*map(begins, sizes))) if sizes else F.array().cast("array<struct<size:int,first_word:int>>")
     cut = rows.select("row", "doc_id", "words", F.inline(starts)).select("row", "doc_id", "size", "first_word", F.slice("words", F.col("first_word") + 1, F.col("size") * 2).alias("words"))
     cut = cut.where(F.arrays_overlap("words", marks)).select("row", "doc_id", "size", "first_word", shingle_set(F.col("words")).alias("shingles"))
     seen = cut.select("*", F.posexplode(minima(F.col("shingles"))).alias("band", "least"))
