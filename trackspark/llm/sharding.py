@@ -2,9 +2,9 @@
 
 Documents of equal text are linked. Every linked document starts in a shard chosen by a hash of its id. In each round a
 group's members look at their neighbours' shards: the group's fullest shard that still has room is the target, and the
-members elsewhere ask to move there. Quotas bound what a shard takes in: requests are admitted in hashed order up to its
-room, the last ones in part. A group above a shard's quota fills one shard after the other. Rounds end when nothing
-moves. Documents without links then fill every shard to its quota, so row counts differ by one at most.
+members elsewhere ask to move there. Quotas bound what a shard takes in: requests are admitted by size class, in
+hashed order inside, up to its room, the last ones in part. A group above a shard's quota fills one shard after the
+other; a group whose shards are all full moves as a whole to a free one. Rounds end when nothing moves. Documents without links then fill every shard to its quota, so row counts differ by one at most.
 
 State is one row per group with at most one count per shard; documents are only numbered inside their group, shard or
 the pool of unlinked ones, in buckets that no hot group can fill alone.
@@ -20,8 +20,8 @@ from trackspark.plans.lineage import materialize
 from .registry import query, table
 
 SHARDS = 40
-#: Hashed steps of the admission order, and the number of rounds after which remaining links stay cut.
-STEPS, ROUNDS = 256, 60
+#: Hashed steps of the admission order within a size class, and the number of rounds after which remaining links stay cut.
+STEPS, ROUNDS = 64, 60
 KEY = ["text_hash", "text_crc32", "size"]
 
 
@@ -52,20 +52,28 @@ def propagate(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         room = F.array(*[F.lit(max(0, q - n)) for q, n in zip(quota, load, strict=True)])
         rank = lambda x: F.struct(x["n"].alias("n"), (-x["shard"]).alias("shard"))
         open_ = groups.withColumn("best", F.array_max(F.transform(F.filter("at", lambda x: F.get(room, x["shard"]) > 0), rank)))  # noqa: B023
-        asks = open_.where("best is not null").withColumn("to", -F.col("best.shard")).withColumn(
-            "asked", F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + F.when(rank(x) < F.col("best"), x["n"]).otherwise(0)))  # noqa: B023
-        asks = asks.withColumn("step", F.pmod(F.xxhash64(*KEY, F.lit(number)), F.lit(STEPS)).cast("int"))
+        free = [s for s in range(shards) if load[s] < quota[s]]
+        chance = F.get(F.array(*map(F.lit, free)), F.pmod(F.xxhash64(*KEY, F.lit(~number)), F.lit(len(free))).cast("int")) if free else F.lit(None).cast("int")
+        whole = F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        # All of the group's shards are full: it may move as a whole to a free one.
+        open_ = open_.withColumn("fresh", F.col("best").isNull() & (F.size("at") > 1)).withColumn("to", F.coalesce(-F.col("best.shard"), F.when(F.col("fresh"), chance)))
+        goes = lambda x: F.col("fresh") | (rank(x) < F.col("best"))  # noqa: E731, B023
+        asks = open_.where(F.col("to").isNotNull() & (~F.col("fresh") | (whole <= F.get(room, F.col("to")))))
+        asks = asks.withColumn("asked", F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + F.when(goes(x), x["n"]).otherwise(0)))  # noqa: B023
+        asks = asks.withColumn("step", (F.floor(F.log2(F.greatest(F.lit(1), "asked"))) * -STEPS + F.pmod(F.xxhash64(*KEY, F.lit(number)), F.lit(STEPS))).cast("int"))
         steps = asks.where("asked > 0").groupBy("to", "step").agg(F.sum("asked").alias("sum"))
         before = F.sum("sum").over(Window.partitionBy("to").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
         left = F.get(room, F.col("to")) - F.coalesce(before, F.lit(0))
         steps = steps.select("to", "step", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("sum"))).alias("share"))
-        # At most one row per shard and step.
+        # At most one row per shard and step, of which each power of two has STEPS.
         asks = asks.join(F.broadcast(steps), ["to", "step"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        gives = lambda x: F.when(rank(x) < F.col("best"), F.floor(x["n"] * F.col("share"))).otherwise(0).cast("long")  # noqa: E731, B023
+        share = F.when(F.col("fresh"), F.floor("share")).otherwise(F.col("share"))
+        gives = lambda x: F.when(goes(x), F.floor(x["n"] * share)).otherwise(0).cast("long")  # noqa: E731, B023
         asks = asks.withColumn("moved", F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + gives(x)))  # noqa: B023
-        kept = F.transform("at", lambda x: F.struct(x["shard"].alias("shard"), (x["n"] - gives(x) + F.when(x["shard"] == F.col("to"), F.col("moved")).otherwise(0)).cast("long").alias("n")))  # noqa: B023
+        at = F.when(F.col("fresh"), F.array_append("at", F.struct(F.col("to").cast("int").alias("shard"), F.lit(0).cast("long").alias("n")))).otherwise(F.col("at"))
+        kept = F.transform(at, lambda x: F.struct(x["shard"].alias("shard"), (x["n"] - gives(x) + F.when(x["shard"] == F.col("to"), F.col("moved")).otherwise(0)).cast("long").alias("n")))  # noqa: B023
         moved = asks.select(*KEY, F.filter(kept, lambda x: x["n"] > 0).alias("at"), "moved")
-        stay = open_.where("best is null").select(*KEY, "at", F.lit(0).cast("long").alias("moved"))
+        stay = open_.where(F.col("to").isNull() | (F.col("fresh") & (whole > F.get(room, F.col("to"))))).select(*KEY, "at", F.lit(0).cast("long").alias("moved"))
         after = materialize(moved.union(stay), "shards")
         total = after.agg(F.sum("moved")).first()[0]
         groups = after.drop("moved")
