@@ -62,7 +62,7 @@ def test_sharding(spark):
     texts = ["hot"] * 400 + [f"pair {i // 2}" for i in range(200)] + [f"trio {i // 3}" for i in range(150)] + [prose(rng, 5) + str(i) for i in range(440)] + [None] * 5 + [""] * 4
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "x"), (3, "hot"), (3, "hot")]
     frame = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, shard int, law string")
-    for shards in (1, 7, 40):
+    for shards in (1, 7):
         got = sharding.shard(frame, shards).collect()
         assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t or "") + 16) for i, t in rows)
         sizes = Counter(r.shard for r in got)

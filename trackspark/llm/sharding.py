@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackspark.plans.lineage import materialize
+from trackspark.plans.lineage import discard, materialize
 
 from .registry import query, table
 
 SHARDS = 40
 #: Hashed steps of the admission order within a size class, and the number of rounds after which remaining links stay cut.
 STEPS, ROUNDS = 64, 60
+#: Rounds without a move that end the propagation; the admission order differs from round to round.
+PATIENCE = 2
 KEY = ["text_hash", "text_crc32", "size"]
 
 
@@ -46,12 +48,12 @@ def loads(groups: DataFrame, shards: int) -> list[int]:
 
 def propagate(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Rounds of moves towards each group's fullest shard with room; ``at`` holds a group's counts per shard."""
-    shards = len(quota)
+    shards, idle = len(quota), 0
     for number in range(rounds):
         load = loads(groups, shards)
         room = F.array(*[F.lit(max(0, q - n)) for q, n in zip(quota, load, strict=True)])
         rank = lambda x: F.struct(x["n"].alias("n"), (-x["shard"]).alias("shard"))
-        open_ = groups.withColumn("best", F.array_max(F.transform(F.filter("at", lambda x: F.get(room, x["shard"]) > 0), rank)))  # noqa: B023
+        open_ = groups.select(*KEY, "at").withColumn("best", F.array_max(F.transform(F.filter("at", lambda x: F.get(room, x["shard"]) > 0), rank)))  # noqa: B023
         free = [s for s in range(shards) if load[s] < quota[s]]
         chance = F.get(F.array(*map(F.lit, free)), F.pmod(F.xxhash64(*KEY, F.lit(~number)), F.lit(len(free))).cast("int")) if free else F.lit(None).cast("int")
         whole = F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + x["n"])
@@ -64,20 +66,29 @@ def propagate(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         steps = asks.where("asked > 0").groupBy("to", "step").agg(F.sum("asked").alias("sum"))
         before = F.sum("sum").over(Window.partitionBy("to").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
         left = F.get(room, F.col("to")) - F.coalesce(before, F.lit(0))
-        steps = steps.select("to", "step", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("sum"))).alias("share"))
+        steps = steps.select("to", "step", "sum", F.greatest(F.lit(0), F.least(F.col("sum"), left)).alias("left"))
         # At most one row per shard and step, of which each power of two has STEPS.
-        asks = asks.join(F.broadcast(steps), ["to", "step"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        share = F.when(F.col("fresh"), F.floor("share")).otherwise(F.col("share"))
-        gives = lambda x: F.when(goes(x), F.floor(x["n"] * share)).otherwise(0).cast("long")  # noqa: E731, B023
-        asks = asks.withColumn("moved", F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + gives(x)))  # noqa: B023
+        asks = asks.join(F.broadcast(steps), ["to", "step"], "left")
+        part = F.when(F.col("fresh"), F.lit(0)).otherwise(F.expr("asked * left div sum"))
+        asks = asks.withColumn("moved", F.when(F.col("left") >= F.col("sum"), F.col("asked")).otherwise(F.coalesce(part, F.lit(0))).cast("long"))
         at = F.when(F.col("fresh"), F.array_append("at", F.struct(F.col("to").cast("int").alias("shard"), F.lit(0).cast("long").alias("n")))).otherwise(F.col("at"))
-        kept = F.transform(at, lambda x: F.struct(x["shard"].alias("shard"), (x["n"] - gives(x) + F.when(x["shard"] == F.col("to"), F.col("moved")).otherwise(0)).cast("long").alias("n")))  # noqa: B023
+        none = F.array().cast("array<struct<shard:int,n:bigint>>")
+
+        def settle(s, x):
+            """Members leave in the order of the shards until the admitted number is reached."""
+            out = F.when(goes(x) & (x["shard"] != F.col("to")), F.least(x["n"], s["open"])).otherwise(F.lit(0).cast("long"))  # noqa: B023
+            stay = x["n"] - out + F.when(x["shard"] == F.col("to"), F.col("moved")).otherwise(0)
+            return F.struct((s["open"] - out).alias("open"), F.array_append(s["at"], F.struct(x["shard"].alias("shard"), stay.alias("n"))).alias("at"))
+
+        kept = F.aggregate(at, F.struct(F.col("moved").alias("open"), none.alias("at")), settle)["at"]
         moved = asks.select(*KEY, F.filter(kept, lambda x: x["n"] > 0).alias("at"), "moved")
         stay = open_.where(F.col("to").isNull() | (F.col("fresh") & (whole > F.get(room, F.col("to"))))).select(*KEY, "at", F.lit(0).cast("long").alias("moved"))
         after = materialize(moved.union(stay), "shards")
         total = after.agg(F.sum("moved")).first()[0]
-        groups = after.drop("moved")
-        if not total:
+        discard(groups)
+        groups = after
+        idle = 0 if total else idle + 1
+        if idle == PATIENCE:
             break
     return groups
 
