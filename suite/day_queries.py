@@ -115,7 +115,7 @@ def matched(v):
 
 
 def spans(v):
-    return stats.merge_spans(stats.stat_spans(matched(v)))
+    return stats.merge_spans(stats.stat_spans(v.messages, v.track_points))
 
 
 @query("match_endpoints", "SELECT track_id, row_no, row_no AS end_idx FROM messages")

@@ -60,12 +60,12 @@ def _(v):
 
 
 def pool(v):
-    """Every area for each of the five users."""
-    users = F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))
-    return v.areas.select("area_id", F.explode(users).alias("user_id"))
+    """Every user's scope: strips of the grid."""
+    users = v.events.select("user_id").distinct().withColumn("strip", F.expr("user_id % 16"))
+    return users.join(v.areas.withColumn("strip", F.expr("(area_id div 64) % 16")), "strip").select("user_id", "area_id", "country_id", "level_id")
 
 
-REGIONS = f"""{ADJ}, node AS (SELECT u::BIGINT AS user_id, area_id FROM areas, range(5) t(u) EXCEPT SELECT user_id, area_id FROM visits),
+REGIONS = f"""{ADJ}, node AS (SELECT u.user_id, area_id FROM areas JOIN (SELECT DISTINCT user_id FROM events) u ON (area_id // 64) % 16 = u.user_id % 16 EXCEPT SELECT user_id, area_id FROM visits),
  link AS (SELECT a.user_id, a.area_id, b.area_id AS nbr_id, shared_km FROM node a JOIN adj USING (area_id) JOIN node b ON b.user_id = a.user_id AND b.area_id = adj.nbr_id),
  reach(user_id, area_id, lab) AS (SELECT user_id, area_id, area_id FROM node UNION SELECT l.user_id, l.nbr_id, reach.lab FROM reach JOIN link l ON l.user_id = reach.user_id AND l.area_id = reach.area_id),
  comp AS (SELECT user_id, area_id, min(lab) AS region FROM reach GROUP BY ALL), ii AS (SELECT user_id, area_id, sum(shared_km) AS k FROM link GROUP BY ALL),
@@ -83,7 +83,7 @@ def _(v):
     return regions(v)
 
 
-@query("border_areas", f"{BASE}, {ADJ}, ab AS (SELECT DISTINCT adj.area_id FROM adj JOIN areas a ON a.area_id = adj.area_id JOIN areas b ON b.area_id = nbr_id WHERE a.country_id <> b.country_id) SELECT user_id, area_id FROM visits SEMI JOIN ab USING (area_id)")
+@query("border_areas", f"{BASE}, {ADJ}, ab AS (SELECT DISTINCT adj.area_id FROM adj JOIN areas a ON a.area_id = adj.area_id JOIN areas b ON b.area_id = nbr_id WHERE a.country_id <> b.country_id), rim AS (SELECT user_id, area_id FROM visits SEMI JOIN ab USING (area_id)), d AS (SELECT area_id, count(*) AS d FROM adj GROUP BY 1), g AS (SELECT user_id, area_id, coalesce(d, 0) AS d FROM visits ANTI JOIN rim USING (user_id) LEFT JOIN d USING (area_id)) SELECT user_id, area_id FROM rim UNION ALL SELECT user_id, area_id FROM (SELECT *, max(d) OVER (PARTITION BY user_id) AS top FROM g) q WHERE d < top")
 def _(v):
     return adjacency.border_areas(adj(v), v.areas, v.visits)
 
@@ -124,9 +124,9 @@ def _(v):
     return rnd(neighbors.nearest_to(wpool(v), asks), "km")
 
 
-@query("knn_enclosed", f"WITH {WPOOL}, {PAIR} SELECT user_id, area_id, {r('hits/8e0')} AS fraction FROM (SELECT plan_id % 3 AS user_id, rk.area_id, count(*) AS hits FROM rk JOIN pr ON pr.area_id = nbr_id WHERE rank <= 8 AND k < 70 GROUP BY ALL) z")
+@query("knn_enclosed", f"WITH {WPOOL}, {PAIR} SELECT user_id, area_id, {r('hits/8e0')} AS fraction FROM (SELECT plan_id AS user_id, rk.area_id, count(*) AS hits FROM rk JOIN pr ON pr.area_id = nbr_id WHERE rank <= 8 AND k < 70 GROUP BY ALL) z")
 def _(v):
-    seen = wpool(v).where("k < 70").selectExpr("plan_id % 3 AS user_id", "area_id")
+    seen = wpool(v).where("k < 70").selectExpr("plan_id AS user_id", "area_id")
     return rnd(neighbors.knn_enclosed(neighbors.knn(wpool(v), 8), seen), "fraction")
 
 
@@ -199,9 +199,9 @@ def _(v):
     return out.select("track_id", "pos", F.col("idx").cast("int").alias("idx"))
 
 
-@query("presence_check", f"WITH {VERT} SELECT plan_id, {r('min(km)')} AS nearest_km, min(km) <= 10 AS accepted FROM vd GROUP BY 1")
+@query("presence_check", f"WITH {VERT} SELECT plan_id, {r('min(km)')} AS nearest_km, coalesce(min(km) <= 10, FALSE) AS accepted FROM plans LEFT JOIN vd USING (plan_id) GROUP BY 1")
 def _(v):
-    return rnd(neighbors.presence_check(neighbors.min_dist(wished(v), line(v)), 10.0), "nearest_km")
+    return rnd(neighbors.presence_check(v.plans, neighbors.min_dist(wished(v), line(v)), 10.0), "nearest_km")
 
 
 @query("hole_report", f"""{BASE}, {SEG}, {cover_cte('credit')}, {SEGD}, ms AS (SELECT sd.*, name FROM sd ANTI JOIN (SELECT track_id AS plan_id, area_id FROM cov_credit) c USING (plan_id, area_id) JOIN areas USING (area_id)),
@@ -211,4 +211,4 @@ def _(v):
     covered = cov(v, "credit").withColumnRenamed("track_id", "plan_id")
     missed = wished(v).join(covered, ["plan_id", "area_id"], "left_anti")
     dist = neighbors.min_dist(missed, line(v), "segment").select("plan_id", "area_id", F.col("km").alias("dist_km"))
-    return coverage.hole_report(dist.join(v.areas.select("area_id", "name"), "area_id"))
+    return coverage.hole_report(dist.join(v.areas.select("area_id", "name"), "area_id"), names=60)

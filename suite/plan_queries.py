@@ -8,7 +8,7 @@ from trackspark.functions.names import category_key
 from trackspark.operators import adjacency, areas, coverage, legs, metrics, neighbors, pools, selection
 
 from .area_queries import BASE, PTS, SEG, cov, cover_cte, idx, inside, located
-from .neighbor_queries import ADJ, FRACTION, REGIONS, VERT, adj, line, per, regions, wished
+from .neighbor_queries import ADJ, FRACTION, REGIONS, VERT, adj, line, per, pool, regions, wished
 from .registry import half_up, hav, query, r, rnd
 from .scalars import _DX, BOXED, forms
 
@@ -92,17 +92,13 @@ def _(v):
     return rnd(legs.anchor_gaps(pools.anchors(anchor_forms(v)), line(v)), "gap_km")
 
 
-POOLED = "(SELECT u::BIGINT AS user_id, area_id, country_id, level_id FROM areas, range(5) t(u))"
-
-
-def user_pool(v):
-    users = F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))
-    return v.areas.select(F.explode(users).alias("user_id"), "area_id", "country_id", "level_id")
+#: Every user's scope: strips of the grid.
+POOLED = "(SELECT u.user_id, area_id, country_id, level_id FROM areas JOIN (SELECT DISTINCT user_id FROM events) u ON (area_id // 64) % 16 = u.user_id % 16)"
 
 
 @query("split_visited", f"WITH p AS (SELECT * FROM {POOLED} q), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, country_id, level_id ORDER BY area_id) AS k FROM p ANTI JOIN visits USING (user_id, area_id)) SELECT *, TRUE AS is_visited FROM p SEMI JOIN visits USING (user_id, area_id) UNION ALL SELECT user_id, area_id, country_id, level_id, FALSE FROM f WHERE k <= 100")
 def _(v):
-    return pools.split_visited(user_pool(v), v.visits, 100)
+    return pools.split_visited(pool(v), v.visits, 100)
 
 
 @query("scope_special", "SELECT s.area_id, 9 + area_id % 2 AS group_id FROM areas s WHERE holed AND (area_id % 2 = 1 OR EXISTS (SELECT 1 FROM areas a WHERE a.country_id = 1 AND a.area_id IN (s.area_id, s.area_id + 1)))")
@@ -120,23 +116,24 @@ def _(v):
     return pools.area_kind_names(a, levels, groups)
 
 
-@query("area_pool", """WITH f AS (SELECT plan_id % 20 AS plan_id, bool_or(plan_id % 7 <> 0 AND plan_id % 6 <> 0) AS lv, bool_or(plan_id % 4 = 1) AS gr FROM plans GROUP BY 1) SELECT plan_id, area_id, 'level' AS source FROM f JOIN areas ON special_group_id IS NULL AND country_id = CASE WHEN plan_id % 3 = 0 THEN 2 ELSE 1 END WHERE lv
- UNION ALL SELECT plan_id, area_id, 'group' FROM f JOIN areas ON special_group_id = 9 AND country_id = CASE WHEN plan_id % 3 = 0 THEN 2 ELSE 1 END WHERE gr""")
+@query("area_pool", """WITH f AS (SELECT plan_id, bool_or(plan_id % 7 <> 0 AND plan_id % 6 <> 0) AS lv, bool_or(plan_id % 4 = 1) AS gr FROM plans GROUP BY 1), p AS (SELECT plan_id, area_id, 'level' AS source FROM f JOIN areas ON special_group_id IS NULL AND country_id = CASE WHEN plan_id % 3 = 0 THEN 2 ELSE 1 END WHERE lv
+ UNION ALL SELECT plan_id, area_id, 'group' FROM f JOIN areas ON special_group_id = 9 AND country_id = CASE WHEN plan_id % 3 = 0 THEN 2 ELSE 1 END WHERE gr)
+ SELECT plan_id, source, count(*) AS areas, CAST(sum(area_id) AS BIGINT) AS ids FROM p GROUP BY 1, 2""")
 def _(v):
-    f = v.plans.groupBy((F.col("plan_id") % 20).alias("plan_id")).agg(F.expr("bool_or(plan_id % 7 <> 0 AND plan_id % 6 <> 0)").alias("lv"), F.expr("bool_or(plan_id % 4 = 1)").alias("gr"))
+    f = v.plans.groupBy("plan_id").agg(F.expr("bool_or(plan_id % 7 <> 0 AND plan_id % 6 <> 0)").alias("lv"), F.expr("bool_or(plan_id % 4 = 1)").alias("gr"))
     f = f.selectExpr("plan_id", "array(CASE WHEN plan_id % 3 = 0 THEN 2 ELSE 1 END) AS countries", "CASE WHEN lv THEN array(4, 5) END AS levels", "CASE WHEN gr THEN array(9) END AS groups")
-    return pools.area_pool(f, v.areas)
+    return pools.area_pool(f, v.areas).groupBy("plan_id", "source").agg(F.count("*").alias("areas"), F.sum("area_id").alias("ids"))
 
 
-@query("visited_union", f"{BASE}, {SEG}, {cover_cte('credit')} SELECT user_id, area_id FROM visits UNION SELECT track_id % 5, area_id FROM cov_credit")
+@query("visited_union", f"{BASE}, {SEG}, {cover_cte('credit')} SELECT user_id, area_id FROM visits UNION SELECT track_id, area_id FROM cov_credit")
 def _(v):
-    return pools.visited_union(v.visits, cov(v, "credit").selectExpr("track_id % 5 AS user_id", "area_id"))
+    return pools.visited_union(v.visits, cov(v, "credit").selectExpr("track_id AS user_id", "area_id"))
 
 
-@query("pool_status", "SELECT w.plan_id, count(*) FILTER (v.area_id IS NULL) AS open, count(*) FILTER (v.area_id IS NOT NULL) AS done, CASE WHEN count(*) FILTER (v.area_id IS NULL) > 0 THEN 'READY' ELSE 'ALL_VISITED' END AS status FROM wishes w LEFT JOIN visits v ON v.user_id = (w.plan_id+1) % 5 AND v.area_id = w.area_id GROUP BY 1")
+@query("pool_status", "SELECT w.plan_id, count(*) FILTER (v.area_id IS NULL) AS open, count(*) FILTER (v.area_id IS NOT NULL) AS done, CASE WHEN count(*) FILTER (v.area_id IS NULL) > 0 THEN 'READY' ELSE 'ALL_VISITED' END AS status FROM wishes w LEFT JOIN visits v ON v.user_id = w.plan_id+1 AND v.area_id = w.area_id GROUP BY 1")
 def _(v):
     seen = v.visits.withColumn("is_visited", F.lit(True))
-    pool = v.wishes.withColumn("user_id", (F.col("plan_id") + 1) % 5).join(seen, ["user_id", "area_id"], "left").fillna(False, ["is_visited"])
+    pool = v.wishes.withColumn("user_id", F.col("plan_id") + 1).join(seen, ["user_id", "area_id"], "left").fillna(False, ["is_visited"])
     return pools.pool_status(pool)
 
 
@@ -146,7 +143,7 @@ CROSSED = f"{BASE}, {SEG}, {cover_cte('credit')}, {VERT}"
 @query("score_candidates", f"{CROSSED} SELECT vd.plan_id, vd.area_id, c.area_id IS NOT NULL AS intersected, {r('CASE WHEN c.area_id IS NOT NULL THEN 0e0 ELSE 2*km+0.2e0 END')} AS detour_km FROM vd LEFT JOIN cov_credit c ON c.track_id = vd.plan_id AND c.area_id = vd.area_id")
 def _(v):
     crossed = cov(v, "credit").withColumnRenamed("track_id", "plan_id")
-    dist = neighbors.min_dist(wished(v), neighbors.thin_line(line(v)))
+    dist = neighbors.min_dist(wished(v), line(v))
     return rnd(selection.order_candidates(selection.score_candidates(v.wishes, crossed, dist)), "detour_km")
 
 
@@ -200,7 +197,7 @@ REWARDS = """cat AS (SELECT area_id, concat(country_id, ':', level_id, ':', coal
  cm AS (SELECT category, area_id, min(d) AS d FROM (SELECT a.category, a.area_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS d FROM cp a JOIN cp b ON a.category = b.category AND a.area_id <> b.area_id) q GROUP BY ALL),
  rew AS (SELECT category, greatest(0.1e0, CASE WHEN coalesce(sum(d), 0e0) > 0 THEN sum(d)/any_value(n)/10e0 ELSE 1e0 END) AS reward FROM ck LEFT JOIN cm USING (category) GROUP BY 1)"""
 SCORE = f"""{ADJ}, {FRACTION}, {REGIONS[len(ADJ) + 2:]}, {REWARDS}, {VERT}, sc AS (SELECT vd.plan_id, vd.area_id, km AS dist_km, coalesce(fraction, 0e0) AS fraction, reward, reward*(1e0+3e0*coalesce(fraction, 0e0)+CASE WHEN hole.size IS NOT NULL THEN 5e0/(1e0+ln(hole.size)) ELSE 0e0 END)/pow(greatest(0.05e0, km), 1.5e0) AS score, km <= 80 AS within
- FROM vd ANTI JOIN visits v ON v.user_id = (vd.plan_id+1) % 5 AND v.area_id = vd.area_id JOIN cat ON cat.area_id = vd.area_id JOIN rew USING (category) LEFT JOIN fr ON fr.user_id = (vd.plan_id+1) % 5 AND fr.area_id = vd.area_id LEFT JOIN hole ON hole.user_id = (vd.plan_id+1) % 5 AND hole.area_id = vd.area_id)"""
+ FROM vd ANTI JOIN visits v ON v.user_id = vd.plan_id+1 AND v.area_id = vd.area_id JOIN cat ON cat.area_id = vd.area_id JOIN rew USING (category) LEFT JOIN fr ON fr.user_id = vd.plan_id+1 AND fr.area_id = vd.area_id LEFT JOIN hole ON hole.user_id = vd.plan_id+1 AND hole.area_id = vd.area_id)"""
 
 
 def rewards(v):
@@ -214,8 +211,8 @@ def candidates(v):
 
 
 def of_plan(v, df):
-    """Per-user rows repeated for every plan of that user ((plan + 1) % 5)."""
-    return v.track_points.selectExpr("track_id AS plan_id", "(track_id + 1) % 5 AS user_id").distinct().join(df, "user_id").drop("user_id")
+    """Per-user rows as rows of that user's plan (the one numbered before the user)."""
+    return df.withColumn("plan_id", F.col("user_id") - 1).drop("user_id")
 
 
 def scored(v):
@@ -256,9 +253,10 @@ def _(v):
     return rnd(metrics.reward_p95(chosen(v)), "p95")
 
 
-@query("removal_candidates", f"""{BASE}, {ADJ}, {FRACTION}, {SEL}, {DETOUR}, p AS (SELECT plan_id, reward, row_number() OVER (PARTITION BY plan_id ORDER BY reward) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS n FROM sel), p95 AS (SELECT plan_id, max(reward) AS p95 FROM p WHERE i = floor(0.95e0*(n-1)) GROUP BY 1), sz AS (SELECT plan_id, count(*) AS n FROM sel GROUP BY 1),
+@query("removal_candidates", f"""{BASE}, {ADJ}, {FRACTION}, {SEG}, {cover_cte('credit')}, {SEL}, {DETOUR}, vs AS (SELECT sel.* FROM sel SEMI JOIN (SELECT track_id AS plan_id, area_id FROM cov_credit) c USING (plan_id, area_id)),
+ p AS (SELECT plan_id, reward, row_number() OVER (PARTITION BY plan_id ORDER BY reward) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS n FROM vs), p95 AS (SELECT plan_id, max(reward) AS p95 FROM p WHERE i = floor(0.95e0*(n-1)) GROUP BY 1), sz AS (SELECT plan_id, count(vs.area_id) AS n FROM (SELECT DISTINCT plan_id FROM sel) x LEFT JOIN vs USING (plan_id) GROUP BY 1),
  ab AS (SELECT DISTINCT adj.area_id FROM adj JOIN areas a ON a.area_id = adj.area_id JOIN areas b ON b.area_id = nbr_id WHERE a.country_id <> b.country_id),
- t AS (SELECT sel.*, coalesce(fraction, 0e0) AS fraction, reward/greatest(0.05e0, detour_km)*(1e0+coalesce(fraction, 0e0)) AS key FROM sel JOIN det USING (plan_id, pos) LEFT JOIN fr ON fr.user_id = (sel.plan_id+1) % 5 AND fr.area_id = sel.area_id),
+ t AS (SELECT sel.*, coalesce(fraction, 0e0) AS fraction, reward/greatest(0.05e0, detour_km)*(1e0+coalesce(fraction, 0e0)) AS key FROM sel JOIN det USING (plan_id, pos) LEFT JOIN fr ON fr.user_id = sel.plan_id+1 AND fr.area_id = sel.area_id),
  f AS (SELECT *, FALSE AS border FROM t WHERE fraction < 0.9), b AS (SELECT t.*, TRUE AS border FROM t JOIN p95 USING (plan_id) SEMI JOIN ab USING (area_id) WHERE reward < p95 AND NOT EXISTS (SELECT 1 FROM f WHERE f.plan_id = t.plan_id)),
  k AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY key, area_id) AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM b) u), o AS (SELECT plan_id, greatest(1, floor(n*(1.4e0-1)/1.4e0+0.5e0)) AS drop_n FROM sz)
  SELECT plan_id, area_id, CAST(rank AS INT) AS rank, border, {r('key')} AS key FROM k JOIN o USING (plan_id) WHERE rank <= drop_n""")
@@ -266,7 +264,7 @@ def _(v):
     share = of_plan(v, adjacency.neighbor_fraction(adj(v), per(v), v.visits))
     rim = of_plan(v, adjacency.border_areas(adj(v), v.areas, v.visits))
     plans = chosen(v).select("plan_id").distinct().withColumn("effort_frac", F.lit(1.4))
-    return rnd(selection.removal_candidates(chosen(v), legs.waypoint_detour(v.waypoints, v.legs), share, rim, plans), "key")
+    return rnd(selection.removal_candidates(chosen(v), legs.waypoint_detour(v.waypoints, v.legs), share, rim, plans, cov(v, "credit").withColumnRenamed("track_id", "plan_id")), "key")
 
 
 @query("order_waypoints", f"""WITH RECURSIVE b AS (SELECT min(lng) AS x0, max(lng) AS x1, min(lat) AS y0, max(lat) AS y1 FROM areas), e AS (SELECT plan_id, max(pos) AS last FROM waypoints GROUP BY 1),

@@ -131,9 +131,9 @@ ENC = """z AS (SELECT track_id, seq, unnest([dx, dy, dz]) AS d, unnest([0, 1, 2]
  zz AS (SELECT *, CASE WHEN d < 0 THEN -2*d-1 ELSE 2*d END AS v FROM z), ch AS (SELECT track_id, seq, k, i, chr(CAST(((v >> (5*i)) & 31) + CASE WHEN (v >> (5*i)) >= 32 THEN 32 ELSE 0 END + 63 AS INT)) AS c FROM zz, range(7) t(i) WHERE i = 0 OR (v >> (5*i)) > 0)"""
 
 
-@query("archive_tracks", f"WITH {ENC} SELECT track_id, string_agg(c, '' ORDER BY seq, k, i) AS encoded FROM ch GROUP BY 1")
+@query("archive_tracks", f"WITH {ENC} SELECT track_id, seq // 65536 AS part_no, string_agg(c, '' ORDER BY seq, k, i) AS encoded FROM ch GROUP BY 1, 2")
 def _(v):
-    return archive.archive_tracks(with_ele(v)).select("track_id", "encoded")
+    return archive.archive_tracks(with_ele(v)).select("track_id", "part_no", "encoded")
 
 
 @query("unarchive_tracks", f"SELECT track_id, seq, {r('floor(lng*1e6+0.5e0)/1e6', 6)} AS lng, {r('floor(lat*1e6+0.5e0)/1e6', 6)} AS lat, {r('floor(value*3e0*10e0+0.5e0)/10e0', 1)} AS ele FROM track_points")
@@ -165,7 +165,8 @@ def _(v):
 
 @query("tracks_to_geojson", """SELECT track_id, concat('{"type":"Feature","properties":{"id":', track_id, '},"geometry":{"type":"LineString","coordinates":[', string_agg(printf('[%.6f,%.6f]', lng, lat), ',' ORDER BY seq), ']}}') AS geojson FROM track_points GROUP BY 1""")
 def _(v):
-    return exports.tracks_to_geojson(v.track_points).select("track_id", "geojson")
+    pieces = exports.tracks_to_geojson(v.track_points, part=16).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("part_no", "geojson"))).alias("p"))
+    return pieces.select("track_id", F.array_join(F.transform("p", lambda x: x["geojson"]), "").alias("geojson"))
 
 
 @query("areas_to_geojson", """WITH g AS (SELECT area_id, ring_no, concat('[', string_agg(printf('[%.6f,%.6f]', lng, lat), ',' ORDER BY v), ',', min(CASE WHEN v = 0 THEN printf('[%.6f,%.6f]', lng, lat) END), ']') AS t FROM area_vertices GROUP BY ALL)
@@ -194,11 +195,8 @@ def _(v):
     path = scratch(v, "days")
     tables.replace_rows(session_days(v), path, buckets=8)
     fresh = v.drafts.where("user_id % 5 = 0 AND day_number = 1").selectExpr("user_id AS session_id", "draft_id AS day", "1.5D AS distance_km", "elevation_gain")
-    tables.replace_rows(fresh, path, buckets=8)
-    # Sessions of fives without a first day keep their old rows, as nothing was written for them.
-    kept = v.spark.read.parquet(path).drop("bucket")
-    stale = v.drafts.where("user_id % 5 = 0").selectExpr("user_id AS session_id").distinct().join(fresh.select("session_id").distinct(), "session_id", "left_anti")
-    return kept.join(stale, "session_id", "left_anti")
+    tables.replace_rows(fresh, path, buckets=8, sessions=v.drafts.where("user_id % 5 = 0").selectExpr("user_id AS session_id"))
+    return v.spark.read.parquet(path).drop("bucket")
 
 
 @query("upsert", "SELECT draft_id, user_id, CASE WHEN draft_id % 4 = 0 THEN 'new' ELSE name END AS name FROM drafts UNION ALL SELECT draft_id + 1000000, user_id, 'new' FROM drafts WHERE draft_id % 4 = 0")
@@ -234,10 +232,10 @@ def _(v):
     return tables.draft_summary(v.drafts.withColumn("geometry", F.repeat("name", 10)))
 
 
-@query("group_geometries", f"WITH {ENC}, e AS (SELECT track_id, string_agg(c, '' ORDER BY seq, k, i) AS encoded FROM ch GROUP BY 1) SELECT draft_id, group_id, day_number, distance_km, encoded FROM drafts JOIN e ON e.track_id = draft_id WHERE user_id BETWEEN 0 AND 1500 AND user_id = 7")
+@query("group_geometries", f"WITH {ENC}, e AS (SELECT track_id, seq // 65536 AS part_no, string_agg(c, '' ORDER BY seq, k, i) AS encoded FROM ch GROUP BY 1, 2) SELECT draft_id, group_id, day_number, distance_km, part_no, encoded FROM drafts JOIN e ON e.track_id = draft_id")
 def _(v):
-    text = archive.archive_tracks(with_ele(v)).select(F.col("track_id").alias("draft_id"), "encoded")
-    return tables.group_geometries(v.drafts, text, 7)
+    text = archive.archive_tracks(with_ele(v)).select(F.col("track_id").alias("draft_id"), "part_no", "encoded")
+    return tables.group_geometries(v.drafts, text)
 
 
 @query("order_drafts", "SELECT draft_id, updated_at FROM drafts")

@@ -60,7 +60,7 @@ DUCK = {
   a.c_lat + c.sy*CASE WHEN r.ring_no = 0 THEN a.half_deg ELSE 0.4e0*a.half_deg END AS lat
   FROM areas a CROSS JOIN (SELECT 0 AS ring_no UNION ALL SELECT 1) r
   CROSS JOIN (SELECT 0 AS v, -1 AS sx, -1 AS sy UNION ALL SELECT 1, 1, -1 UNION ALL SELECT 2, 1, 1 UNION ALL SELECT 3, -1, 1) c WHERE r.ring_no = 0 OR a.holed""",
-    "visits": "SELECT DISTINCT user_id % 5 AS user_id, (event_id*7) % grid.n AS area_id FROM events, grid",
+    "visits": "SELECT DISTINCT user_id, (event_id*7 + k) % g.n AS area_id FROM events, (SELECT max(n) AS n FROM grid) g, range(10) t(k)",
     "wishes": "SELECT DISTINCT user_id AS plan_id, (event_id*7) % grid.n AS area_id FROM events, grid",
     "waypoints": """SELECT track_id AS plan_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS INT) AS pos, seq, lng, lat, k FROM track_points WHERE event_type = 'signup'""",
     "legs": """SELECT plan_id, pos, a_lng, a_lat, lng AS b_lng, lat AS b_lat, CASE WHEN (plan_id + pos) % 13 = 0 THEN concat('target island detected for section ', CAST(pos AS STRING))
@@ -209,7 +209,8 @@ class Views:
 
     @cached_property
     def visits(self):
-        return self._pairs("user_id % 5", "user_id")
+        rows = self.events.withColumn("n", self._count(self._customers)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+        return rows.selectExpr("user_id", "(event_id*7 + k) % n AS area_id").distinct()
 
     @cached_property
     def wishes(self):

@@ -19,7 +19,8 @@ def tag_value(way_tags, key: str) -> Column:
     """Value of the first ``key=`` token; NULL when absent or empty."""
     prefix = key + "="
     hits = F.filter(F.split(col(way_tags), " "), lambda t: t.startswith(prefix))
-    value = F.substring(F.get(hits, F.lit(0)), len(prefix) + 1, 1 << 20)
+    token = F.get(hits, F.lit(0))
+    value = F.substr(token, F.lit(len(prefix) + 1), F.length(token))
     return F.when(value != "", value)
 
 

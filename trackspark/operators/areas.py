@@ -75,7 +75,8 @@ def largest_part(area_vertices: DataFrame) -> DataFrame:
 
 
 def sample_ring(area_vertices: DataFrame, max_points: int) -> DataFrame:
-    """Every max(1, n / max)-th vertex of each ring, renumbered; rings left with fewer than three are dropped.
+    """Every max(1, n / max)-th vertex of each ring, renumbered; rings left with fewer than three are dropped,
+    and with an outer ring its holes.
 
     Holes keep at most half as many points as outer rings, but at least eight.
     """
@@ -83,6 +84,8 @@ def sample_ring(area_vertices: DataFrame, max_points: int) -> DataFrame:
     allowed = F.when(F.col("ring_no") == 0, F.lit(max(1, max_points))).otherwise(F.lit(max(8, max_points // 2)))
     size = size.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / allowed)))
     size = size.where(F.ceil(F.col("n") / F.col("step")) >= 3)
+    outer = size.where("ring_no = 0").select("area_id", "part_no")
+    size = size.join(outer, ["area_id", "part_no"], "left_semi")
     out = area_vertices.join(size, RING).where(F.col("v") % F.col("step") == 0)
     return out.withColumn("v", (F.col("v") / F.col("step")).cast("int")).select(*RING, "v", "lng", "lat")
 
@@ -120,10 +123,11 @@ def geometry(areas: DataFrame, area_vertices: DataFrame, cos) -> DataFrame:
     return out.withColumns({n: f(F.col("edges")[c]) for n, (f, c) in box.items()})
 
 
-def with_deepest(geoms: DataFrame, tolerance_deg: float, rounds: int = 10, name: str = "deepest", only=None) -> DataFrame:
+def with_deepest(geoms: DataFrame, tolerance_deg: float, name: str = "deepest", only=None) -> DataFrame:
     """Add ``struct(d, x, y)``: a point whose distance to the boundary is within the tolerance of the largest.
 
-    Starts from the box centre and a grid; every round splits the cells that could still hold a deeper point.
+    Starts from the box centre and a grid; every round splits the cells that could still hold a deeper point, until
+    cells are so small that none can.
     All inside one row, without a join. ``only`` limits the work to rows where it holds.
     """
     grid = 6
@@ -143,6 +147,7 @@ def with_deepest(geoms: DataFrame, tolerance_deg: float, rounds: int = 10, name:
     finer = f"transform(flatten(transform({open_cells}, c -> {split})), {rate})"
     step = f"transform(array({finer}), f -> named_struct('cells', f, 'best', greatest(acc.best, coalesce(array_max(f), acc.best))))[0]"
     start = f"transform(array(transform({cells}, {rate})), f -> named_struct('cells', f, 'best', array_max(f)))[0]"
+    rounds = f"CAST(ceil(log2(greatest(2D, {half} * {grid * 1.5}D / {tolerance_deg}D))) AS INT) + 1"
     best = f"aggregate(sequence(1, {rounds}), {start}, (acc, i) -> {step}, acc -> acc.best)"
     return geoms.withColumn(name, F.expr(f"CASE WHEN {guard} THEN {best} END"))
 

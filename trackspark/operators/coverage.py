@@ -27,7 +27,6 @@ FIRST_ENTRY_M = 20.0
 MERGE_KM, TRANSIT_KM, REANCHOR_KM = 0.03, 0.08, 25.0
 REVISIT_GAP_KM = 10.0
 HOLE_BUCKETS_KM = (3.0, 6.0, 15.0)
-HOLE_NAMES = 60
 LONG_LEGS = 15
 CELL_DEG = 0.05
 
@@ -343,18 +342,20 @@ def coverage_sets(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     return a.intersect(b) if op == "intersect" else a.exceptAll(b)
 
 
-def hole_report(missed: DataFrame) -> DataFrame:
-    """Missed areas per plan by distance, with the first names: input ``(plan_id, area_id, name, dist_km)``."""
+def hole_report(missed: DataFrame, names: int | None = None) -> DataFrame:
+    """Missed areas per plan by distance: input ``(plan_id, area_id, name, dist_km)``; ``names`` asks for so many first names."""
     a, b, c = HOLE_BUCKETS_KM
     d = F.col("dist_km")
     counts = missed.groupBy("plan_id").agg(
         F.count("*").alias("holes"), F.count_if(d <= a).alias("near"), F.count_if((d > a) & (d <= b)).alias("close"),
         F.count_if((d > b) & (d <= c)).alias("mid"), F.count_if(d > c).alias("far"),
     )
+    if names is None:
+        return counts
     label = F.concat(F.col("name"), F.lit("("), F.floor(d + 0.5).cast("string"), F.lit("km)"))
-    first = top_k(missed.select("plan_id", "area_id", label.alias("label")), "plan_id", [F.col("area_id")], HOLE_NAMES)
-    names = first.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("l"))
-    return counts.join(names.select("plan_id", F.array_join(F.transform("l", lambda x: x["label"]), ",").alias("names")), "plan_id")
+    first = top_k(missed.select("plan_id", "area_id", label.alias("label")), "plan_id", [F.col("area_id")], names)
+    listed = first.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("l"))
+    return counts.join(listed.select("plan_id", F.array_join(F.transform("l", lambda x: x["label"]), ",").alias("names")), "plan_id")
 
 
 def long_legs(legs: DataFrame, leg_areas: DataFrame, k: int = LONG_LEGS) -> DataFrame:

@@ -14,7 +14,7 @@ from ..plans.ranges import points_in_ranges
 from .tracks import cum_distance
 
 WINDOW_KM = 120.0  # fixed value: length of one elevation request
-WINDOW_SAMPLES = 500  # fixed value: samples per request
+
 _TILE = ["tile_lat", "tile_lng"]
 
 
@@ -150,9 +150,17 @@ def elevation_windows(points: DataFrame, window_km: float = WINDOW_KM) -> DataFr
     return opened.join(first, ["track_id", "i"]).select("track_id", F.col("i").alias("start_i"), F.col("nx").alias("end_i"))
 
 
-def enrich_elevation(points: DataFrame, cells: DataFrame, spans: DataFrame, samples: int = WINDOW_SAMPLES) -> DataFrame:
-    """3-D track: at most ``samples`` heights per window, linear in between, tunnels and bridges flattened."""
+def enrich_elevation(points: DataFrame, cells: DataFrame, spans: DataFrame, samples: int | None = None) -> DataFrame:
+    """3-D track: a height at every vertex, tunnels and bridges flattened.
+
+    With ``samples`` only that many vertices per window are looked up and the rest is linear in between.
+    """
     along = materialize(cum_distance(points.select("track_id", "seq", "lng", "lat")), "distance")
+    if samples is None:
+        z = sample_dem(along, cells).select("track_id", "seq", "lng", "lat", "cum_m", "ele")
+        profile = z.select("track_id", F.col("cum_m").alias("x"), F.col("ele").alias("v"))
+        z = interp_join(z.drop("ele").withColumnRenamed("cum_m", "x"), profile).select("track_id", "seq", "lng", "lat", F.col("x").alias("cum_m"), F.col("v").alias("ele"))
+        return flatten_spans(materialize(z, "heights"), spans)
     wins = elevation_windows(points).withColumn("size", F.col("end_i") - F.col("start_i") + 1)
     picks = F.when(F.col("size") <= samples, F.sequence("start_i", "end_i")).otherwise(
         F.transform(F.sequence(F.lit(0), F.lit(samples - 1)),

@@ -53,16 +53,21 @@ def leg_cost_or_fallback(legs: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 def waypoint_detour(route: DataFrame, legs: DataFrame) -> DataFrame:
-    """Extra km of each inner way-point: routed in + routed out - straight line past it, at least 0."""
+    """Extra km of each inner way-point: routed in + routed out - straight line past it, at least 0.
+
+    A leg that is not in the table counts 1.3 times the straight line, like a failed one.
+    """
     near = with_neighbors(
         route.select("plan_id", "pos", "lng", "lat"), "plan_id", "pos",
         prev={"p_lng": "lng", "p_lat": "lat"}, nxt={"n_lng": "lng", "n_lat": "lat"},
     ).drop("_chunk").where("p_lng IS NOT NULL AND n_lng IS NOT NULL")
     cost = with_key(leg_cost_or_fallback(legs)).dropDuplicates(["k"]).select("k", "km")
     near = near.withColumns({"k_in": leg_key("p_lng", "p_lat", "lng", "lat"), "k_out": leg_key("lng", "lat", "n_lng", "n_lat")})
-    near = near.join(cost.select(F.col("k").alias("k_in"), F.col("km").alias("in_km")), "k_in")
-    near = near.join(cost.select(F.col("k").alias("k_out"), F.col("km").alias("out_km")), "k_out")
-    extra = F.col("in_km") + F.col("out_km") - haversine_km("p_lng", "p_lat", "n_lng", "n_lat")
+    near = near.join(cost.select(F.col("k").alias("k_in"), F.col("km").alias("in_km")), "k_in", "left")
+    near = near.join(cost.select(F.col("k").alias("k_out"), F.col("km").alias("out_km")), "k_out", "left")
+    into = F.coalesce("in_km", ROAD_FACTOR * haversine_km("p_lng", "p_lat", "lng", "lat"))
+    onward = F.coalesce("out_km", ROAD_FACTOR * haversine_km("lng", "lat", "n_lng", "n_lat"))
+    extra = into + onward - haversine_km("p_lng", "p_lat", "n_lng", "n_lat")
     return near.select("plan_id", "pos", F.greatest(F.lit(0.0), extra).alias("detour_km"))
 
 

@@ -179,7 +179,7 @@ def knn_enclosed(nbrs: DataFrame, visited: DataFrame) -> DataFrame:
     return hits.join(size, "area_id").select("user_id", "area_id", (F.col("hits") / F.col("k")).alias("fraction"))
 
 
-def presence_check(distances: DataFrame, radius_km: float = PRESENCE_KM) -> DataFrame:
-    """Nearest candidate per plan and whether it is near enough to plan at all."""
-    near = distances.groupBy("plan_id").agg(F.min("km").alias("nearest_km"))
-    return near.withColumn("accepted", F.col("nearest_km") <= radius_km)
+def presence_check(plans: DataFrame, distances: DataFrame, radius_km: float = PRESENCE_KM) -> DataFrame:
+    """Nearest candidate of every plan and whether it is near enough to plan at all; a plan without any is rejected."""
+    near = plans.select("plan_id").distinct().join(distances.groupBy("plan_id").agg(F.min("km").alias("nearest_km")), "plan_id", "left")
+    return near.withColumn("accepted", F.coalesce(F.col("nearest_km") <= radius_km, F.lit(False)))

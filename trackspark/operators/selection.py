@@ -15,7 +15,6 @@ from .metrics import reward_p95
 from .neighbors import cheapest_insert
 
 # Fixed values.
-MAX_TILES = 12_000
 W_ADJACENT, W_HOLE, MIN_DIST_KM, DIST_POWER = 3.0, 5.0, 0.05, 1.5
 JUMP_FLOOR_KM, JUMP_RATIO = 200.0, 2.0
 BATCH, BATCH_PRECISE, PRECISE_FROM = 20, 6, 0.80
@@ -55,7 +54,7 @@ def owned_areas(owned: DataFrame, z: int = 14) -> DataFrame:
     return ranked.select("plan_id", (-F.col("n")).alias("area_id"), "tile_key", c["lng"].alias("lng"), c["lat"].alias("lat"))
 
 
-def cap_tiles(tiles: DataFrame, n: int = MAX_TILES, z: int = 14) -> DataFrame:
+def cap_tiles(tiles: DataFrame, n: int, z: int = 14) -> DataFrame:
     """Per plan the ``n`` tiles nearest the straight line from start to finish."""
     c = tile_center("x", "y", z)
     d = point_segment_deg(c["lng"], c["lat"], "start_lng", "start_lat", "end_lng", "end_lat")
@@ -99,21 +98,23 @@ def round_summary(scored: DataFrame, k: int) -> DataFrame:
                     ((inserted == 0) & (F.col("beyond") > 0)).alias("jump_ahead"), "next_km")
 
 
-def removal_candidates(selected: DataFrame, detours: DataFrame, fractions: DataFrame, rim: DataFrame, plans: DataFrame) -> DataFrame:
+def removal_candidates(selected: DataFrame, detours: DataFrame, fractions: DataFrame, rim: DataFrame, plans: DataFrame, reached: DataFrame) -> DataFrame:
     """Way-points to give up when a plan is over budget: ``(plan_id, area_id, rank, border, key)``.
 
-    ``selected`` is ``(plan_id, area_id, pos, reward)``; ``plans`` is ``(plan_id, effort_frac)``. Areas not enclosed
+    ``selected`` is ``(plan_id, area_id, pos, reward)``; ``plans`` is ``(plan_id, effort_frac)``, ``reached``
+    the areas each route really visits, over which counts and percentiles are taken. Areas not enclosed
     go first; a plan whose areas are all enclosed gives up rim areas below its 95th reward percentile.
     """
+    counted = selected.join(reached.select(*KEY).distinct(), KEY, "left_semi")
     rows = selected.join(detours, ["plan_id", "pos"]).join(fractions.select(*KEY, "fraction"), KEY, "left").fillna(0.0, ["fraction"])
     worth = F.col("reward") / F.greatest(F.lit(DETOUR_FLOOR_KM), F.col("detour_km")) * (1.0 + F.col("fraction"))
     rows = rows.withColumn("key", worth)
     fringe = rows.where(F.col("fraction") < HOLE_FRACTION).withColumn("border", F.lit(False))
     inner = rows.join(fringe.select("plan_id").distinct(), "plan_id", "left_anti")
-    edge = inner.join(rim.select(*KEY), KEY, "left_semi").join(reward_p95(selected), "plan_id").where("reward < p95").drop("p95")
+    edge = inner.join(rim.select(*KEY), KEY, "left_semi").join(reward_p95(counted), "plan_id").where("reward < p95").drop("p95")
     both = fringe.unionByName(edge.withColumn("border", F.lit(True)))
-    size = selected.groupBy("plan_id").agg(F.count("*").alias("n"))
-    over = plans.where("effort_frac > 1").join(size, "plan_id")
+    size = counted.groupBy("plan_id").agg(F.count("*").alias("n"))
+    over = plans.where("effort_frac > 1").join(size, "plan_id", "left").fillna(0, ["n"])
     f = F.col("effort_frac")
     over = over.select("plan_id", F.greatest(F.lit(1), F.floor(F.col("n") * (f - 1) / f + 0.5)).alias("drop_n"))
     ranked = both.join(over, "plan_id").withColumn("rank", F.row_number().over(Window.partitionBy("plan_id").orderBy("key", "area_id")))

@@ -88,9 +88,9 @@ def match_endpoints(messages: DataFrame, points: DataFrame) -> DataFrame:
     return messages.join(state.select("track_id", "row_no", "end_idx"), ["track_id", "row_no"], "left")
 
 
-def stat_spans(matched: DataFrame) -> DataFrame:
-    """Spans per dimension from matched messages; a message that does not advance loses only its span."""
-    live = matched.where("dist_m > 0")
+def stat_spans(messages: DataFrame, points: DataFrame) -> DataFrame:
+    """Spans per dimension of messages with a length, matched among themselves; one that does not advance loses only its span."""
+    live = match_endpoints(messages.where("dist_m > 0"), points)
     live = running_max(live, "track_id", "row_no", "end_idx", "start_idx").withColumn("start_idx", F.coalesce("start_idx", F.lit(0)))
     return classified(live.where(F.col("end_idx") > F.col("start_idx"))).select("track_id", "dim", "row_no", "start_idx", "end_idx", "code")
 

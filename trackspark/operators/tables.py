@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialize
+from ..plans.lineage import materialize, path_exists, remove
 
 DAY_NAME = " – Dzień "  # fixed value
 FORM_FIELDS = ["countries", "levels", "groups", "via", "is_loop", "days", "km_per_day", "elev_per_day", "profile"]
 
 
-def replace_rows(new_rows: DataFrame, path: str, key: str = "session_id", buckets: int = 64) -> None:
-    """Replace all rows of every session in ``new_rows``: only the touched buckets of the table are rewritten."""
-    rows = new_rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    try:
-        stored = new_rows.sparkSession.read.parquet(path)
-    except AnalysisException:
-        stored = None
-    if stored is not None:
-        touched = stored.join(rows.select("bucket").distinct(), "bucket", "left_semi")
-        kept = touched.join(rows.select(key).distinct(), key, "left_anti")
-        rows = materialize(kept.unionByName(rows), "replace")
-    writer = rows
-    writer.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def replace_rows(new_rows: DataFrame, path: str, key: str = "session_id", buckets: int = 64, sessions: DataFrame | None = None) -> None:
+    """Replace all rows of every session in ``new_rows`` and ``sessions``: only the touched buckets are rewritten.
+
+    A session listed in ``sessions`` without new rows is emptied.
+    """
+    spark, bucket = new_rows.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    rows = new_rows.withColumn("bucket", bucket)
+    if path_exists(spark, path):
+        keys = new_rows.select(key)
+        keys = (keys if sessions is None else keys.unionByName(sessions.select(key))).distinct().select(key, bucket)
+        stored = spark.read.parquet(path)
+        touched = stored.join(keys.select("bucket").distinct(), "bucket", "left_semi")
+        rows = materialize(touched.join(keys.select(key), key, "left_anti").unionByName(rows), "replace")
+        full = {r.bucket for r in rows.select("bucket").distinct().collect()}
+        emptied = [r.bucket for r in touched.select("bucket").distinct().collect() if r.bucket not in full]
+    else:
+        emptied = []
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in emptied:
+        remove(spark, f"{path}/bucket={b}")
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,10 +83,10 @@ def draft_summary(drafts: DataFrame) -> DataFrame:
     return drafts.select("draft_id", "user_id", "name", "group_id", "day_number", "distance_km", "elevation_gain", "updated_at")
 
 
-def group_geometries(drafts: DataFrame, archive: DataFrame, user_id: int) -> DataFrame:
-    """All day geometries of a user's groups in one read."""
-    mine = owned_by(drafts, [user_id]).select("draft_id", "group_id", "day_number", "distance_km")
-    return mine.join(archive, "draft_id")
+def group_geometries(drafts: DataFrame, archive: DataFrame, users: list[int] | None = None) -> DataFrame:
+    """All day geometries of the users' groups (default: of all users) in one read; archive parts keep their number."""
+    mine = drafts if users is None else owned_by(drafts, users)
+    return mine.select("draft_id", "group_id", "day_number", "distance_km").join(archive, "draft_id")
 
 
 def order_drafts(drafts: DataFrame) -> DataFrame:

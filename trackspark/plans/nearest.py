@@ -2,7 +2,9 @@
 
 Sites are rolled up into cells four times finer per level. A query walks down from the coarse cells and keeps
 a cell only while its lower bound does not exceed the k-th smallest upper bound seen, so far-away sites are
-never paired with it and no result depends on a search radius. Sites may have an extent (``sr``), which lets
+never paired with it and no result depends on a search radius. Levels are added until no finest cell is crowded, and of
+sites that differ in nothing but their id only as many as can be asked for are kept, so crowds are not paired point by
+point either. Sites may have an extent (``sr``), which lets
 segments be searched by their middle point.
 """
 
@@ -12,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import spread
+from .lineage import materialize
 
 BRANCH = 4
 SALTS = 16
+#: Sites in a finest cell, and levels after which cells are not halved any more.
+LEAF, MAX_LEVELS = 64, 20
 _AXES = ("x", "y", "z")
 
 
@@ -34,6 +39,17 @@ def _bounds(slack: float) -> tuple[Column, Column]:
     return F.sqrt(near) * (1 - slack) - r * (1 + slack), F.sqrt(far) * (1 + slack) + r * (1 + slack)
 
 
+def _levels(sites: DataFrame, group: list[str], levels: int, root: float, need: int) -> int:
+    """So many levels that no finest cell is crowded."""
+    while levels < MAX_LEVELS:
+        size = root / BRANCH ** (levels - 1)
+        n = sites.groupBy(*group, *[F.floor(F.col("s" + a) / size).alias("c" + a) for a in _AXES]).count().agg(F.max("count")).first()[0]
+        if n is None or n <= max(LEAF, 4 * need):
+            break
+        levels += 1
+    return levels
+
+
 def nearest(
     queries: DataFrame,
     sites: DataFrame,
@@ -55,6 +71,10 @@ def nearest(
     """
     group = group or []
     need = k + spare
+    # Sites alike in all but their id differ in nothing but the tie, so the first ``need`` of them decide.
+    alike = Window.partitionBy(*[c for c in sites.columns if c != tie]).orderBy(tie)
+    sites = materialize(sites.withColumn("_alike", F.row_number().over(alike)).where(F.col("_alike") <= need).drop("_alike"), "sites")
+    levels = _levels(sites, group, levels, root, need)
     sizes = [root / BRANCH**i for i in range(levels)]
     sited = sites.select("*", *[F.floor(F.col("s" + a) / sizes[-1]).alias("c" + a) for a in _AXES])
 

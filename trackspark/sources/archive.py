@@ -18,7 +18,7 @@ from ..plans.chunks import with_neighbors
 
 # Precision of degrees and metres, character offset, continuation bit.
 DEG_SCALE, Z_SCALE, OFFSET, MORE = 1e6, 1e1, 63, 32
-MAX_GROUPS = 7
+GROUPS = 13  # five bits each: any 64-bit number
 PART = 65_536
 POINTS = "track_id bigint, seq int, lng double, lat double, ele double"
 
@@ -27,8 +27,8 @@ def _text(delta: Column) -> Column:
     """One signed number as characters, lowest five bits first."""
     v = F.when(delta < 0, -2 * delta - 1).otherwise(2 * delta)
     out = []
-    for i in range(MAX_GROUPS):
-        rest = F.floor(v / float(1 << (5 * i))).cast("bigint")
+    for i in range(GROUPS):
+        rest = F.shiftright(v, 5 * i)
         code = rest % 32 + F.when(rest >= 32, MORE).otherwise(0) + OFFSET
         out.append(F.char(code) if i == 0 else F.when(rest > 0, F.char(code)).otherwise(F.lit("")))
     return F.concat(*out)

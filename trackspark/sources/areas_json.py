@@ -24,16 +24,19 @@ def read_areas(areas: DataFrame) -> DataFrame:
     """Vertices of GeoJSON polygons, multi-polygons, geometry collections and bare rings.
 
     ``areas`` is ``(area_id, geometry)`` with the geometry as JSON text; NULL or unparsable geometry yields nothing.
+    Parts are numbered by position over all members; a polygon whose outer ring has fewer than three points is left out
+    with its holes.
     """
     g = areas.withColumn("g", F.from_json("geometry", _GEOMETRY)).where("g IS NOT NULL")
-    own = F.coalesce(_polygons(F.col("g.coordinates")), F.expr("array()").cast(_POLYGONS))
+    none = F.expr("array()").cast(_POLYGONS)
+    own = F.coalesce(_polygons(F.col("g.coordinates")), none)
+    members = F.flatten(F.transform("g.geometries", lambda c: F.coalesce(_polygons(c["coordinates"]), none)))
     g = g.withColumn("own", own)
-    child = g.where("size(own) = 0").select("area_id", F.posexplode("g.geometries").alias("src", "c")).select("area_id", "src", _polygons(F.col("c.coordinates")).alias("polys"))
-    rows = g.where("size(own) > 0").select("area_id", F.lit(0).alias("src"), F.col("own").alias("polys")).unionByName(child)
-    per = rows.select("area_id", "src", F.posexplode("polys").alias("p", "rings"))
-    per = per.select("area_id", (F.col("src") * 100_000 + F.col("p")).alias("part_no"), F.posexplode("rings").alias("ring_no", "ring"))
-    good = F.filter("ring", lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull())
-    out = per.withColumn("ring", good).where(F.size("ring") >= 3)
+    rows = g.select("area_id", F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce(members, none)).alias("polys"))
+    per = rows.select("area_id", F.posexplode("polys").alias("part_no", "rings"))
+    good = lambda ring: F.filter(ring, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull())
+    per = per.withColumn("rings", F.transform("rings", good)).where(F.coalesce(F.size(F.get("rings", F.lit(0))) >= 3, F.lit(False)))
+    out = per.select("area_id", "part_no", F.posexplode("rings").alias("ring_no", "ring")).where(F.size("ring") >= 3)
     out = out.select("area_id", "part_no", "ring_no", F.posexplode("ring").alias("v", "pt"))
     return out.select("area_id", "part_no", "ring_no", "v", F.col("pt")[0].alias("lng"), F.col("pt")[1].alias("lat"))
 

@@ -56,12 +56,19 @@ def write_gpx(drafts: DataFrame, points: DataFrame, path: str) -> None:
 
 
 def tracks_to_geojson(points: DataFrame, key: str = "track_id", part: int = 65_536) -> DataFrame:
-    """LineString features of six-decimal coordinates: ``(key, part_no, geojson)``; long tracks give several parts."""
+    """LineString features of six-decimal coordinates in pieces ``(key, part_no, geojson)``.
+
+    A track's pieces joined in the order of ``part_no`` are its one feature: head, coordinates of ``part`` points each, tail.
+    """
     pair = F.format_string("[%.6f,%.6f]", "lng", "lat")
     rows = points.groupBy(key, F.floor(F.col("seq") / part).alias("part_no")).agg(F.array_sort(F.collect_list(F.struct("seq", pair.alias("p")))).alias("r"))
     coords = F.array_join(F.transform("r", lambda x: x["p"]), ",")
     head = F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col(key).cast("string"), F.lit('},"geometry":{"type":"LineString","coordinates":['))
-    return rows.select(key, "part_no", F.concat(head, coords, F.lit("]}}")).alias("geojson"))
+    body = rows.select(key, "part_no", F.concat(F.when(F.col("part_no") > 0, ",").otherwise(""), coords).alias("geojson"))
+    ids = points.select(key).distinct()
+    open_tag = ids.select(key, F.lit(-1).cast("bigint").alias("part_no"), head.alias("geojson"))
+    close = ids.select(key, F.lit(1 << 60).alias("part_no"), F.lit("]}}").alias("geojson"))
+    return body.unionByName(open_tag).unionByName(close)
 
 
 def areas_to_geojson(area_vertices: DataFrame) -> DataFrame:

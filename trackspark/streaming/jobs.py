@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import coarse_phase
+from ..plans.lineage import path_exists
 from .state import LATEST_SCHEMA, RUNNING_SCHEMA, TILE_SCHEMA, LatestTask, NewTiles, RunningEffort
 
 WATERMARK = "1 hour"
 
 
 def stream_new_tiles(points: DataFrame, z: int = 14, watermark: str = WATERMARK) -> DataFrame:
-    """Tiles a user enters for the first time: ``(user_id, tile_key, ts)``; exact across micro-batches."""
-    rows = points.select("user_id", "ts", "seq", "lng", "lat").withWatermark("ts", watermark)
+    """Tiles a user enters for the first time: ``(user_id, tile_key, ts)``; exact across micro-batches.
+
+    Points go by time within their track; no line is drawn from one track of a user to the next.
+    """
+    rows = points.select("user_id", "track_id", "ts", "seq", "lng", "lat").withWatermark("ts", watermark)
     return rows.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=NewTiles(z), outputStructType=TILE_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
@@ -63,15 +67,11 @@ def stream_latest_frames(frames: DataFrame, path: str, checkpoint: str):
     Each micro-batch writes a new version ``v<batch>`` from the one before, so a repeated batch gives the same table
     and a failed one leaves the last version whole.
     """
-    from pyspark.errors import AnalysisException
-
     def write(batch: DataFrame, number: int) -> None:
         new = latest_frames(batch)
-        if number > 0:
-            try:
-                new = latest_rows(new.unionByName(batch.sparkSession.read.parquet(f"{path}/v{number - 1}")))
-            except AnalysisException:
-                pass
+        before = f"{path}/v{number - 1}"
+        if path_exists(batch.sparkSession, before):
+            new = latest_rows(new.unionByName(batch.sparkSession.read.parquet(before)))
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

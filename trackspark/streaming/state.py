@@ -49,38 +49,47 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class NewTiles(StatefulProcessor):
-    """Last point and the set of tiles won, per user."""
+    """Last point of each track and the set of tiles won, per user."""
 
     def __init__(self, z: int):
         self.z = z
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq int, lng double, lat double")
+        self.last = handle.getMapState("last", "track_id bigint", "ms bigint, seq int, lng double, lat double")
         self.won = handle.getMapState("won", "tile_key bigint", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _ordered(rows)
-        prev = self.last.get() if self.last.exists() else None
-        if prev is not None:
-            pdf = pdf[pdf.seq > prev[0]]
+        parts = list(rows)
+        if not parts:
+            return
+        out: list[tuple] = []
+        for track, pdf in pd.concat(parts).sort_values(["ts", "seq"], kind="stable").groupby("track_id", sort=True):
+            self._track(key[0], int(track), pdf, out)
+        yield pd.DataFrame(out, columns=["user_id", "tile_key", "ts"])
+
+    def _track(self, user: int, track: int, pdf: pd.DataFrame, out: list[tuple]) -> None:
+        prev = None
+        ms = pdf.ts.astype("datetime64[ms]").astype("int64")
+        if self.last.containsKey((track,)):
+            at, seq, *prev = self.last.getValue((track,))
+            later = (ms > at) | ((ms == at) & (pdf.seq > seq))
+            pdf, ms = pdf[later], ms[later]
         if pdf.empty:
             return
         fx, fy = frac_tiles(pdf.lng.to_numpy(), pdf.lat.to_numpy(), self.z)
         if prev is not None:
-            px, py = (a[0] for a in frac_tiles(np.array([prev[1]]), np.array([prev[2]]), self.z))
+            px, py = (a[0] for a in frac_tiles(np.array([prev[0]]), np.array([prev[1]]), self.z))
         else:
             px, py = fx[0], fy[0]
-        out = []
         for x, y, ts in zip(fx, fy, pdf.ts):
             first = [int(np.floor(x)) * KEY_BASE + int(np.floor(y))] if (px, py) == (x, y) else []
             for tile in first + line_tiles(px, py, x, y, self.z):
                 if not self.won.containsKey((tile,)):
                     self.won.updateValue((tile,), (True,))
-                    out.append((key[0], tile, ts))
+                    out.append((user, tile, ts))
             px, py = x, y
         end = pdf.iloc[-1]
-        self.last.update((int(end.seq), float(end.lng), float(end.lat)))
-        yield pd.DataFrame(out, columns=["user_id", "tile_key", "ts"])
+        self.last.updateValue((track,), (int(ms.iloc[-1]), int(end.seq), float(end.lng), float(end.lat)))
 
     def close(self) -> None:
         pass
