@@ -122,3 +122,16 @@ def test_new_tiles_over_two_tracks_and_batches(spark, tmp_path):
     assert len(tiles) == len(set(tiles))
     span = lambda a, b: set(range(int((a + 180) / 360 * 1024), int((b + 180) / 360 * 1024) + 1))
     assert set(tiles) == span(14.0, 14.15) | span(16.0, 16.15)
+
+
+def test_silent_running_task_turns_stale(spark, tmp_path):
+    schema, path = "task_id bigint, status string, ts timestamp", str(tmp_path / "in")
+    for rows in ([(1, "RUNNING", "2024-01-01 08:00:00"), (2, "RUNNING", "2024-01-01 08:00:00")], [(2, "DONE", "2024-01-01 08:10:00")], [(3, "RUNNING", "2024-01-01 12:00:00")], [(4, "RUNNING", "2024-01-01 12:01:00")]):
+        spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.stream_latest_tasks(stream, timeout_s=3600)
+    q = out.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.task_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, "RUNNING"), (2, "RUNNING"), (2, "DONE"), (3, "RUNNING"), (4, "RUNNING"), (1, "STALE")}

@@ -18,24 +18,24 @@ WINDOW_KM = 120.0  # fixed value: length of one elevation request
 _TILE = ["tile_lat", "tile_lng"]
 
 
-def dem_quads(cells: DataFrame) -> DataFrame:
-    """Per cell its own height and those to the east, south and south-east (``h00, h01, h10, h11``).
+def quads_at(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """Heights of each asked cell and of those to the east, south and south-east (``h00, h01, h10, h11``).
 
-    Edge cells repeat their own row or column. Build once per raster; sampling is then a single equi-join.
+    ``asked`` has distinct ``(tile_lat, tile_lng, n, r, c)``. Edge cells repeat their own row or column. Only tiles that
+    are asked for are read, and only their cells are shuffled, once.
     """
-    r, c, last = F.col("r"), F.col("c"), F.col("n") - 1
+    # At most 64 800 one-degree tiles exist.
+    near = cells.join(F.broadcast(asked.select(*_TILE).distinct()), _TILE, "left_semi")
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    last = F.col("n") - 1
+    rows = asked.select(*_TILE, F.col("r").alias("_r"), F.col("c").alias("_c"), "n", F.inline(corners))
+    rows = rows.withColumns({"r": F.least(last, F.col("_r") + F.col("i")), "c": F.least(last, F.col("_c") + F.col("j"))})
+    found = rows.drop("n").join(near.select(*_TILE, "r", "c", "ele"), [*_TILE, "r", "c"])
 
-    def owners(v):  # (row or column of the quad, 0 or 1 inside it)
-        at = lambda o, d: F.struct(o.alias("o"), F.lit(d).alias("d"))
-        return F.array_compact(F.array(at(v, 0), F.when(v > 0, at(v - 1, 1)), F.when(v == last, at(v, 1))))
-
-    spread = cells.withColumn("a", F.explode(owners(r))).withColumn("b", F.explode(owners(c)))
     def corner(i, j):
-        return F.max(F.when((F.col("a.d") == i) & (F.col("b.d") == j), F.col("ele"))).cast("double")
+        return F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("ele"))).cast("double")
 
-    return spread.groupBy(*_TILE, F.col("a.o").alias("r"), F.col("b.o").alias("c")).agg(
-        *[corner(i, j).alias(f"h{i}{j}") for i in (0, 1) for j in (0, 1)]
-    )
+    return found.groupBy(*_TILE, F.col("_r").alias("r"), F.col("_c").alias("c")).agg(*[corner(i, j).alias(f"h{i}{j}") for i in (0, 1) for j in (0, 1)])
 
 
 def _lerp(a: Column, b: Column, f: Column) -> Column:
@@ -55,7 +55,8 @@ def sample_dem(points: DataFrame, cells: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(v).cast("int")))
 
     at = at.withColumns({"r": clamp(row), "c": clamp(col), "_fr": row - F.floor(row), "_fc": col - F.floor(col)})
-    hit = at.join(dem_quads(cells), [*_TILE, "r", "c"], "left")
+    asked = at.where("n IS NOT NULL").select(*_TILE, "n", "r", "c").distinct()
+    hit = at.join(quads_at(asked, cells), [*_TILE, "r", "c"], "left")
     fc, fr = F.col("_fc"), F.col("_fr")
     value = _lerp(_lerp(F.col("h00"), F.col("h01"), fc), _lerp(F.col("h10"), F.col("h11"), fc), fr)
     return hit.select(*points.columns, F.coalesce(value, F.lit(0.0)).alias("ele"))

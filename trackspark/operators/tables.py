@@ -66,8 +66,8 @@ def save_expedition(days: DataFrame, names: DataFrame, waypoints: DataFrame) ->
 def duplicate_names(drafts: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes whose trimmed name the user already uses for another draft (``draft_id`` NULL for inserts)."""
     wish = changes.withColumn("_n", F.trim("name"))
-    have = drafts.select("user_id", F.col("name").alias("_n"), F.col("draft_id").alias("other_id"))
-    other = F.col("draft_id").isNull() | (F.col("draft_id") != F.col("other_id"))
+    have = drafts.groupBy("user_id", F.col("name").alias("_n")).agg(F.min("draft_id").alias("_lo"), F.max("draft_id").alias("_hi"))
+    other = F.col("draft_id").isNull() | (F.col("draft_id") != F.col("_lo")) | (F.col("draft_id") != F.col("_hi"))
     return wish.join(have, ["user_id", "_n"]).where(other).select("change_id").distinct()
 
 

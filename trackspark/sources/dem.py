@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import parse_dem_tile
 
 VOID = -32768  # fixed value
+BAND = 65_536  # cells of a raster decoded at a time
 CELLS = "tile_lat int, tile_lng int, n int, r int, c int, ele int"
 
 
@@ -19,13 +20,15 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             n = row["n"]
-            grid = np.frombuffer(row["content"], dtype=">i2").astype(np.int32)
-            at = np.arange(n * n, dtype=np.int32)
-            same = lambda v: pa.array(np.full(n * n, v, dtype=np.int32))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array(at // n), pa.array(at % n), pa.array(grid, mask=grid == VOID)],
-                names=["tile_lat", "tile_lng", "n", "r", "c", "ele"],
-            )
+            cells = np.frombuffer(row["content"], dtype=">i2")
+            for first in range(0, n * n, BAND):
+                grid = cells[first : first + BAND].astype(np.int32)
+                at = np.arange(first, first + len(grid), dtype=np.int32)
+                same = lambda v: pa.array(np.full(len(grid), v, dtype=np.int32))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array(at // n), pa.array(at % n), pa.array(grid, mask=grid == VOID)],
+                    names=["tile_lat", "tile_lng", "n", "r", "c", "ele"],
+                )
 
 
 def resolution(length: Column) -> Column:
