@@ -30,7 +30,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes of a tokenizer file that is shipped to the executors.
 FILE_LIMIT = 64 << 20
 #: Words and pieces kept per Python worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_BYTES = 300_000, 64
+KEPT_WORDS, KEPT_BYTES = 200_000, 64
 #: Pre-tokenizer pattern whose action on plain words (below) is known.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Visible ASCII and Western European letters: lower-casing maps them one by one and composition leaves them alone.
@@ -72,10 +72,9 @@ class Pretokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models
 
-        self.spec = spec = json.loads(text)
-        self.library = Tokenizer.from_str(text)
-        self.library.no_truncation()
-        self.library.no_padding()
+        spec = json.loads(text)
+        library = Tokenizer.from_str(text)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         split = next((p for p in steps if p["type"] == "Split"), None)
         if split is None or split["behavior"] != "Removed" or model["type"] != "BPE":
@@ -88,11 +87,14 @@ class Pretokenizer:
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.suffix, self.vocabulary = suffix, model["vocab"]
-        self.bare = lambda end: Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": end} if end else {})))
+        bare = lambda end: Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": end} if end else {})))
+        self.build(library, bare, suffix, model["vocab"])
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
+    def build(self, library, bare, suffix: str, vocabulary: dict[str, int]) -> None:
+        """Keep what encoding needs; the parsed file and the rest of the library's tokenizer are let go."""
+
     def pieces(self, word: bytes) -> list:
         text = word.decode("utf-8")
         if self.split and "<" in text:
@@ -108,8 +110,8 @@ class Pretokenizer:
         if self.known and PLAIN_WORD.fullmatch(text):
             found = PLAIN_PIECE.findall(text.lower())
             return found if text.isascii() else [x.translate(self.letters) for x in found]
-        clean = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
+        clean = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [x for x, _ in self.pre_tokenizer.pre_tokenize_str(clean)]
 
 
 class Kept:
@@ -138,16 +140,15 @@ class Kept:
 class ForcedBoundaryBPE(Pretokenizer):
     """Encoder and decoder for a tokenizer file with a byte-level BPE model."""
 
-    def __init__(self, text: str):
-        super().__init__(text)
-        self.last, self.inner = self.bare(self.suffix).model, self.bare("").model
+    def build(self, library, bare, suffix: str, vocabulary: dict[str, int]) -> None:
+        self.last, self.inner = bare(suffix).model, bare("").model
         self.joined = set()
-        for token in self.vocabulary:
-            token = token.removesuffix(self.suffix) if self.suffix and token != self.suffix else token
+        for token in vocabulary:
+            token = token.removesuffix(suffix) if suffix and token != suffix else token
             self.joined.update(map("".join, zip(token, token[1:], strict=False)))
         self.dense = all(chr(a) + chr(b) in self.joined for a in range(97, 123) for b in range(97, 123))
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.token = [self.library.id_to_token(i) or "" for i in range(size)]
+        self.token = [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
+        self.library = library if library.decoder is not None else None
         self.piece_ids = Kept(lambda pieces: {p: self.encode_piece(p) for p in pieces})
         self.word_ids = Kept(self.learn)
 
@@ -185,7 +186,7 @@ class ForcedBoundaryBPE(Pretokenizer):
     def decode(self, ids: bytes) -> str:
         """Tokens joined by blanks, as the library does without a decoder; with one, by the library."""
         numbers = np.frombuffer(ids, "<u4").tolist()
-        if self.library.decoder is not None:
+        if self.library is not None:
             return self.library.decode(numbers, skip_special_tokens=False)
         return " ".join(map(self.token.__getitem__, numbers))
 

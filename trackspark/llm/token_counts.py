@@ -20,9 +20,8 @@ from .registry import query, table
 class Counter(Pretokenizer):
     """Counts for a tokenizer file whose pre-tokenizer drops white space, so that words are independent."""
 
-    def __init__(self, text: str):
-        super().__init__(text)
-        self.model = self.bare(self.suffix)
+    def build(self, library, bare, suffix: str, vocabulary: dict[str, int]) -> None:
+        self.model = bare(suffix)
         self.piece_counts, self.word_counts = Kept(self.measure), Kept(self.learn)
 
     def measure(self, pieces: list[str]) -> dict[str, int]:
