@@ -7,13 +7,14 @@ A window that holds a notice with at least 75 percent of a template's shingles h
 the template (windows have at most four times the words of a template of their class), so it shares none of 64 bands with
 a chance under ``0.82 ** 64 = 3.1e-6``.
 
-Only windows with an anchor word are hashed. Anchors are words of the templates chosen so that, for every template, fewer
+Only windows with an anchor word are hashed, and only texts in which one occurs are split into words. Anchors are words of the templates chosen so that, for every template, fewer
 shingles lack one than a match may miss: a match always shows an anchor.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ SHINGLE, BANDS, CONTAINED = 3, 64, 0.75
 #: Words of all templates together; they are sent to the executors.
 TEMPLATE_WORDS = 200_000
 SMALLEST = 8
+#: Letters from which a word is preferred as an anchor.
+RARE = 6
 
 # Wording of public license notices.
 TEMPLATES = [
@@ -52,15 +55,14 @@ def words_of(text: str) -> list[str]:
 
 
 def anchors(templates: list[tuple[str, str]]) -> set[str]:
-    """Words such that no template can reach the containment without one of them."""
+    """Few words such that no template can reach the containment without one of them."""
     out: set[str] = set()
     for _, text in templates:
         words = words_of(text)
         grams = {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-        chosen = {w for w in words if w not in COMMON}
-        if sum(not chosen & set(g) for g in grams) >= CONTAINED * len(grams):
-            chosen = set(words)
-        out |= chosen
+        while (bare := [g for g in grams if not out & set(g)]) and len(bare) >= CONTAINED * len(grams):
+            rest = {w for g in bare for w in g}
+            out.add(max(rest - COMMON or rest, key=lambda w: (len(w) >= RARE, sum(w in g for g in bare), len(w), w)))
     return out
 
 
@@ -98,8 +100,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id:
     wanted = wanted.select("template", "license", "size", shingle_set(F.col("words")).alias("wanted"))
     # At most BANDS rows for each template word.
     bands = F.broadcast(wanted.select("template", "license", "size", "wanted", F.posexplode(minima(F.col("wanted"))).alias("band", "least")))
-    marks = F.array(*[F.lit(w) for w in sorted(anchors(templates))]).cast("array<string>")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_words(F.col(text)).alias("words"))
+    chosen = sorted(anchors(templates))
+    marks = F.array(*map(F.lit, chosen)).cast("array<string>")
+    plain = F.lower(text)
+    some = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in chosen if len(w) >= RARE], F.lit(False))
+    if short := [w for w in chosen if len(w) < RARE]:
+        some = some | F.rlike(plain, F.lit(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+    rows = docs.where(some).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_words(F.col(text)).alias("words"))
     rows = rows.where(F.arrays_overlap("words", marks))
     sizes = sorted({class_size(len(w)) for _, _, w in known})
     begins = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(n)), lambda i: F.struct(F.lit(n).alias("size"), i.cast("int").alias("first_word")))
