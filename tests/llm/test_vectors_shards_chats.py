@@ -100,7 +100,7 @@ def brute_cost(roles):
         for merges in itertools.product([0, 1], repeat=len(roles)):
             if merges[0] or any(m and targets[i] != targets[i - 1] for i, m in enumerate(merges)):
                 continue
-            cost = sum(chat.RELABEL for t, r in zip(targets, roles, strict=True) if chat.known(r) != chat.ROLES[t]) + chat.MERGE * sum(merges)
+            cost = sum(chat.NAME if chat.known(r) is None else chat.RELABEL for t, r in zip(targets, roles, strict=True) if chat.known(r) != chat.ROLES[t]) + chat.MERGE * sum(merges)
             out = [t for t, m in zip(targets, merges, strict=True) if not m]
             if any(t == 0 for t in out[1:]):
                 continue

@@ -21,7 +21,8 @@ from .registry import query, table
 ROLES = ("system", "user", "assistant")
 #: States: the role of the last turn, or nothing yet.
 START, SYSTEM, USER, ASSISTANT = range(4)
-MERGE, RELABEL, INSERT = 2, 3, 5
+#: Naming an unknown role, merging, inserting an empty turn, giving a turn another role than its own.
+NAME, MERGE, INSERT, RELABEL = 1, 2, 5, 8
 INF = 1 << 40
 CHUNK, FAN = 64, 64
 #: Empty turns that lead from a state to the state before a role may follow.
@@ -37,7 +38,7 @@ def options(role: str | None) -> list[tuple[int, int, int, bool]]:
     """(state before, state after, cost, merged) of one source turn; the first of equal costs is taken."""
     out = []
     for target in (SYSTEM, USER, ASSISTANT):
-        cost = 0 if role == ROLES[target - 1] else RELABEL
+        cost = NAME if role is None else 0 if role == ROLES[target - 1] else RELABEL
         for state in range(4):
             if state == target:
                 out.append((state, target, cost + MERGE, True))
