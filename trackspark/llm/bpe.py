@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .batches import map_arrow
 from .registry import query, table
 from .words import SLICE_BYTES, buffers, plain
 
@@ -232,7 +233,7 @@ def encode(df: DataFrame, tokenizer: str = VOCABULARY, text: str = "text", ids:
                 yield with_columns(batch.slice(first, last - first), schema, **{
                     ids: pa.array(packed, pa.binary()), count: pa.array([len(p) // 4 for p in packed], pa.int64())})
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, tokenizer: str = VOCABULARY, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -249,7 +250,7 @@ def decode(df: DataFrame, tokenizer: str = VOCABULARY, ids: str = "ids", decoded
                 texts = [bpe.decode(x or b"") for x in column.slice(first, 500).to_pylist()]
                 yield with_columns(part, schema, **{decoded: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def digests(docs: DataFrame, tokenizer: str = VOCABULARY) -> DataFrame:

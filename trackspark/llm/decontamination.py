@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from .batches import map_arrow
 from .bpe import extended, with_columns
 from .registry import query, table
 from .words import ALNUM_LOWER, Slice, mix, slices
@@ -220,7 +221,7 @@ def pass_through(df: DataFrame, automaton: Automaton, text: str) -> DataFrame:
                     names[r] = sorted({*names[r], *found})
                 yield with_columns(rows, schema, **{HITS: pa.array(masks, pa.binary()), ITEMS: pa.array(names, pa.list_(pa.string()))})
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 SPANS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -258,7 +259,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
                 yield with_columns(rows, schema, n_words=pa.array(counts, pa.int64()), n_hit=pa.array(hits), items=rows.column(at[ITEMS]),
                     spans=pa.array(spans, pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))))
 
-    return marked.mapInArrow(finish, schema).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    return map_arrow(marked, finish, schema).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
 SQL = r"""

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from trackspark.plans.lineage import discard, materialize
 
+from .batches import map_arrow
 from .components import components
 from .registry import query, table
 from .words import SPACED_LOWER, Slice, mix, powers, slices
@@ -89,7 +90,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 ], names=["doc_id", "n_shingles", "set1", "set2", "minima"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, minima array<int>")
+    return map_arrow(chosen, run, "doc_id long, n_shingles long, set1 long, set2 long, minima array<int>")
 
 
 def band(number):
@@ -127,7 +128,7 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
                 keep = np.flatnonzero((size > 0) & (100 * both >= percent * (size - both)))
                 yield pa.RecordBatch.from_arrays([rows.column(k).take(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_arrow(pairs, run, "a long, b long")
 
 
 class Search:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .batches import map_arrow
 from .bpe import extended, with_columns
 from .registry import query, table
 from .words import SPACED, plain, slices
@@ -144,7 +145,7 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", te
                 owner = np.asarray(batch.column(batch.schema.get_field_index(GROUP)))[row]
                 yield from send(codes[owner >= 0], owner[owner >= 0], ranges, span)
 
-    sent = grouped.mapInArrow(hashes, f"range long, `{GROUP}` long, codes binary")
+    sent = map_arrow(grouped, hashes, f"range long, `{GROUP}` long, codes binary")
     replies = sent.repartition(tasks, "range").groupBy("range").applyInArrow(answer, f"`{GROUP}` long, codes binary")
     schema = extended(df, ("kept", StringType()), ("n_words", LongType()), ("n_removed", LongType()), ("intervals", INTERVALS))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trackspark.plans.lineage import materialize
 
+from .batches import map_arrow
 from .registry import query, table
 
 SCALE = 1024
@@ -48,7 +49,7 @@ def quantize(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFram
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(packed, pa.binary())], names=["vec_id", "v"])
 
     chosen = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    return chosen.mapInArrow(run, "vec_id long, v binary")
+    return map_arrow(chosen, run, "vec_id long, v binary")
 
 
 def matrix(packed: list[bytes], width: int) -> np.ndarray:
@@ -106,7 +107,7 @@ class Index:
                 x = matrix(batch.column(0).to_pylist(), width).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(axis=1).max(initial=0.0))])], names=["n"])
 
-        top = vectors.select("v").mapInArrow(norms, "n double").agg(F.max("n")).first()[0] or 0.0
+        top = map_arrow(vectors.select("v"), norms, "n double").agg(F.max("n")).first()[0] or 0.0
         self.top = top
         self.pivots = fit_pivots(lifted(matrix(sample, width), top), pivots) if sample else np.zeros((1, width + 1))
         wide = 2 * np.sqrt(top) / RINGS + 1e-9
@@ -122,7 +123,7 @@ class Index:
                 ring = np.minimum(RINGS - 1, (d / wide).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near * RINGS + ring, pa.int64()), pa.array(d)], names=["vec_id", "v", "cell", "d"])
 
-        keyed = vectors.mapInArrow(keys, "vec_id long, v binary, cell long, d double")
+        keyed = map_arrow(vectors, keys, "vec_id long, v binary, cell long, d double")
         cells = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
         self.cells = sorted((r.cell, r.n, r.lo, r.hi) for r in cells)
         share = F.create_map(*[F.lit(x) for r in self.cells for x in (r[0], -(-r[1] // BLOCK))]) if self.cells else F.lit(None).cast("map<bigint,bigint>")
@@ -167,7 +168,7 @@ class Index:
                 r, c = np.nonzero(go)
                 yield pa.RecordBatch.from_arrays([pa.array(code[order[r, c]], pa.int64()), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r))], names=["cell", "query_id", "v"])
 
-        return queries.select("query_id", "v", F.col("least").cast("double")).mapInArrow(run, "cell long, query_id long, v binary")
+        return map_arrow(queries.select("query_id", "v", F.col("least").cast("double")), run, "cell long, query_id long, v binary")
 
     def scan(self, visits: DataFrame, k: int) -> DataFrame:
         """The k best of every query over the blocks of its annuli, per task: ``(query_id, vec_id, score)``."""
@@ -217,7 +218,7 @@ class Index:
         def result(q, v, s):
             return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-        return joined.mapInArrow(run, "query_id long, vec_id long, score long")
+        return map_arrow(joined, run, "query_id long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from .batches import map_arrow
 from .bpe import extended, with_columns
 from .registry import query, table
 from .words import ALNUM_LOWER, Slice, slices
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                     pa.array([(stop - s.first)[n[i] - size[i] : n[i]].astype(np.int32).tobytes() for i in range(part.rows)], pa.binary()),
                 ], names=["doc_id", "toxic", "bins", "words"])
 
-    got = texts.mapInArrow(bags, "doc_id long, toxic int, bins binary, words binary").toArrow().to_pylist()
+    got = map_arrow(texts, bags, "doc_id long, toxic int, bins binary, words binary").toArrow().to_pylist()
     got = sorted((r for r in got if r["words"]), key=lambda r: (r["doc_id"], r["toxic"], r["bins"]))
     y = np.array([r["toxic"] for r in got], np.int64)
     share = np.array([counts[k] / max(1, (y == k).sum()) for k in y.tolist()])
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", locate: bool = Fals
                     more["offending"] = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))
                 yield with_columns(batch.slice(part.first, part.rows), schema, **more)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 @query("op7_toxicity")
