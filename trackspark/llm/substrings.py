@@ -55,7 +55,7 @@ def send(codes: np.ndarray, groups: np.ndarray, ranges: int, span: int) -> Itera
         mine = np.unique(codes[groups == g])
         part = (mine // np.uint64(span)).astype(np.int64)
         new = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
-        ends = np.append(new[1:], len(part))
+        ends = np.append(new[1:], len(part))[: len(new)]
         packed = [mine[a:b].tobytes() for a, b in zip(new.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(part[new], pa.int64()), pa.array([g] * len(new), pa.int64()), pa.array(packed, pa.binary())], names=["range", GROUP, "codes"])
 
@@ -77,7 +77,7 @@ def answer(data: pa.Table) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     codes, owner = codes[order], owner[order]
     new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
-    ends = np.append(new[1:], len(owner))
+    ends = np.append(new[1:], len(owner))[: len(new)]
     return pa.table({GROUP: pa.array(owner[new], pa.int64()), "codes": pa.array([codes[a:b].tobytes() for a, b in zip(new.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
