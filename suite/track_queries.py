@@ -125,6 +125,12 @@ def _(v):
     return tracks.tile_summary(v.track_points)
 
 
+@query("user_tiles", f"""WITH {TILE_VISITS}, u AS (SELECT track_id // 4 AS user_id, track_id, tile_key, ts FROM tile_of), w AS (SELECT user_id, tile_key, arg_min(track_id, struct_pack(ts := ts, t := track_id)) AS track_id FROM u GROUP BY 1, 2)
+ SELECT user_id, track_id, n AS tiles, coalesce(fresh, 0) AS fresh FROM (SELECT user_id, track_id, count(*) AS n FROM u GROUP BY 1, 2) a LEFT JOIN (SELECT user_id, track_id, count(*) AS fresh FROM w GROUP BY 1, 2) b USING (user_id, track_id)""")
+def _(v):
+    return tracks.user_tiles(v.track_points.withColumn("user_id", F.expr("track_id div 4")))
+
+
 @query("distinct_tiles", f"WITH {TILE_VISITS} SELECT DISTINCT tile_key FROM tile_of")
 def _(v):
     return tracks.track_tile_visits(v.track_points).select("tile_key").dropDuplicates()

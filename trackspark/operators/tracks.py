@@ -200,3 +200,17 @@ def tile_summary(points: DataFrame, z: int = 14) -> DataFrame:
     won = winner.groupBy(F.col("w.track_id").alias("track_id")).agg(F.count("*").alias("won"))
     tiles = per_track.groupBy("track_id").agg(F.count("*").alias("tiles"))
     return tiles.join(won, "track_id", "left").fillna(0, ["won"])
+
+
+def user_tiles(points: DataFrame, z: int = 14) -> DataFrame:
+    """Per user and track: distinct tiles and those that no earlier track of the user entered (by time stamp, then track id).
+
+    ``points`` carries ``user_id``; every track belongs to one user.
+    """
+    owner = points.select("track_id", "user_id").distinct()
+    visits = track_tile_visits(points.select("track_id", "seq", "lng", "lat", "ts"), z)
+    per_track = visits.groupBy("tile_key", "track_id").agg(F.min("ts").alias("ts")).join(owner, "track_id")
+    winner = per_track.groupBy("user_id", "tile_key").agg(F.min(F.struct("ts", "track_id"))["track_id"].alias("track_id"))
+    fresh = winner.groupBy("user_id", "track_id").agg(F.count("*").alias("fresh"))
+    tiles = per_track.groupBy("user_id", "track_id").agg(F.count("*").alias("tiles"))
+    return tiles.join(fresh, ["user_id", "track_id"], "left").fillna(0, ["fresh"])
