@@ -35,7 +35,9 @@ def split_days(profile: DataFrame, days: DataFrame) -> DataFrame:
     plan = plan.withColumn("d_eff", d_eff).withColumn("share", F.col("effort") / F.col("d_eff"))
     targets = plan.select("track_id", "share", F.explode(F.sequence(F.lit(1), F.col("d_eff"))).alias("day"), "last", "d_eff", F.col("climb").alias("total_climb"))
 
-    samples = cum.where("i > 0").select("track_id", F.col("cum_effort").alias("x"), F.lit(1).alias("kind"), "i")
+    # Of samples with one effort (a standing recorder) the first decides, so no chunk holds a crowd of them.
+    samples = cum.where("i > 0").groupBy("track_id", F.col("cum_effort").alias("x")).agg(F.min("i").alias("i"))
+    samples = samples.select("track_id", "x", F.lit(1).alias("kind"), "i")
     wanted = targets.select("track_id", (F.col("share") * F.col("day")).alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("i"), "day", "last", "d_eff", "total_climb")
     rows = samples.unionByName(wanted, allowMissingColumns=True).withColumns({
         "_at": F.struct("x", "kind", F.coalesce("i", "day").alias("o")), "_chunk": F.floor(F.col("x") / EFFORT_BUCKET_KM),
