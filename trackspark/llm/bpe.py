@@ -9,7 +9,6 @@ in each Python worker keeps the ids of the words seen last, and unseen fragments
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from array import array
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .batches import map_arrow
+from .batches import loaded, map_arrow
 from .registry import query, table
 from .words import SLICE_BYTES, buffers, plain
 
@@ -46,17 +45,6 @@ def read_file(path: str) -> str:
     return text
 
 
-_loaded: dict[str, object] = {}
-
-
-def loaded(kind, text: str):
-    """One instance per Python worker."""
-    key = f"{kind.__name__}-{hashlib.sha256(text.encode()).hexdigest()}"
-    if key not in _loaded:
-        _loaded[key] = kind(text)
-    return _loaded[key]
-
-
 def byte_letters() -> dict[int, str]:
     """Letter that stands for each byte: visible Latin-1 bytes for themselves, the others by number from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -216,13 +204,13 @@ def with_columns(batch: pa.RecordBatch, schema: StructType, **columns) -> pa.Rec
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
-def encode(df: DataFrame, tokenizer: str = VOCABULARY, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str = VOCABULARY, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """Add the ids of every whole text (packed little-endian unsigned 32-bit integers) and their number.
 
-    Null and empty texts get no ids (empty, 0). Rows are independent: ties, repeated rows and extra columns pass
-    through; existing columns named like the results are replaced.
+    With ``decoded`` also the text of the ids, in the same pass. Null and empty texts get no ids (empty, 0). Rows are
+    independent: ties, repeated rows and extra columns pass through; existing columns named like the results are replaced.
     """
-    schema = extended(df, (ids, BinaryType()), (count, LongType()))
+    schema = extended(df, (ids, BinaryType()), (count, LongType()), *([(decoded, StringType())] if decoded else []))
     shipped = df.sparkSession.sparkContext.broadcast(read_file(tokenizer))
 
     def run(batches):
@@ -230,10 +218,12 @@ def encode(df: DataFrame, tokenizer: str = VOCABULARY, text: str = "text", ids:
         for batch in batches:
             for first, last, texts in byte_slices(batch.column(batch.schema.get_field_index(text))):
                 packed = bpe.encode(texts)
-                yield with_columns(batch.slice(first, last - first), schema, **{
-                    ids: pa.array(packed, pa.binary()), count: pa.array([len(p) // 4 for p in packed], pa.int64())})
+                more = {ids: pa.array(packed, pa.binary()), count: pa.array([len(p) // 4 for p in packed], pa.int64())}
+                if decoded:
+                    more[decoded] = pa.array([bpe.decode(p) for p in packed], pa.string())
+                yield with_columns(batch.slice(first, last - first), schema, **more)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, models=True)
 
 
 def decode(df: DataFrame, tokenizer: str = VOCABULARY, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -250,11 +240,11 @@ def decode(df: DataFrame, tokenizer: str = VOCABULARY, ids: str = "ids", decoded
                 texts = [bpe.decode(x or b"") for x in column.slice(first, 500).to_pylist()]
                 yield with_columns(part, schema, **{decoded: pa.array(texts, pa.string())})
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, models=True)
 
 
 def digests(docs: DataFrame, tokenizer: str = VOCABULARY) -> DataFrame:
-    both = decode(encode(docs.select("doc_id", "text"), tokenizer).drop("text"), tokenizer)
+    both = encode(docs.select("doc_id", "text"), tokenizer, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

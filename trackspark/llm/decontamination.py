@@ -28,7 +28,7 @@ WINDOW = 13
 #: A document is contaminated if at least one in this many words is hit.
 SHARE = 20
 #: Words of one automaton; larger benchmarks make several.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -188,8 +188,8 @@ def automata(benchmark: DataFrame, window: int, item_id: str, text: str):
         yield Automaton(block, window)
 
 
-def pass_through(df: DataFrame, automaton: Automaton, text: str) -> DataFrame:
-    """Add the automaton's hits to the bit mask and the items of every row."""
+def marker(df: DataFrame, automaton: Automaton, text: str):
+    """Function over batches that adds the automaton's hits to the bit mask and the items of every row."""
     shipped = df.sparkSession.sparkContext.broadcast(automaton)
     schema = df.schema
 
@@ -221,7 +221,7 @@ def pass_through(df: DataFrame, automaton: Automaton, text: str) -> DataFrame:
                     names[r] = sorted({*names[r], *found})
                 yield with_columns(rows, schema, **{HITS: pa.array(masks, pa.binary()), ITEMS: pa.array(names, pa.list_(pa.string()))})
 
-    return map_arrow(df, run, schema)
+    return run
 
 
 SPANS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -236,8 +236,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
     named like the results are replaced.
     """
     marked = df.withColumns({HITS: F.lit(None).cast(BinaryType()), ITEMS: F.array().cast("array<string>")})
+    mark = None
     for automaton in automata(benchmark, window, item_id, item_text):
-        marked = pass_through(marked, automaton, text)
+        if mark is not None:
+            marked = map_arrow(marked, mark, marked.schema)
+        mark = marker(marked, automaton, text)
     schema = extended(df, ("n_words", LongType()), ("n_hit", LongType()), ("items", ArrayType(StringType())), ("spans", SPANS))
 
     def finish(batches):
@@ -259,7 +262,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
                 yield with_columns(rows, schema, n_words=pa.array(counts, pa.int64()), n_hit=pa.array(hits), items=rows.column(at[ITEMS]),
                     spans=pa.array(spans, pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))))
 
-    return map_arrow(marked, finish, schema).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    last = finish if mark is None else lambda batches: finish(mark(batches))
+    return map_arrow(marked, last, schema).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
 SQL = r"""

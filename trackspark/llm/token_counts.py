@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .batches import map_arrow
-from .bpe import VOCABULARY, Kept, Pretokenizer, byte_slices, extended, loaded, read_file, with_columns
+from .batches import loaded, map_arrow
+from .bpe import VOCABULARY, Kept, Pretokenizer, byte_slices, extended, read_file, with_columns
 from .registry import query, table
 
 
@@ -53,7 +53,7 @@ def count_tokens(df: DataFrame, tokenizer: str = VOCABULARY, text: str = "text",
             for first, last, texts in byte_slices(batch.column(batch.schema.get_field_index(text))):
                 yield with_columns(batch.slice(first, last - first), schema, **{count: pa.array(counter.count(texts), pa.int64())})
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, models=True)
 
 
 @query("op6_token_counts")
