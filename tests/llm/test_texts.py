@@ -212,6 +212,18 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_crowd(spark, monkeypatch):
+    rng = random.Random(17)
+    base = prose(rng, 200)
+    rows = [(i, mutated(rng, base, 5)) for i in range(160)]
+    expected = brute_near(rows)
+    assert len({c for _, _, c, _ in expected}) > 10
+    for odd, every in ((neardup.ODD, neardup.ALL), (16, 32)):
+        monkeypatch.setattr(neardup, "ODD", odd)
+        monkeypatch.setattr(neardup, "ALL", every)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, [t for _, t in rows])).collect()) == expected
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2300)] + [(5, 5)]

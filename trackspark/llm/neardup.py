@@ -5,14 +5,17 @@
 2. Nodes that share a band are candidates. The first pass links each bucket's members to its leader only, the member
    that shares most with others. A second pass takes the buckets that still hold several components: their members
    outside the largest component meet all members of other components. Where that would be many pairs (a crowd of
-   loosely similar texts), the crowd's best member outside the largest component is a second leader instead. Candidates
-   stay linear in the bucket.
+   loosely similar texts), blocks of the members meet in tiles: a task compares the signatures of two blocks column by
+   column and names only pairs that can pass the test. First each member names its best partner in every other
+   component; then, between components that are still apart, all partners.
 3. Candidates pass a test of their signatures, then the exact overlap of their full shingle sets.
 4. Components come from alternating large-star and small-star.
 
+So every two members of a bucket are compared, or are in one component already. A crowd's comparisons grow with the
+square of its members, those of one task do not.
+
 A pair at the threshold shares no band with a chance of ``(1 - 0.75 ** 4) ** 40 = 2.5e-7`` and a pair above it with
-less; the signature test rejects it with a chance under 1e-6 (4.9 standard deviations). A link is lost too if every
-bucket that the pair shares (12 of 40 at the threshold) is a crowd, both of whose leaders are similar to only one of them.
+less; the signature test rejects it with a chance under 1e-6 (4.9 standard deviations).
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ MINIMA = ROWS * BANDS
 AGREE = round(MINIMA * (0.75 - 4.9 * (0.75 * 0.25 / MINIMA) ** 0.5))
 #: Pairs per member up to which all pairs between a bucket's components are candidates.
 SPARE = 2
+#: Members of a crowded bucket in a tile: those outside the largest component, and all.
+ODD, ALL = 2048, 4096
 #: Pairs that are sent to every executor as a filter (16 bytes each); above, the texts are joined by a shuffle.
 SENT_PAIRS = 500_000
 
@@ -131,6 +136,45 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
+def low_bytes(nodes: DataFrame) -> DataFrame:
+    """``id, low``: the lowest byte of every minimum; where minima agree, so do these."""
+
+    def run(batches):
+        for batch in batches:
+            flat = np.asarray(batch.column(1).flatten()).astype(np.uint8).reshape(-1, MINIMA)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "low"])
+
+    return map_arrow(nodes.select("id", "minima"), run, "id long, low binary")
+
+
+def tile(data: pa.Table, best: bool) -> pa.Table:
+    """Of two blocks of one bucket: pairs ``(a, b)`` of different components whose low bytes agree often enough.
+
+    ``best``: of each odd member only the closest member of every other component.
+    """
+    side = np.asarray(data.column("odd"))
+    ids, parts = (np.asarray(data.column(n)) for n in ("id", "component"))
+    low = np.frombuffer(b"".join(data.column("low").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    odd, every = np.flatnonzero(side), np.flatnonzero(~side)
+    columns = np.ascontiguousarray(low[every].T)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for first in range(0, len(odd), 128):
+        mine = odd[first : first + 128]
+        same = np.zeros((len(mine), len(every)), np.uint8)
+        for k in range(MINIMA):
+            same += low[mine, k][:, None] == columns[k]
+        x, y = np.nonzero((same >= AGREE) & (parts[mine][:, None] != parts[every]))
+        if best and len(x):
+            order = np.lexsort((-same[x, y].astype(np.int16), parts[every[y]], x))
+            x, y = x[order], y[order]
+            of = parts[every[y]]
+            new = np.append(True, (x[1:] != x[:-1]) | (of[1:] != of[:-1]))
+            x, y = x[new], y[new]
+        found.append((ids[mine[x]], ids[every[y]]))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+
 class Search:
     """State of one search: texts and signatures of the nodes."""
 
@@ -153,6 +197,35 @@ class Search:
         discard(close)
         return found
 
+    def open_buckets(self, members: DataFrame, label: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with the bucket's counts."""
+        named = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        total = parts.groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "component")).alias("main")).where("squares < n * n")
+        crowded = F.expr("n * n - squares") > 2 * (F.lit(SPARE) * F.col("n") + 64)
+        return named.join(total.select("key", "n", F.expr("n - main.n").alias("n_odd"), F.col("main.component").alias("main"), crowded.alias("crowded")), "key")
+
+    def tiles(self, crowd: DataFrame, best: bool) -> DataFrame:
+        """Candidates ``(a, b)`` between the components of crowded buckets."""
+        wanted = low_bytes(self.nodes.join(crowd.select("id").distinct(), "id", "left_semi"))
+        blocks = crowd.select("key", "id", "component", "main", F.ceil(F.col("n_odd") / ODD).alias("p"), F.ceil(F.col("n") / ALL).alias("q")).join(wanted, "id")
+        deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+        count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        odd = blocks.where("component <> main").select("key", deal("p", 1).alias("i"), count("q").alias("j"), "id", "component", "low", F.lit(True).alias("odd"))
+        every = blocks.select("key", count("p").alias("i"), deal("q", 2).alias("j"), "id", "component", "low", F.lit(False).alias("odd"))
+        return odd.union(every).groupBy("key", "i", "j").applyInArrow(lambda data: tile(data, best), "a long, b long").distinct()
+
+    def linked(self, label: DataFrame, pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+        """The components after the links among ``pairs``."""
+        more = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            discard(more)
+            return label
+        found = self.confirm(more)
+        discard(more)
+        return label if found.isEmpty() else components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
+
     def run(self) -> DataFrame:
         """``(id, component)`` of the linked nodes."""
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
@@ -167,27 +240,19 @@ class Search:
         leader = members.groupBy("key").agg((-F.max(rank)["least"]).alias("leader"))
         tried = materialize(pairs_of(members.join(leader, "key"), "leader", "id"), "stars")
         label = components(self.confirm(tried))
-        named = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("best"))
-        total = parts.groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "component")).alias("main"),
-            F.max(F.struct("best", "component")).alias("first")).where("squares < n * n")
-        crowded = F.expr("n * n - squares") > 2 * (F.lit(SPARE) * F.col("n") + 64)
-        open_ = named.join(total.select("key", F.col("main.component").alias("main"), crowded.alias("crowded")), "key")
-        open_ = materialize(open_, "open")
+        open_ = materialize(self.open_buckets(members.select("key", "id"), label), "open")
+        discard(members)
         small = open_.where("not crowded").select("key", "id", "component", "main")
         odd = small.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
         met = odd.join(small.select("key", F.col("id").alias("y"), F.col("component").alias("of_y")), "key").where("of_x <> of_y")
-        large = open_.where("crowded")
-        second = large.where("component <> main").groupBy("key").agg((-F.max(rank)["least"]).alias("second"))
-        more = pairs_of(met, "x", "y").union(pairs_of(large.join(second, "key"), "second", "id")).distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        discard(open_, tried, members)
-        if more.isEmpty():
-            return label
-        found = self.confirm(more)
-        discard(more)
-        return label if found.isEmpty() else components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
+        crowd = materialize(open_.where("crowded"), "crowd")
+        label = self.linked(label, pairs_of(met, "x", "y").union(self.tiles(crowd, True)).distinct(), tried)
+        discard(open_, tried)
+        left = materialize(self.open_buckets(crowd.select("key", "id"), label), "crowd")
+        if not left.isEmpty():
+            label = self.linked(label, self.tiles(left, False))
+        discard(crowd, left)
+        return label
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
