@@ -116,6 +116,23 @@ def test_substring_dedup(spark, monkeypatch):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    common = prose(rng, 40)
+    texts = [f"{prose(rng, 30)} {common} {prose(rng, 10)}" for _ in range(300)]
+    ids = [*range(100), *((3 << 40) + k for k in range(99)), 1 << 60, *[77] * 60, *[None] * 40]
+    frame = docs(spark, texts, ids)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 4000)
+    got = substrings.remove_repeats(frame).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_repeats(list(zip(ids, texts, strict=True)), 13)
+    held = Counter()
+    rows = substrings.in_groups(frame, "doc_id", "text", 4000, 4).collect()
+    for r in rows:
+        held[r[substrings.GROUP]] += len(r.text) + substrings.ROW_BYTES
+    assert len(rows) == 260 and max(held.values()) <= 4 * 4000
+    assert len({r[substrings.GROUP] for r in rows if r.doc_id == 77}) > 3
+
+
 def brute_hits(text, items, window):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     ws, hit, found = split(text), set(), set()

@@ -1,10 +1,11 @@
 """Removal of passages that repeat from document to document.
 
-Every window of ``size`` consecutive words has a Rabin-Karp hash. Documents are cut into groups of consecutive ids; a
-group sends each of its hashes once (packed by hash range) to be counted, and gets back those that also start in a
-group of smaller ids. Inside a group the smallest id of a hash is found locally. Overlapping repeated windows of a
-document merge into maximal removal intervals. A passage in a third of all documents costs one entry per group, and no
-task ever holds more than a group's texts or a range's hashes.
+Every window of ``size`` consecutive words has a Rabin-Karp hash. Documents are cut into groups of consecutive ids, by
+the bytes of their texts; a group sends each of its hashes once (packed by hash range) to be counted, and gets back
+those that also start in a group of smaller ids. Inside a group the smallest id of a hash is found locally. Overlapping
+repeated windows of a document merge into maximal removal intervals. A passage in a third of all documents costs one
+entry per group. A group has at most twice ``GROUP_BYTES``, or one row; an id of more bytes has groups of its own, dealt
+by a hash of the whole row, so only rows alike in every column can exceed that. Rows without an id need no group.
 
 Windows are equal if their 64-bit hashes are; the chance that a window meets a false partner is the number of windows
 divided by 2**64.
@@ -29,9 +30,11 @@ from .words import SPACED, plain, slices
 WINDOW = 13
 #: Bytes of text in a group and of text whose hashes form a range.
 GROUP_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
-#: Groups over which rows without an id are spread.
-LOOSE = 4096
+#: Bytes that a row counts besides its text.
+ROW_BYTES = 64
 GROUP = "__group"
+#: A group's number is that of its range of ids, shifted, and that of the group among those of one id.
+SHIFT = 20
 INTERVALS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())]))
 
 
@@ -72,7 +75,7 @@ def answer(data: pa.Table) -> pa.Table:
     later[1:] = codes[1:] == codes[:-1]
     first = np.flatnonzero(~later)
     least = np.repeat(owner[first], np.diff(np.append(first, len(codes))))
-    later &= owner > least
+    later &= owner >> SHIFT > least >> SHIFT
     codes, owner = codes[later], owner[later]
     order = np.argsort(owner, kind="stable")
     codes, owner = codes[order], owner[order]
@@ -119,6 +122,44 @@ def drop_words(data: pa.Table, counts: np.ndarray, gone: np.ndarray, text: str)
     return kept, removed, spans
 
 
+def edges(df: DataFrame, doc_id: str, text: str, limit: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """First id of every range of about ``limit`` bytes, in order, and the number of its groups; both reach the driver."""
+    weight = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
+    sizes = df.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.sum(weight).alias("bytes"), F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        before, last, alone = 0, -1, False
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, size, n = (np.asarray(batch.column(k)) for k in range(3))
+            group = (before + np.cumsum(size) - size) // limit
+            large = size > limit
+            new = (group != np.append(last, group[:-1])) | large | np.append(alone, large[:-1])
+            parts = np.where(large, np.minimum(np.minimum(n, -(-size // limit)), 1 << SHIFT), 1)
+            before, last, alone = before + int(size.sum()), group[-1], large[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(parts[new], pa.int64())], names=["id", "parts"])
+
+    found = map_arrow(sizes.repartitionByRange(tasks, "id").sortWithinPartitions("id"), run, "id long, parts long").toArrow()
+    first, parts = (np.asarray(found.column(n).combine_chunks()) for n in ("id", "parts"))
+    order = np.argsort(first)
+    return first[order], parts[order]
+
+
+def in_groups(df: DataFrame, doc_id: str, text: str, limit: int, tasks: int) -> DataFrame:
+    """The rows with an id and their group."""
+    first, parts = edges(df, doc_id, text, limit, tasks)
+
+    @F.arrow_udf("long")
+    def group(ids: pa.Array, salt: pa.Array) -> pa.Array:
+        at = np.searchsorted(first, np.asarray(ids), "right") - 1
+        return pa.array((at << SHIFT) + np.asarray(salt) % parts[at], pa.int64())
+
+    plain_columns = [F.col(f"`{n}`") for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.xxhash64(*plain_columns) if (parts > 1).any() else F.lit(0).cast("long")
+    return df.where(F.col(doc_id).isNotNull()).withColumn(GROUP, group(F.col(doc_id).cast("long"), salt))
+
+
 def remove_repeats(df: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``kept`` (words that stay, joined by one space), ``n_words``, ``n_removed`` and ``intervals``.
 
@@ -128,32 +169,25 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", te
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high, total = df.agg(F.min(doc_id), F.max(doc_id), F.sum(F.octet_length(text).cast("long"))).first()
+    total, ids, rows = df.agg(F.sum(F.octet_length(text).cast("long")), F.count(doc_id), F.count(F.lit(1))).first()
     total = total or 0
-    groups = max(2 * tasks, -(-total // GROUP_BYTES))
+    limit = max(1, min(GROUP_BYTES, (total + ROW_BYTES * rows) // (2 * tasks)))
     ranges = max(2 * tasks, -(-total // RANGE_BYTES))
     span = -(-(1 << 64) // ranges)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // groups))
-    loose = -1 - F.pmod(F.xxhash64(text), F.lit(LOOSE))
-    grouped = df.withColumn(GROUP, F.coalesce(F.floor((F.col(doc_id) - F.lit(low)) / F.lit(width)).cast("long"), loose).cast("long"))
-    grouped = grouped.repartition(tasks, GROUP)
+    grouped = in_groups(df, doc_id, text, limit, tasks).repartition(tasks, GROUP)
 
     def hashes(batches):
         for batch in batches:
             if len(batch):
                 _, row, _, codes = window_hashes(batch.column(batch.schema.get_field_index(text)), size)
                 owner = np.asarray(batch.column(batch.schema.get_field_index(GROUP)))[row]
-                yield from send(codes[owner >= 0], owner[owner >= 0], ranges, span)
+                yield from send(codes, owner, ranges, span)
 
     sent = map_arrow(grouped, hashes, f"range long, `{GROUP}` long, codes binary")
     replies = sent.repartition(tasks, "range").groupBy("range").applyInArrow(answer, f"`{GROUP}` long, codes binary")
     schema = extended(df, ("kept", StringType()), ("n_words", LongType()), ("n_removed", LongType()), ("intervals", INTERVALS))
 
-    def apply(data: pa.Table, reply: pa.Table) -> pa.Table:
-        order = pc.sort_indices(data, sort_keys=[(doc_id, "ascending")])
-        data = data.take(order).combine_chunks()
-        repeats = np.frombuffer(b"".join(reply.column("codes").to_pylist()), np.uint64)
-        counts, gone = covered(data, repeats, size, doc_id, text)
+    def result(data: pa.Table, counts: np.ndarray, gone: np.ndarray) -> pa.Table:
         kept, removed, spans = drop_words(data, counts, gone, text)
         more = {
             "kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
@@ -161,8 +195,21 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", te
         }
         return pa.table([more[n] if n in more else data.column(n) for n in schema.names], names=schema.names)
 
+    def apply(data: pa.Table, reply: pa.Table) -> pa.Table:
+        order = pc.sort_indices(data, sort_keys=[(doc_id, "ascending")])
+        data = data.take(order).combine_chunks()
+        repeats = np.frombuffer(b"".join(reply.column("codes").to_pylist()), np.uint64)
+        return result(data, *covered(data, repeats, size, doc_id, text))
+
+    def loose(batches):
+        for batch in batches:
+            if len(batch):
+                counts = window_hashes(batch.column(batch.schema.get_field_index(text)), size)[0]
+                yield from result(pa.Table.from_batches([batch]), counts, np.zeros(int(counts.sum()), bool)).to_batches()
+
     replies = replies.repartition(tasks, GROUP)
-    return grouped.groupBy(GROUP).cogroup(replies.groupBy(GROUP)).applyInArrow(apply, schema)
+    out = grouped.groupBy(GROUP).cogroup(replies.groupBy(GROUP)).applyInArrow(apply, schema)
+    return out if ids == rows else out.union(map_arrow(df.where(F.col(doc_id).isNull()), loose, schema))
 
 
 SQL = r"""
