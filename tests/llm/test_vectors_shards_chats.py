@@ -159,6 +159,26 @@ def test_chat_edges(spark):
     assert [r for r, _ in parsed(got[2].rendered)] in (["system", "user", "assistant"], ["user", "assistant"])
 
 
+def test_chat_hot(spark):
+    rng = random.Random(13)
+    turns = {None: [(k % 64, rng.choice(["user", "assistant"]), f"t{k}") for k in range(700)], 1: [(None, "user", "same")] * 500, 2: [(None, rng.choice(["user", None]), f"u{k}") for k in range(300)]}
+    rows = [(c, *t) for c, of in turns.items() for t in of]
+    rng.shuffle(rows)
+    got = defaultdict(list)
+    for r in chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect():
+        got[r.conv_id].append(r)
+    for c, of in turns.items():
+        parts = sorted(got[c], key=lambda r: r.part)
+        assert max(p.n_turns for p in parts) <= chat.CHUNK and sum(p.n_turns for p in parts) == len(of)
+        source = [t[1:] for t in sorted(of, key=lambda t: chat._order(*t))]
+        leave = chat.through([chat.turn_matrix(r) for r, _ in source], chat.START, None)[-1]
+        _, n = chat.repair(source, chat.START, leave)
+        assert sum(p.cost for p in parts) == n["cost"] + chat.INSERT * len(chat.END[leave])
+        made = parsed("".join(p.rendered for p in parts))
+        assert legal([r for r, _ in made])
+        assert [x for _, b in made for x in b.split("\n") if x] == [x for _, x in source]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from trackspark.llm.decontamination import contamination

@@ -6,16 +6,22 @@ turn before; empty turns are inserted where two roles can't follow each other. D
 legal turns finds the cheapest repair.
 
 One turn's moves are a min-plus matrix over the automaton's states, and matrices compose: long conversations are cut
-into chunks of ``CHUNK`` turn numbers, whose matrices are combined level by level; then the states at the chunks' edges
-are settled from the top down, and each chunk is repaired on its own. No task holds a whole long conversation.
+into chunks of ``CHUNK`` rows, whose matrices are combined level by level; then the states at the chunks' edges are
+settled from the top down, and each chunk is repaired on its own. Rows are numbered in one sort over all conversations,
+whose ranges cut conversations, equal turn numbers and equal rows anywhere. No task holds a whole long conversation.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackspark.plans.lineage import materialize
+
+from .batches import map_arrow
 from .registry import query, table
 
 ROLES = ("system", "user", "assistant")
@@ -123,21 +129,49 @@ def _rows(data: pa.Table) -> list[tuple[str | None, str | None]]:
     return [(r, x) for _, r, x in sorted(zip(*cols, strict=True), key=lambda t: _order(*t))]
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``number``, from 0 along each ``k`` by turn, role and text; written once."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["k", *[F.col(n).asc_nulls_last() for n in ("turn", "role", "text")], "row"]
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered = ordered.drop("row").withColumn("piece", F.spark_partition_id()).withColumn("number", F.lit(0).cast("long"))
+
+    def run(batches):
+        last, n = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch.column(batch.schema.get_field_index("k"))
+            new = np.append(k[0].as_py() != last, np.asarray(pc.not_equal(k[1:], k[:-1]).cast(pa.int8())) == 1)
+            at = np.arange(len(k))
+            start = np.maximum.accumulate(np.where(new, at, -n))
+            number = at - start
+            last, n = k[-1].as_py(), int(number[-1]) + 1
+            yield batch.set_column(batch.schema.get_field_index("number"), "number", pa.array(number, pa.int64()))
+
+    found = materialize(map_arrow(ordered, run, ordered.schema), "turns")
+    counts = found.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    # At most one conversation of every piece began before it.
+    carried = counts.withColumn("before", before).where("before > 0").select("k", "piece", "before")
+    carried = materialize(carried, "carried")
+    out = found.join(F.broadcast(carried), ["k", "piece"], "left")
+    return out.withColumn("number", F.col("number") + F.coalesce("before", F.lit(0))).drop("piece", "before")
+
+
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id, part, n_turns, cost, n_merged, n_relabeled, n_inserted, rendered``: a row per conversation and chunk.
 
-    Parts of a conversation are numbered from 0 in order, with gaps where turn numbers have; their texts joined are the
+    Parts of a conversation, of at most ``CHUNK`` turns, are numbered from 0 in order; their texts joined are the
     conversation. Turns go by number, then role and text, nulls last; repeated rows are turns of their own. Null texts
     are empty turns, unknown and null roles are relabelled, null conversation ids are one conversation. Conversations
     without turns do not exist. Other columns are not looked at.
     """
     rows = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["conv_id"].dataType.simpleString()
-    low, high = rows.agg(F.min("turn"), F.max("turn")).first()
-    low, high = low or 0, high or 0
-    rows = rows.withColumn("part", F.floor((F.coalesce(F.col("turn"), F.lit(high)) - F.lit(low)) / CHUNK).cast("long"))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
-    rows = rows.withColumn("k", key)
+    rows = numbered(rows.withColumn("k", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))))
+    rows = rows.withColumn("part", F.floor(F.col("number") / CHUNK).cast("long")).drop("number")
+    top = rows.agg(F.max("part")).first()[0] or 0
 
     def chunk_matrix(data: pa.Table) -> pa.Table:
         m = [0 if i == j else INF for i in range(4) for j in range(4)]
@@ -154,7 +188,6 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
 
     shape = "k string, part long, m array<bigint>"
     levels = [rows.groupBy("k", "part").applyInArrow(chunk_matrix, shape)]
-    top = (high - low) // CHUNK
     while top > 0:
         levels.append(levels[-1].withColumn("up", F.floor(F.col("part") / FAN)).groupBy("k", "up").applyInArrow(join, shape))
         top //= FAN
