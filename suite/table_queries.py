@@ -10,6 +10,7 @@ from trackspark.functions import budget
 from trackspark.operators import tables
 from trackspark.plans.lineage import shared_folder
 from trackspark.sources import archive, areas_json, catalog, dem, exports, messages
+from trackspark.sources.versioned import VersionedTable
 from trackspark.streaming import jobs
 
 from .registry import hav, query, r, rnd
@@ -196,7 +197,7 @@ def _(v):
     tables.replace_rows(session_days(v), path, buckets=8)
     fresh = v.drafts.where("user_id % 5 = 0 AND day_number = 1").selectExpr("user_id AS session_id", "draft_id AS day", "1.5D AS distance_km", "elevation_gain")
     tables.replace_rows(fresh, path, buckets=8, sessions=v.drafts.where("user_id % 5 = 0").selectExpr("user_id AS session_id"))
-    return v.spark.read.parquet(path).drop("bucket")
+    return tables.read_rows(v.spark, path)
 
 
 @query("upsert", "SELECT draft_id, user_id, CASE WHEN draft_id % 4 = 0 THEN 'new' ELSE name END AS name FROM drafts UNION ALL SELECT draft_id + 1000000, user_id, 'new' FROM drafts WHERE draft_id % 4 = 0")
@@ -328,16 +329,20 @@ def _(v):
     return out.groupBy("task_id").agg(F.max_by("status", "ts").alias("status"))
 
 
-@query("stream_latest_frames", "SELECT user_id AS task_id, arg_max(event_type, ts) AS covered FROM events GROUP BY 1")
+@query("stream_latest_frames", """WITH f AS (SELECT user_id AS task_id, arg_max(event_type, ts) AS phase FROM events GROUP BY 1),
+ c AS (SELECT task_id, unnest(range(0, 1 + e % 5)) * 37 + e % 1000 AS area_id FROM (SELECT user_id AS task_id, arg_max(event_id, ts) AS e FROM events GROUP BY 1) q),
+ l AS (SELECT task_id, level_id, count(DISTINCT area_id) AS n FROM c JOIN areas USING (area_id) GROUP BY ALL)
+ SELECT f.task_id, CASE WHEN phase LIKE '%baseline%' THEN 'BASELINE' WHEN phase LIKE '%grow%' OR phase LIKE '%batch%' THEN 'GROWING' ELSE 'SMOOTHING' END AS phase, level_id, n FROM f LEFT JOIN l USING (task_id)""")
 def _(v):
+    """Covered areas per level of each task's newest frame; tasks without a covered area have one row."""
     path = scratch(v, "frames")
-    src = v.events.selectExpr("user_id AS task_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type AS phase", "value AS km", "event_type AS covered")
+    ids = F.expr("transform(sequence(0, event_id % 5), i -> i * 37 + event_id % 1000)")
+    src = v.events.select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.col("value").alias("km"), ids.alias("covered_ids"))
     src.write.parquet(path + "-in")
     stream = v.spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(path + "-in")
-    q = jobs.stream_latest_frames(stream, path + "-out", path + "-ck")
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
-    return v.spark.read.parquet(f"{path}-out/v{last}").select("task_id", "covered")
+    jobs.stream_latest_frames(stream, path + "-out", path + "-ck", v.areas, buckets=8).awaitTermination()
+    newest = VersionedTable.at(v.spark, path + "-out").read()
+    return newest.select("task_id", "phase", F.explode_outer("covered_by_level").alias("level_id", "n"))
 
 
 @query("stream_timings", f"""WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type AS reason, CAST(floor(value*10) AS BIGINT) AS ms FROM events), m AS (SELECT max(ts) AS m FROM events)

@@ -87,7 +87,7 @@ def test_upsert_and_replace(spark, tmp_path):
     days = spark.createDataFrame([(s, d) for s in range(6) for d in range(3)], "session_id int, day int")
     tables.replace_rows(days, path, buckets=2)
     tables.replace_rows(spark.createDataFrame([(4, 9)], "session_id int, day int"), path, buckets=2)
-    rows = spark.read.parquet(path)
+    rows = tables.read_rows(spark, path)
     assert {r.day for r in rows.where("session_id = 4").collect()} == {9} and rows.count() == 16
 
 

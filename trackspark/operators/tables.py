@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialize, path_exists, remove
+from ..sources.versioned import VersionedTable, replace_keys
 
 DAY_NAME = " – Dzień "  # fixed value
 FORM_FIELDS = ["countries", "levels", "groups", "via", "is_loop", "days", "km_per_day", "elev_per_day", "profile"]
 
 
 def replace_rows(new_rows: DataFrame, path: str, key: str = "session_id", buckets: int = 64, sessions: DataFrame | None = None) -> None:
-    """Replace all rows of every session in ``new_rows`` and ``sessions``: only the touched buckets are rewritten.
+    """Replace all rows of every session in ``new_rows`` and ``sessions`` in one step: readers see all of it or nothing.
 
-    A session listed in ``sessions`` without new rows is emptied.
+    Only the touched buckets are written. A session listed in ``sessions`` without new rows is emptied. Read the table
+    with :func:`read_rows`.
     """
-    spark, bucket = new_rows.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
-    rows = new_rows.withColumn("bucket", bucket)
-    if path_exists(spark, path):
-        keys = new_rows.select(key)
-        keys = (keys if sessions is None else keys.unionByName(sessions.select(key))).distinct().select(key, bucket)
-        stored = spark.read.parquet(path)
-        touched = stored.join(keys.select("bucket").distinct(), "bucket", "left_semi")
-        rows = materialize(touched.join(keys.select(key), key, "left_anti").unionByName(rows), "replace")
-        full = {r.bucket for r in rows.select("bucket").distinct().collect()}
-        emptied = [r.bucket for r in touched.select("bucket").distinct().collect() if r.bucket not in full]
-    else:
-        emptied = []
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for b in emptied:
-        remove(spark, f"{path}/bucket={b}")
+    replace_keys(VersionedTable(new_rows.sparkSession, path, key, buckets), new_rows, sessions)
+
+
+def read_rows(spark: SparkSession, path: str, sessions: DataFrame | None = None) -> DataFrame:
+    """Rows of the newest committed version, of all sessions or of some (whose buckets alone are read)."""
+    table = VersionedTable.at(spark, path)
+    return table.read() if sessions is None else table.read_keys(sessions.select(table.key))
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import coarse_phase
-from ..plans.lineage import path_exists
+from ..plans.lineage import discard, materialize
+from ..sources.versioned import VersionedTable
 from .state import LATEST_SCHEMA, RUNNING_SCHEMA, TILE_SCHEMA, LatestTask, NewTiles, RunningEffort
 
 WATERMARK = "1 hour"
@@ -57,26 +58,40 @@ def stream_sessions(points: DataFrame, gap: str = "6 hours", watermark: str = WA
 
 def latest_frames(frames: DataFrame) -> DataFrame:
     """Newest frame per task with its coarse phase; the batch step of the frame feed."""
-    row = F.struct("ts", coarse_phase("phase").alias("phase"), "km", "covered")
+    row = F.struct("ts", coarse_phase("phase").alias("phase"), "km", "covered_ids")
     return frames.groupBy("task_id").agg(F.max_by(row, "ts").alias("r")).select("task_id", "r.*")
 
 
-def stream_latest_frames(frames: DataFrame, path: str, checkpoint: str):
-    """Keep a table of the newest frame per task; returns the started query.
+def with_covered_levels(frames: DataFrame, areas: DataFrame) -> DataFrame:
+    """Add ``covered_by_level``: covered areas per level as a map (empty without any); unknown and repeated ids do not count."""
+    ids = frames.select("task_id", F.explode(F.array_distinct("covered_ids")).alias("area_id"))
+    counts = ids.join(areas.select("area_id", "level_id"), "area_id").groupBy("task_id", "level_id").agg(F.count("*").alias("n"))
+    levels = counts.groupBy("task_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("level_id", "n")))).alias("covered_by_level"))
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
+    return frames.join(levels, "task_id", "left").withColumn("covered_by_level", F.coalesce("covered_by_level", none))
 
-    Each micro-batch writes a new version ``v<batch>`` from the one before, so a repeated batch gives the same table
-    and a failed one leaves the last version whole.
+
+def stream_latest_frames(frames: DataFrame, path: str, checkpoint: str, areas: DataFrame, buckets: int = 64, keep: int = 2):
+    """Keep a table of the newest frame per task, with covered areas per level; returns the started query.
+
+    A micro-batch rewrites only the buckets of its tasks and commits them with its number in one step
+    (:class:`VersionedTable`), so a batch that is tried again changes nothing twice and readers never see half of it.
+    The last ``keep`` versions stay for readers under way. Read the table with ``VersionedTable.at(spark, path).read()``.
     """
     def write(batch: DataFrame, number: int) -> None:
-        new = latest_frames(batch)
-        before = f"{path}/v{number - 1}"
-        if path_exists(batch.sparkSession, before):
-            new = latest_rows(new.unionByName(batch.sparkSession.read.parquet(before)))
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        table = VersionedTable(batch.sparkSession, path, "task_id", buckets)
+        before = table.manifest()
+        if before is not None and before.tag is not None and before.tag >= number:
+            return
+        new = materialize(with_covered_levels(latest_frames(batch), areas), "frames")
+        table.rewrite(new, lambda stored: new if stored is None else latest_rows(stored.unionByName(new)), tag=number)
+        table.vacuum(keep)
+        discard(new)
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_rows(rows: DataFrame) -> DataFrame:
-    row = F.struct("ts", "phase", "km", "covered")
-    return rows.groupBy("task_id").agg(F.max_by(row, "ts").alias("r")).select("task_id", "r.*")
+    """Newest row per task."""
+    row = F.struct(*[c for c in rows.columns if c != "task_id"])
+    return rows.groupBy("task_id").agg(F.max_by(row, "ts").alias("r")).select("task_id", "r.*").select(*rows.columns)
