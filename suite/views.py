@@ -110,7 +110,7 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 def _present(made) -> bool:
     """Whether the files of a stored table are still there (scratch folders get cleared)."""
-    frames = [made] if isinstance(made, DataFrame) else [made.geoms, made.cells]
+    frames = [made] if isinstance(made, DataFrame) else [made.geoms, made.cells, made.near]
     files = [urlparse(f) for df in frames for f in df.inputFiles()]
     return all(os.path.exists(f.path) for f in files if f.scheme == "file")
 

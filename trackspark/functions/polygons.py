@@ -27,6 +27,28 @@ def inside_sql(edges: str, px: str, py: str) -> str:
     return f"(size(filter({edges}, e -> {cross})) % 2 = 1)"
 
 
+def inside_cell_sql(edges: str, corner_in: str, cx: str, cy: str, px: str, py: str) -> str:
+    """Even-odd rule from a cell's corner (cx, cy), of which ``corner_in`` is known: up its left side, then across to p.
+
+    Only edges that meet the cell are looked at, so any set of edges that has those will do. Corner and point are taken
+    a hair to the right and above, as in :func:`inside_sql`.
+    """
+    left_y = f"e.ay + ({cx} - e.ax) * (e.by - e.ay) / (e.bx - e.ax)"
+    up = f"(e.ax > {cx}) <> (e.bx > {cx}) AND {left_y} > {cy} AND {left_y} <= {py}"
+    row_x = f"(e.bx - e.ax) * ({py} - e.ay) / (e.by - e.ay) + e.ax"
+    across = f"(e.ay > {py}) <> (e.by > {py}) AND {row_x} > {cx} AND {row_x} <= {px}"
+    return f"({corner_in} <> ((size(filter({edges}, e -> {up})) + size(filter({edges}, e -> {across}))) % 2 = 1))"
+
+
+def in_square_sql(x: str, y: str, side: str, reach: float) -> str:
+    """Whether edge ``e`` comes within ``reach`` of a square (or a little farther): boxes overlap, and so do the shadows across the edge."""
+    return (
+        f"least(e.ax, e.bx) <= {x} + {side} + {reach}D AND greatest(e.ax, e.bx) >= {x} - {reach}D AND "
+        f"least(e.ay, e.by) <= {y} + {side} + {reach}D AND greatest(e.ay, e.by) >= {y} - {reach}D AND "
+        f"abs(({x} + {side} / 2 - e.ax) * e.uy - ({y} + {side} / 2 - e.ay) * e.ux) <= (abs(e.ux) + abs(e.uy)) * {side} / 2 + {1.5 * reach}D"
+    )
+
+
 def edge_distance_sql(edges: str, px: str, py: str) -> str:
     """Distance to the nearest edge."""
     t = f"greatest(0D, least(e.len, ({px} - e.ax) * e.ux + ({py} - e.ay) * e.uy))"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METERS_PER_DEG, haversine_km
-from ..functions.polygons import TOUCH, blocked_sql, edge_distance_sql, gaps_sql, inside_sql
+from ..functions.polygons import TOUCH, blocked_sql, edge_distance_sql, gaps_sql, in_square_sql, inside_cell_sql, inside_sql
 from ..plans.chunks import top_k, with_neighbors, with_previous
 from ..plans.lineage import materialize
 from ..plans.ranges import points_in_ranges
@@ -30,25 +30,36 @@ HOLE_BUCKETS_KM = (3.0, 6.0, 15.0)
 LONG_LEGS = 15
 CELL_DEG = 0.05
 
+CELL_FIELDS = ("cx", "cy", "x0", "y0", "x1", "y1", "edges", "corner_in", "left_x", "low_y", "is_context")
 CORES = {"full": "0D", "credit": "credit_d", "deep": "deep_d"}
 
 
 @dataclass(frozen=True)
 class AreaIndex:
-    """Areas prepared for lookups; both frames can be written once per pool and read back.
+    """Areas prepared for lookups; the frames can be written once per pool and read back.
 
-    ``geoms``: one row per area with all edges, box and depths. ``cells``: one row per (area, grid cell) with the
-    edges of that row of cells.
+    ``geoms``: one row per area with all edges, box and depths. ``cells``: one row per (area, grid cell) that the area
+    reaches, with the edges near that cell only and whether its lower left corner is inside; a cell deep inside has no
+    edges. ``near``: the same cells with every edge that can be the nearest one to some point of the cell.
     """
 
     geoms: DataFrame
     cells: DataFrame
+    near: DataFrame
     cos: Column
     cell: float
 
     def stored(self) -> "AreaIndex":
         """The same index read back from written tables, for pools that several queries use."""
-        return replace(self, geoms=materialize(self.geoms, "geoms", spread=True), cells=materialize(self.cells, "cells", spread=True))
+        return replace(self, cells=materialize(self.cells, "cells", spread=True), near=materialize(self.near, "near", spread=True))
+
+    def inside(self, x: str, y: str) -> str:
+        """Whether a point is inside, in a row joined with its cell of ``cells`` or ``near``."""
+        return inside_cell_sql("edges", "corner_in", "left_x", "low_y", x, y)
+
+    def in_core(self, x: str, y: str, d: str) -> str:
+        """Whether a point is inside and farther than ``d`` (within the reach of the index) from every edge."""
+        return f"({self.inside(x, y)} AND ({d} <= 0D OR coalesce({edge_distance_sql('edges', x, y)} > {d}, true)))"
 
 
 def area_index(areas, area_vertices, depths_m=AREA_DEPTHS_M, cell: float = CELL_DEG, pad_deg: float = 0.0) -> AreaIndex:
@@ -67,33 +78,56 @@ def area_index(areas, area_vertices, depths_m=AREA_DEPTHS_M, cell: float = CELL_
     geoms = geoms.withColumn("credit_d", F.when(wish <= depth, wish).otherwise(0.0))
     geoms = geoms.withColumn("deep_d", F.when(F.lit(deep) <= depth, F.lit(deep)).otherwise(F.col("credit_d")))
     geoms = geoms.select("area_id", "is_context", "km2", "credit_d", "deep_d", "x0", "y0", "x1", "y1", "edges")
-
+    geoms = materialize(geoms, "geoms", spread=True)
     reach = max(credit, deep, pad_deg) + TOUCH
+    return AreaIndex(geoms, quartered(geoms, cell, reach, pad_deg), quartered(geoms, cell, reach, pad_deg, nearest=True), cos, cell)
+
+
+def quartered(geoms: DataFrame, cell: float, reach: float, pad: float, nearest: bool = False) -> DataFrame:
+    """Cells of every area by cutting its square into quarters down to the grid, each with the edges it still needs.
+
+    A quarter keeps the edges within ``reach``, or with ``nearest`` those no farther from its centre than the nearest
+    edge and its own diagonal, and learns from its parent's edges whether its corner is inside. Quarters without an edge
+    outside the area are dropped at once. All in the row of the area: nothing is joined or shuffled.
+    """
+    low = {a: F.floor((F.col(a + "0") - pad) / cell) - 1 for a in "xy"}
+    span = F.greatest(*[F.floor((F.col(a + "1") + pad) / cell) + 2 - low[a] for a in "xy"])
     box = [c for c in geoms.columns if c not in ("area_id", "edges")]
-    spread = geoms.select("area_id", *box, F.explode("edges").alias("e"))
-    low, high = F.least("e.ay", "e.by") - reach, F.greatest("e.ay", "e.by") + reach
-    rows = F.sequence(
-        F.floor(F.greatest(low, F.col("y0") - pad_deg) / cell), F.floor(F.least(high, F.col("y1") + pad_deg) / cell)
-    )
-    bands = spread.withColumn("cy", F.explode(rows)).groupBy("area_id", "cy").agg(F.collect_list("e").alias("edges"), *[F.first(c).alias(c) for c in box])
-    cols = F.sequence(F.floor((F.col("x0") - pad_deg) / cell), F.floor((F.col("x1") + pad_deg) / cell))
-    cells = bands.withColumn("cx", F.explode(cols))
-    return AreaIndex(geoms, cells, cos, cell)
+    start = geoms.select("area_id", *box, "edges", low["x"].alias("cx"), low["y"].alias("cy"), F.ceil(F.log2(span)).cast("int").alias("_level"), F.lit(False).alias("corner_in"))
+    rounds = start.agg(F.max("_level")).first()[0] or 0
+    x, y, side = f"(q.x * {cell}D)", f"(q.y * {cell}D)", f"(_size * {cell}D)"
+    own = in_square_sql(x, y, side, reach)
+    mx, my = f"({x} + {side} / 2)", f"({y} + {side} / 2)"
+    far = f"greatest({edge_distance_sql('edges', mx, my)} + {side} * {2**0.5}D, {side} * {0.5**0.5}D + {reach}D)"
+    t = f"greatest(0D, least(e.len, ({mx} - e.ax) * e.ux + ({my} - e.ay) * e.uy))"
+    kept = f"transform(array({far}), far -> filter(edges, e -> hypot({mx} - e.ax - e.ux * {t}, {my} - e.ay - e.uy * {t}) <= far))[0]" if nearest else f"filter(edges, e -> {own})"
+    corner = inside_cell_sql("edges", "corner_in", f"(cx * {cell}D)", f"(cy * {cell}D)", x, y)
+    quarter = f"named_struct('cx', q.x, 'cy', q.y, 'corner_in', {corner}, 'meets', {f'exists(edges, e -> {own})' if nearest else 'true'}, 'edges', {kept})"
+    in_box = f"{x} <= x1 + {pad}D AND {x} + {side} >= x0 - {pad}D AND {y} <= y1 + {pad}D AND {y} + {side} >= y0 - {pad}D"
+    places = f"filter(transform(sequence(0, 3), k -> named_struct('x', cx + (k % 2) * _size, 'y', cy + (k div 2) * _size)), q -> {in_box})"
+    parts = f"filter(transform({places}, q -> {quarter}), c -> c.corner_in OR c.meets AND size(c.edges) > 0)"
+    same = "array(named_struct('cx', cx, 'cy', cy, 'corner_in', corner_in, 'meets', true, 'edges', edges))"
+    for _ in range(rounds):
+        sized = start.withColumn("_size", F.expr("shiftleft(1L, greatest(_level - 1, 0))"))
+        cut = sized.select("area_id", *box, F.greatest(F.col("_level") - 1, F.lit(0)).alias("_level"), F.explode(F.expr(f"CASE WHEN _level = 0 THEN {same} ELSE {parts} END")).alias("c"))
+        start = cut.select("area_id", *box, "_level", "c.cx", "c.cy", "c.corner_in", "c.edges")
+    return start.drop("_level").withColumns({"left_x": F.col("cx") * cell, "low_y": F.col("cy") * cell})
 
 
 def _projected(points: DataFrame, idx: AreaIndex) -> DataFrame:
     return points.withColumn("_cos", idx.cos).withColumns({"x": F.col("lng") * F.col("_cos"), "y": F.col("lat")}).drop("_cos")
 
 
-def members(points: DataFrame, idx: AreaIndex, core: str = "full") -> DataFrame:
-    """Every (point, area) pair with the point inside the area's full polygon or core; adds ``x, y`` and area fields."""
+def members(points: DataFrame, idx: AreaIndex, core: str = "full", also: dict[str, str] | None = None) -> DataFrame:
+    """Every (point, area) pair with the point inside the area's full polygon or core; adds ``x, y`` and area fields.
+
+    A point meets only the edges near its cell; in a cell deep inside the area it meets none. ``also`` names expressions
+    over the same row and its edges.
+    """
     at = _projected(points, idx).withColumns({"cx": F.floor(F.col("x") / idx.cell), "cy": F.floor(F.col("y") / idx.cell)})
     pairs = at.join(idx.cells.where("NOT is_context"), ["cx", "cy"])
-    pairs = pairs.where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1").where(F.expr(inside_sql("edges", "x", "y")))
-    if core != "full":
-        d = CORES[core]
-        pairs = pairs.where(F.expr(f"{d} <= 0D OR {edge_distance_sql('edges', 'x', 'y')} > {d}"))
-    return pairs.drop("cx", "cy", "x0", "y0", "x1", "y1", "edges", "is_context")
+    pairs = pairs.where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1").where(F.expr(idx.in_core("x", "y", CORES[core])))
+    return pairs.withColumns({n: F.expr(e) for n, e in (also or {}).items()}).drop(*CELL_FIELDS)
 
 
 def locate_points(points: DataFrame, keys: list[str], idx: AreaIndex, core: str = "full") -> DataFrame:
@@ -157,7 +191,7 @@ def area_coverage(points: DataFrame, idx: AreaIndex, mode: str = "credit") -> Da
     pairs = pairs.withColumn("_z", F.expr(blocked_sql("edges", "x", "y", "vx", "vy", "_r")))
     pairs = pairs.withColumn("_g", F.expr(gaps_sql("_z", "t0", "t1")))
     mid = "(g.lo + g.hi) / 2"
-    free = f"exists(_g, g -> {inside_sql('edges', f'(x + {mid} * vx)', f'(y + {mid} * vy)')})"
+    free = f"exists(_g, g -> {idx.inside(f'(x + {mid} * vx)', f'(y + {mid} * vy)')})"
     touch = f"{d} <= 0D AND exists(_z, z -> z.hi >= t0 AND z.lo <= t1)"
     hit = pairs.where(F.expr(f"{free} OR ({touch})")).select("track_id", "area_id")
     if mode != "deep":
@@ -166,16 +200,22 @@ def area_coverage(points: DataFrame, idx: AreaIndex, mode: str = "credit") -> Da
     return hit.distinct()
 
 
-def _with_crossing(rows: DataFrame, name: str, f: tuple[str, str], t: tuple[str, str], d: str) -> DataFrame:
-    """Add ``name``: on the way from outside (f) to inside (t) of a core, where it is last entered, as struct(x, y).
+def last_entries(ways: DataFrame, keys: list[str], idx: AreaIndex, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``ex, ey``: on a way ``(*keys, area_id, x, y, vx, vy, d)`` from outside to inside a core, where the core is last entered.
 
-    Without an outside point it is the inside point itself.
+    Ways are cut at cell lines and meet the edges of their area's cells; the last edge zone left before the end decides.
+    A way that meets none starts in the core. Columns of ``carry`` come along.
     """
-    tmp = {"_fx": F.col(f[0]), "_fy": F.col(f[1]), "_vx": F.col(t[0]) - F.col(f[0]), "_vy": F.col(t[1]) - F.col(f[1]), "_r": F.greatest(F.expr(d), F.lit(TOUCH))}
-    zones = blocked_sql("edges", "_fx", "_fy", "_vx", "_vy", "_r")
-    last = f"coalesce(array_max(transform(filter({zones}, z -> z.lo < 1D AND z.hi > 0D), z -> least(1D, z.hi))), 0D)"
-    at = f"CASE WHEN _fx IS NULL THEN named_struct('x', {t[0]}, 'y', {t[1]}) ELSE transform(array({last}), t -> named_struct('x', _fx + t * _vx, 'y', _fy + t * _vy))[0] END"
-    return rows.withColumns(tmp).withColumn(name, F.expr(at)).drop(*tmp)
+    still = (F.col("vx") == 0) & (F.col("vy") == 0)
+    ways = ways.withColumns({"_r": F.greatest(F.col("d"), F.lit(TOUCH)), "vx": F.when(still, 1e-12).otherwise(F.col("vx"))})
+    rest = ["x", "y", "vx", "vy", *carry]
+    pieces = cell_pieces(ways, idx.cell).select(*keys, "area_id", "cx", "cy", "_r", *rest)
+    met = pieces.join(idx.cells.where("size(edges) > 0").select("area_id", "cx", "cy", "edges"), ["area_id", "cx", "cy"], "left")
+    zones = blocked_sql("edges", "x", "y", "vx", "vy", "_r")
+    last = F.expr(f"array_max(transform(filter({zones}, z -> z.lo < 1D AND z.hi > 0D), z -> least(1D, z.hi)))")
+    left = met.withColumn("_t", last).groupBy(*keys, "area_id").agg(F.coalesce(F.max("_t"), F.lit(0.0)).alias("_t"), *[F.first(c).alias(c) for c in rest])
+    at = {"ex": F.col("x") + F.col("_t") * F.col("vx"), "ey": F.col("y") + F.col("_t") * F.col("vy")}
+    return left.withColumns(at).drop("_t")
 
 
 def _around(points: DataFrame, idx: AreaIndex) -> DataFrame:
@@ -194,26 +234,27 @@ def passages(points: DataFrame, idx: AreaIndex) -> DataFrame:
     """Runs of vertices in the deep core: ``(track_id, area_id, n, first_seq, entry, exit, chord_km)``.
 
     Entry and exit lie on the core's boundary; a run open at the track's end closes at its last vertex; runs less
-    than 30 m apart are one passage. Whether a vertex starts or ends a run is tested on its two neighbours in the
-    same row; vertices in the middle of a run are dropped before anything is grouped.
+    than 30 m apart are one passage. Every vertex is tested once, in its cell; a run starts or ends where the vertex
+    before or after is not in the same core, which equi-joins on (track, area, seq) tell. Vertices in the middle of a
+    run are dropped before anything is grouped.
     """
     key = ["track_id", "area_id"]
-
-    def core(x, y):
-        far = edge_distance_sql("edges", x, y)
-        return F.coalesce(F.expr(f"{inside_sql('edges', x, y)} AND (deep_d <= 0D OR {far} > deep_d)"), F.lit(False))
-
-    here = members(_around(points, idx), idx, "deep").select(*key, "seq", "x", "y", "px", "py", "nx", "ny", "deep_d")
-    here = here.join(idx.geoms.select("area_id", "edges"), "area_id").withColumns({"opens": ~core("px", "py"), "closes": ~core("nx", "ny")})
-    edge = here.where("opens OR closes")
-    edge = _with_crossing(edge, "i", ("px", "py"), ("x", "y"), "deep_d")
-    edge = _with_crossing(edge, "o", ("nx", "ny"), ("x", "y"), "deep_d")
-    edge = edge.select(*key, "seq", F.when(F.col("opens"), F.col("i")).alias("i"), F.when(F.col("closes"), F.col("o")).alias("o"))
-    along = Window.partitionBy(*key).orderBy("seq")
-    runs = edge.withColumn("o", F.coalesce("o", F.lead("o").over(along))).where("i IS NOT NULL")
-    runs = runs.withColumn("p_o", F.lag("o").over(along))
+    here = members(_around(points, idx), idx, "deep").select(*key, "seq", "x", "y", "px", "py", "nx", "ny", F.col("deep_d").alias("d"))
+    # Only vertices with neighbouring numbers matter, so gaps between runs do not.
+    here = with_neighbors(here, key, "seq", prev={"p_seq": "seq"}, nxt={"n_seq": "seq"})
+    ends = [
+        F.when(inside.isNull() | (inside != F.col("seq") + step), F.struct(F.lit(step).alias("side"), F.col(x).alias("fx"), F.col(y).alias("fy")))
+        for inside, step, x, y in ((F.col("p_seq"), -1, "px", "py"), (F.col("n_seq"), 1, "nx", "ny"))
+    ]
+    edge = here.select(*key, "seq", "x", "y", "d", F.explode(F.array_compact(F.array(*ends))).alias("w")).select(*key, "seq", "d", "w.*", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    ways = edge.where("fx IS NOT NULL").select(*key, "seq", "side", "d", F.col("fx").alias("x"), F.col("fy").alias("y"), (F.col("tx") - F.col("fx")).alias("vx"), (F.col("ty") - F.col("fy")).alias("vy"))
+    crossed = last_entries(ways, ["track_id", "seq", "side"], idx).select(*key, "seq", "side", F.struct(F.col("ex").alias("x"), F.col("ey").alias("y")).alias("at"))
+    crossed = crossed.unionByName(edge.where("fx IS NULL").select(*key, "seq", "side", F.struct(F.col("tx").alias("x"), F.col("ty").alias("y")).alias("at")))
+    # Entries (-1) and exits (1) alternate.
+    along = Window.partitionBy(*key).orderBy("seq", "side")
+    runs = crossed.withColumns({"o": F.lead("at").over(along), "p_o": F.lag("at").over(along)}).where("side = -1").withColumnRenamed("at", "i")
     apart = F.coalesce(_km("p_o.x", "p_o.y", "i.x", "i.y") >= MERGE_KM, F.lit(True))
-    runs = runs.withColumn("n", F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    runs = runs.withColumn("n", F.sum(apart.cast("int")).over(Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1)
     joined = runs.groupBy(*key, "n").agg(F.min("seq").alias("first_seq"), F.min_by("i", "seq").alias("i"), F.max_by("o", "seq").alias("o"))
     joined = joined.withColumn("_cos", idx.cos)
     lng = lambda c: F.col(c + ".x") / F.col("_cos")
@@ -230,34 +271,40 @@ def entry_points(points: DataFrame, idx: AreaIndex) -> DataFrame:
     moved 20 m on along the track when that stays inside the core.
     """
     key = ["track_id", "area_id"]
-    around = _around(points, idx)
-    row = F.struct("seq", "x", "y", "px", "py", "nx", "ny")
-
-    def first(core):
-        return members(around, idx, core).groupBy(*key).agg(F.min_by(row, "seq").alias(core))
-
-    both = first("credit").join(first("deep"), key, "full_outer").join(idx.geoms.select("area_id", "edges", "credit_d", "deep_d"), "area_id")
-    both = both.withColumns({"level": F.when(F.col("deep").isNotNull(), "deep").otherwise("credit"), "v": F.coalesce("deep", "credit")})
-    d = F.when(F.col("deep").isNotNull(), F.col("deep_d")).otherwise(F.col("credit_d"))
-    both = both.withColumn("d", d)
-    both = _with_crossing(both, "at", ("v.px", "v.py"), ("v.x", "v.y"), "d")
+    # The deep core lies inside the credit core, so one pass over the credit core finds both.
+    found = members(_around(points, idx), idx, "credit", {"_deep": idx.in_core("x", "y", "deep_d")})
+    row = F.struct("seq", "x", "y", "px", "py", "nx", "ny", "credit_d", "deep_d")
+    both = found.groupBy(*key).agg(F.min_by(row, "seq").alias("credit"), F.min_by(row, F.when(F.col("_deep"), F.col("seq"))).alias("deep"))
+    is_deep = F.col("deep").isNotNull()
+    both = both.select(*key, F.when(is_deep, "deep").otherwise("credit").alias("level"), F.coalesce("deep", "credit").alias("v"))
+    both = both.withColumn("d", F.when(F.col("level") == "deep", F.col("v.deep_d")).otherwise(F.col("v.credit_d")))
+    fx, fy = F.coalesce("v.px", "v.x"), F.coalesce("v.py", "v.y")
+    # A track's first vertex is its own way: no length, so it ends where it starts.
+    ways = both.select(*key, "level", "v", "d", fx.alias("x"), fy.alias("y"), (F.col("v.x") - fx).alias("vx"), (F.col("v.y") - fy).alias("vy"))
+    both = last_entries(ways, ["track_id"], idx, carry=("level", "v")).drop("x", "y", "vx", "vy")
     dx = F.when(F.col("v.px").isNotNull(), F.col("v.x") - F.col("v.px")).otherwise(F.col("v.nx") - F.col("v.x"))
     dy = F.when(F.col("v.py").isNotNull(), F.col("v.y") - F.col("v.py")).otherwise(F.col("v.ny") - F.col("v.y"))
     both = both.withColumns({"_dx": dx, "_dy": dy}).withColumn("_l", F.hypot("_dx", "_dy"))
     off = FIRST_ENTRY_M / METERS_PER_DEG
-    ahead = F.when(F.col("_l") > 1e-12, F.struct((F.col("at.x") + F.col("_dx") / F.col("_l") * off).alias("x"), (F.col("at.y") + F.col("_dy") / F.col("_l") * off).alias("y")))
-    both = both.withColumn("ahead", ahead)
-    still_in = F.expr(f"{inside_sql('edges', 'ahead.x', 'ahead.y')} AND (credit_d <= 0D OR {edge_distance_sql('edges', 'ahead.x', 'ahead.y')} > credit_d)")
-    move = (F.col("level") == "credit") & F.col("ahead").isNotNull() & still_in
-    both = both.withColumn("p", F.when(move, F.col("ahead")).otherwise(F.col("at"))).withColumn("_cos", idx.cos)
-    return both.select(*key, (F.col("p.x") / F.col("_cos")).alias("lng"), F.col("p.y").alias("lat"), "level")
+    moves = (F.col("level") == "credit") & (F.col("_l") > 1e-12)
+    ahead = {n: F.when(moves, F.col("e" + n) + F.col("_d" + n) / F.col("_l") * off) for n in "xy"}
+    both = both.withColumns({"a" + n: c for n, c in ahead.items()}).withColumns({"cx": F.floor(F.col("ax") / idx.cell), "cy": F.floor(F.col("ay") / idx.cell)})
+    both = both.join(idx.cells.select("area_id", "cx", "cy", "corner_in", "left_x", "low_y", "edges"), ["area_id", "cx", "cy"], "left")
+    still_in = F.coalesce(F.expr(idx.in_core("ax", "ay", "v.credit_d")), F.lit(False))
+    x, y = (F.when(still_in, F.col("a" + n)).otherwise(F.col("e" + n)) for n in "xy")
+    return both.withColumn("_cos", idx.cos).select(*key, (x / F.col("_cos")).alias("lng"), y.alias("lat"), "level")
 
 
 def depths(points: DataFrame, keys: list[str], idx: AreaIndex) -> DataFrame:
-    """Depth in metres of every point in every area holding it: ``(*keys, area_id, lng, lat, depth_m)``."""
-    inside = members(points.select(*keys, "lng", "lat"), idx).join(idx.geoms.select("area_id", "edges"), "area_id")
+    """Depth in metres of every point in every area holding it: ``(*keys, area_id, lng, lat, depth_m)``.
+
+    A point meets only the edges that can be the nearest ones in its cell.
+    """
+    at = _projected(points.select(*keys, "lng", "lat"), idx).withColumns({"cx": F.floor(F.col("x") / idx.cell), "cy": F.floor(F.col("y") / idx.cell)})
+    pairs = at.join(idx.near.where("NOT is_context"), ["cx", "cy"])
+    pairs = pairs.where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1").where(F.expr(idx.inside("x", "y")))
     depth = F.expr(edge_distance_sql("edges", "x", "y")) * METERS_PER_DEG
-    return inside.select(*keys, "area_id", "lng", "lat", depth.alias("depth_m"))
+    return pairs.select(*keys, "area_id", "lng", "lat", depth.alias("depth_m"))
 
 
 def first_at_depth(points: DataFrame, idx: AreaIndex, min_depth_m: float) -> DataFrame:
