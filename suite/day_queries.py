@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackspark.operators import days, elevation, stats, tracks
+from trackspark.sources.dem import bands_of_cells
 
 from .registry import half_up, query, r, rnd
 from .scalars import ROAD, ROAD_CASE, _tag_sql
@@ -32,6 +33,12 @@ def _(v):
     return rnd(elevation.sample_dem(v.track_points, v.dem_cells).select("track_id", "seq", "ele"), "ele")
 
 
+@query("sample_dem_bands", f"WITH {DEM} SELECT track_id, seq, {r('ele')} AS ele FROM ele")
+def _(v):
+    """The same heights from bands of rows."""
+    return rnd(elevation.sample_dem(v.track_points, bands_of_cells(v.dem_cells)).select("track_id", "seq", "ele"), "ele")
+
+
 @query("elevation_profile", f"WITH {PROFILE} SELECT track_id, i, {r('cum_m')} AS cum_m, {r('ele')} AS ele FROM prof")
 def _(v):
     return rnd(profile(v), "cum_m", "ele")

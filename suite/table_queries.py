@@ -79,12 +79,33 @@ def _(v):
     return messages.parse_messages(lines)
 
 
+@query("read_messages", "SELECT track_id, CAST(row_no AS INT) AS row_no, key_lng, key_lat, dist_m, way_tags FROM messages")
+def _(v):
+    """Messages written as one text file per track and read back in byte ranges."""
+    path = scratch(v, "messages")
+    cells = ["key_lng", "key_lat", F.lit("0"), "dist_m", *map(F.lit, "12345"), "way_tags", *map(F.lit, "n67")]
+    rows = v.messages.select("track_id", "row_no", F.concat_ws("\t", *cells).alias("value"))
+    rows = rows.unionByName(rows.select("track_id").distinct().selectExpr("track_id", "0 AS row_no", "'Longitude\tLatitude' AS value"))
+    rows.repartition("track_id").sortWithinPartitions("track_id", "row_no").select("track_id", "value").write.partitionBy("track_id").text(path)
+    return messages.read_messages(v.spark, path, name=r"track_id=([0-9]+)/")
+
+
 @query("dem_decode", "SELECT CAST(track_id % 60 AS INT) AS tile_lat, CAST(track_id // 60 AS INT) AS tile_lng, 2 AS n, CAST(i // 2 AS INT) AS r, CAST(i % 2 AS INT) AS c, CAST(CASE WHEN i <> 3 THEN track_id + i END AS INT) AS ele FROM (SELECT DISTINCT track_id FROM track_points) t, range(4) x(i)")
 def _(v):
+    return dem.decode_rasters(rasters(v))
+
+
+def rasters(v):
+    """A raster of four cells, one void, for every track."""
     cell = "lpad(hex(track_id + {}), 4, '0')"
     hexes = "concat(" + ", ".join(cell.format(i) for i in range(3)) + ", '8000')"
-    files = v.track_points.select("track_id").distinct().selectExpr("format_string('N%02dE%03d.hgt', track_id % 60, track_id div 60) AS name", f"unhex({hexes}) AS content")
-    return dem.decode_rasters(files)
+    return v.track_points.select("track_id").distinct().selectExpr("format_string('N%02dE%03d.hgt', track_id % 60, track_id div 60) AS name", f"unhex({hexes}) AS content")
+
+
+@query("dem_bands", "SELECT CAST(track_id % 60 AS INT) AS tile_lat, CAST(track_id // 60 AS INT) AS tile_lng, 2 AS n, 0 AS band, 0 AS first_row, CAST(i AS INT) AS at, CAST(CASE WHEN i <> 3 THEN track_id + i END AS INT) AS ele FROM (SELECT DISTINCT track_id FROM track_points) t, range(4) x(i)")
+def _(v):
+    bands = dem.decode_bands(rasters(v))
+    return bands.select("tile_lat", "tile_lng", "n", "band", "first_row", F.posexplode("heights").alias("at", "ele")).withColumn("ele", F.col("ele").cast("int"))
 
 
 @query("parse_listing", "SELECT size_bytes % (SELECT count(*) FROM pages) AS page_id, name, size_bytes FROM seg_remote")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.geo import METERS_PER_DEG
 from trackspark.operators import coverage
+from trackspark.plans.lineage import materialize
 
 from test_areas import depth_at, frames, square, track
 
@@ -25,7 +27,8 @@ def wavy(n, radius, waves, height, cx=15.0, cy=50.0):
 def test_polygon_of_100_000_vertices(spark):
     ring, hole = wavy(100_000, 0.5, 900, 0.01), wavy(2_000, 0.12, 30, 0.05)
     a, v = frames(spark, {1: [[ring, hole]]}, rep={1: (15.3, 50.0)})
-    idx = coverage.area_index(a, v).stored()
+    idx = coverage.area_index(a, v)
+    idx = replace(idx, cells=materialize(idx.cells))
     edges = 102_000
     cells = idx.cells.select("corner_in", F.size("edges").alias("n")).collect()
     assert sum(r.n for r in cells) < 3 * edges
@@ -34,13 +37,21 @@ def test_polygon_of_100_000_vertices(spark):
     rng = random.Random(2)
     where = [(15 + rng.uniform(-0.55, 0.55), 50 + rng.uniform(-0.55, 0.55)) for _ in range(150)]
     x, y = np.array([p[0] * cos for p in where]), np.array([p[1] for p in where])
-    outer, inner = depth_at(ring, cos, x, y), depth_at(hole, cos, x, y)
-    deep = np.minimum(outer, -inner)
+    deep = np.minimum(depth_at(ring, cos, x, y), -depth_at(hole, cos, x, y))
+    for core, least in (("full", 0.0), ("deep", 220 / METERS_PER_DEG)):
+        found = {r.seq for r in coverage.locate_points(track(spark, where), ["track_id", "seq"], idx, core).collect()}
+        assert found == set(np.flatnonzero(deep > least).tolist())
+
+
+def test_depth_far_from_any_edge(spark):
+    ring = wavy(3_000, 0.5, 60, 0.02)
+    idx = coverage.area_index(*frames(spark, {1: [[ring]]}, rep={1: (15.3, 50.0)}))
+    cos, rng = math.cos(math.radians(50.0)), random.Random(4)
+    where = [(15.0, 50.0)] + [(15 + rng.uniform(-0.55, 0.55), 50 + rng.uniform(-0.55, 0.55)) for _ in range(100)]
+    deep = depth_at(ring, cos, [p[0] * cos for p in where], [p[1] for p in where])
     found = {r.seq: r.depth_m for r in coverage.depths(track(spark, where), ["track_id", "seq"], idx).collect()}
-    assert set(found) == set(np.flatnonzero(deep > 0).tolist())
+    assert set(found) == set(np.flatnonzero(deep > 0).tolist()) and max(found.values()) > 30_000
     assert all(abs(found[i] - deep[i] * METERS_PER_DEG) < 1e-3 for i in found)
-    credit = {r.seq for r in coverage.locate_points(track(spark, where), ["track_id", "seq"], idx, "deep").collect()}
-    assert credit == set(np.flatnonzero(deep > 220 / METERS_PER_DEG).tolist())
 
 
 def test_whole_polygons_are_not_joined(spark):

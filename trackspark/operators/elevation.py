@@ -11,6 +11,7 @@ from ..functions.geo import half_up, linear_interp
 from ..plans.chunks import fill_forward, with_neighbors
 from ..plans.lineage import cut_lineage, materialize
 from ..plans.ranges import points_in_ranges
+from ..sources.dem import rows_per_band
 from .tracks import cum_distance
 
 WINDOW_KM = 120.0  # fixed value: length of one elevation request
@@ -42,10 +43,10 @@ def _lerp(a: Column, b: Column, f: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + (b - a) * f)
 
 
-def sample_dem(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Add ``ele``: bilinear height; void corners are skipped, no data at all gives 0."""
+def _on_grid(points: DataFrame, dem: DataFrame) -> DataFrame:
+    """Cell ``r, c`` of each point in its tile of side ``n`` and the place inside it, ``_fr, _fc``; nulls without a tile."""
     # At most 64 800 one-degree tiles exist, so this side is safe to broadcast.
-    grids = cells.select(*_TILE, "n").distinct()
+    grids = dem.select(*_TILE, "n").distinct()
     at = points.withColumns({"tile_lat": F.floor("lat").cast("int"), "tile_lng": F.floor("lng").cast("int")})
     at = at.join(F.broadcast(grids), _TILE, "left")
     row = (F.col("tile_lat") + 1 - F.col("lat")) * (F.col("n") - 1)
@@ -54,12 +55,41 @@ def sample_dem(points: DataFrame, cells: DataFrame) -> DataFrame:
     def clamp(v):
         return F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(v).cast("int")))
 
-    at = at.withColumns({"r": clamp(row), "c": clamp(col), "_fr": row - F.floor(row), "_fc": col - F.floor(col)})
-    asked = at.where("n IS NOT NULL").select(*_TILE, "n", "r", "c").distinct()
-    hit = at.join(quads_at(asked, cells), [*_TILE, "r", "c"], "left")
+    return at.withColumns({"r": clamp(row), "c": clamp(col), "_fr": row - F.floor(row), "_fc": col - F.floor(col)})
+
+
+def _height() -> Column:
     fc, fr = F.col("_fc"), F.col("_fr")
     value = _lerp(_lerp(F.col("h00"), F.col("h01"), fc), _lerp(F.col("h10"), F.col("h11"), fc), fr)
-    return hit.select(*points.columns, F.coalesce(value, F.lit(0.0)).alias("ele"))
+    return F.coalesce(value, F.lit(0.0)).alias("ele")
+
+
+def sample_dem(points: DataFrame, dem: DataFrame) -> DataFrame:
+    """Add ``ele``: bilinear height from a table of cells or of bands; void corners are skipped, no data at all gives 0."""
+    if "heights" in dem.columns:
+        return sample_bands(points, dem)
+    at = _on_grid(points, dem)
+    asked = at.where("n IS NOT NULL").select(*_TILE, "n", "r", "c").distinct()
+    hit = at.join(quads_at(asked, dem), [*_TILE, "r", "c"], "left")
+    return hit.select(*points.columns, _height())
+
+
+def sample_bands(points: DataFrame, bands: DataFrame) -> DataFrame:
+    """:func:`sample_dem` on bands: a point's four corners lie in one band and are taken from its array by index.
+
+    Bands that no point asks for leave before the shuffle, so what moves is bounded by the points: one short array each.
+    """
+    at = _on_grid(points, bands).withColumn("band", F.floor(F.col("r") / rows_per_band(F.col("n"))).cast("int"))
+    key = [*_TILE, "band"]
+    asked = at.where("n IS NOT NULL").select(*key).distinct()
+    used = bands.join(asked, key, "left_semi").select(*key, "first_row", "heights")
+    hit = at.join(used, key, "left")
+
+    def corner(i, j):
+        r, c = F.least(F.col("n") - 1, F.col("r") + i), F.least(F.col("n") - 1, F.col("c") + j)
+        return F.get("heights", (r - F.col("first_row")) * F.col("n") + c).cast("double")
+
+    return hit.withColumns({f"h{i}{j}": corner(i, j) for i in (0, 1) for j in (0, 1)}).select(*points.columns, _height())
 
 
 def elevation_profile(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -159,8 +189,6 @@ def enrich_elevation(points: DataFrame, cells: DataFrame, spans: DataFrame, samp
     along = materialize(cum_distance(points.select("track_id", "seq", "lng", "lat")), "distance")
     if samples is None:
         z = sample_dem(along, cells).select("track_id", "seq", "lng", "lat", "cum_m", "ele")
-        profile = z.select("track_id", F.col("cum_m").alias("x"), F.col("ele").alias("v"))
-        z = interp_join(z.drop("ele").withColumnRenamed("cum_m", "x"), profile).select("track_id", "seq", "lng", "lat", F.col("x").alias("cum_m"), F.col("v").alias("ele"))
         return flatten_spans(materialize(z, "heights"), spans)
     wins = elevation_windows(points).withColumn("size", F.col("end_i") - F.col("start_i") + 1)
     picks = F.when(F.col("size") <= samples, F.sequence("start_i", "end_i")).otherwise(

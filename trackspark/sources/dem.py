@@ -1,4 +1,8 @@
-"""Elevation rasters: square big-endian int16 files to a cell table."""
+"""Elevation rasters: square big-endian int16 files to a table of cells or of bands of rows.
+
+A band holds some whole rows of a raster as one array, and the first row of the next band, so that four neighbouring
+cells always lie in one band. A lookup then moves one short array per band that is asked for.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,9 @@ from ..functions.names import parse_dem_tile
 VOID = -32768  # fixed value
 BAND = 65_536  # cells of a raster decoded at a time
 CELLS = "tile_lat int, tile_lng int, n int, r int, c int, ele int"
+BAND_CELLS = 4096  # cells of a stored band, at least one row
+BANDS = "tile_lat int, tile_lng int, n int, band int, first_row int, heights array<smallint>"
+BATCH = 64  # bands of a raster in one record batch
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,20 +38,81 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            n, high = row["n"], max(1, BAND_CELLS // row["n"])
+            cells = np.frombuffer(row["content"], dtype=">i2").reshape(n, n)
+            firsts = np.arange(0, n, high)
+            for some in np.split(firsts, range(BATCH, len(firsts), BATCH)):
+                parts = [cells[f : f + high + 1].ravel() for f in some.tolist()]
+                flat = np.concatenate(parts).astype(np.int16)
+                ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+                heights = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=flat == VOID))
+                same = lambda v: pa.array(np.full(len(some), v, dtype=np.int32))  # noqa: E731, B023
+                arrays = [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array((some // high).astype(np.int32)), pa.array(some.astype(np.int32)), heights]
+                yield pa.RecordBatch.from_arrays(arrays, names=["tile_lat", "tile_lng", "n", "band", "first_row", "heights"])
+
+
+def rows_per_band(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(BAND_CELLS) / n).cast("int"))
+
+
 def resolution(length: Column) -> Column:
     """Side of a square raster of that many bytes, 0 when the size is not n * n * 2."""
     n = F.floor(F.sqrt(length / 2) + 0.5).cast("bigint")
     return F.when((length > 0) & (n * n * 2 == length), n.cast("int")).otherwise(0)
 
 
+def _usable(files: DataFrame) -> DataFrame:
+    rows = files.withColumns({"n": resolution(F.length("content")), "t": parse_dem_tile("name")})
+    return rows.where("n >= 2 AND t IS NOT NULL").select("t.tile_lat", "t.tile_lng", "n", "content")
+
+
 def decode_rasters(files: DataFrame) -> DataFrame:
     """``(name, content)`` rows to cells; files of a wrong size or name are skipped, voids become NULL."""
-    rows = files.withColumns({"n": resolution(F.length("content")), "t": parse_dem_tile("name")})
-    rows = rows.where("n >= 2 AND t IS NOT NULL").select("t.tile_lat", "t.tile_lng", "n", "content")
-    return rows.mapInArrow(_cells, CELLS)
+    return _usable(files).mapInArrow(_cells, CELLS)
+
+
+def decode_bands(files: DataFrame) -> DataFrame:
+    """``(name, content)`` rows to bands ``(tile_lat, tile_lng, n, band, first_row, heights)``; as :func:`decode_rasters` otherwise."""
+    return _usable(files).mapInArrow(_bands, BANDS)
+
+
+def bands_of_cells(cells: DataFrame) -> DataFrame:
+    """A cell table as bands; cells that are missing count as voids."""
+    high = rows_per_band(F.col("n"))
+    home = cells.withColumns({"_b": F.floor(F.col("r") / high).cast("int"), "_h": high})
+    shared = F.when((F.col("r") % F.col("_h") == 0) & (F.col("r") > 0), F.col("_b") - 1)
+    copies = home.withColumn("band", F.explode(F.array_compact(F.array("_b", shared))))
+    at = (F.col("r") - F.col("band") * F.col("_h")) * F.col("n") + F.col("c")
+    known = copies.where("ele IS NOT NULL").groupBy("tile_lat", "tile_lng", "n", "band").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("ele").cast("smallint").alias("z")))).alias("m"))
+    size = (F.least(rows_per_band(F.col("n")) + 1, F.col("n") - F.col("band") * rows_per_band(F.col("n")))) * F.col("n")
+    heights = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.try_element_at("m", i))
+    return known.select("tile_lat", "tile_lng", "n", "band", (F.col("band") * rows_per_band(F.col("n"))).alias("first_row"), heights.alias("heights"))
+
+
+def raster_files(spark: SparkSession, path: str, tiles: DataFrame | None = None) -> DataFrame:
+    """``(name, content)`` of the ``.hgt`` files below a folder; of the asked ``(tile_lat, tile_lng)`` only, the others are not opened.
+
+    Names are listed without contents. There are 64 800 one-degree tiles, which bounds the paths of the asked ones.
+    """
+    def load(where):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").option("recursiveFileLookup", "true").load(where)
+        return files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+
+    if tiles is None:
+        return load(path).select("name", "content")
+    listed = load(path).select("path", parse_dem_tile("name").alias("t")).where("t IS NOT NULL").select("path", "t.tile_lat", "t.tile_lng")
+    asked = [r.path for r in listed.join(tiles.select("tile_lat", "tile_lng").distinct(), ["tile_lat", "tile_lng"], "left_semi").select("path").collect()]
+    return load(asked).select("name", "content") if asked else spark.createDataFrame([], "name string, content binary")
+
+
+def read_hgt(spark: SparkSession, path: str, tiles: DataFrame | None = None) -> DataFrame:
+    """Cells of the ``.hgt`` files below a folder, or of the asked tiles."""
+    return decode_rasters(raster_files(spark, path, tiles))
 
 
-def read_hgt(spark: SparkSession, path: str) -> DataFrame:
-    """All ``.hgt`` files below a folder; write the result partitioned by tile for pruned reads."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").option("recursiveFileLookup", "true").load(path)
-    return decode_rasters(files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content"))
+def read_hgt_bands(spark: SparkSession, path: str, tiles: DataFrame | None = None) -> DataFrame:
+    """Bands of the ``.hgt`` files below a folder, or of the asked tiles; write the result partitioned by tile for pruned reads."""
+    return decode_bands(raster_files(spark, path, tiles))
