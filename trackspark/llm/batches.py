@@ -24,14 +24,20 @@ def loaded(kind, text: str):
     return _models[key]
 
 
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def free() -> None:
     """Let models of other operators go and give free memory back to the system."""
     if _models:
         _models.clear()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            return
+        trim()
 
 
 def map_arrow(df: DataFrame, run, schema, models: bool = False) -> DataFrame:

@@ -162,7 +162,7 @@ class Automaton:
         return spans, states
 
     def items(self, states: set[int]) -> set[str]:
-        return {self.keys[k] for s in states for k in (self.owners[s] if s > 0 else self.whole[-s])}
+        return {self.keys[k] for s in states for k in (self.owners[s] if s > 0 else self.whole[-s])} - {None}
 
 
 HITS, ITEMS = "__hits", "__items"
@@ -232,7 +232,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
 
     A word is hit inside any occurrence of an item's window of ``window`` words, or of a whole item of fewer words; a row
     is contaminated if it has a hit and at least one word in ``share`` is hit. Null and empty texts have no words, null
-    or wordless items no windows; items of one key count once. Rows are independent; extra columns pass through, those
+    or wordless items no windows; items of one key count once, and those without a key mark words but are not listed. Rows are independent; extra columns pass through, those
     named like the results are replaced.
     """
     marked = df.withColumns({HITS: F.lit(None).cast(BinaryType()), ITEMS: F.array().cast("array<string>")})
@@ -266,6 +266,36 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
     return map_arrow(marked, last, schema).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
+def remove_spans(found: DataFrame, longest: int = WINDOW, share: int = SHARE, text: str = "text", cleaned: str = "cleaned") -> DataFrame:
+    """Add the texts of :func:`contamination` without spans beyond a limit, and ``n_removed``, the words removed.
+
+    A span goes if it has more than ``longest`` words; where at least one word in ``share`` is hit, every span of the
+    text goes. A blank stands for what is cut out. Texts that lose nothing stay as they are, null ones too.
+    """
+    schema = extended(found, (cleaned, StringType()), ("n_removed", LongType()))
+
+    def run(batches):
+        for batch in batches:
+            at = {n: batch.column(batch.schema.get_field_index(n)) for n in (text, "n_words", "n_hit", "spans")}
+            raw = at[text].cast(pa.large_string()).cast(pa.large_binary())
+            out, removed = [], []
+            for value, n_words, n_hit, spans in zip(raw, *(at[n].to_pylist() for n in ("n_words", "n_hit", "spans")), strict=True):
+                over = n_hit > 0 and share * n_hit >= n_words
+                gone = [x for x in spans or [] if over or x["last"] - x["first"] + 1 > longest]
+                removed.append(sum(x["last"] - x["first"] + 1 for x in gone))
+                if not gone:
+                    out.append(value.as_py())
+                    continue
+                data, begin, parts = value.as_py(), 0, []
+                for x in gone:
+                    parts.append(data[begin : x["start"]])
+                    begin = x["end"]
+                out.append(b" ".join([*parts, data[begin:]]))
+            yield with_columns(batch, schema, **{cleaned: pa.array(out, pa.binary()).cast(pa.string()), "n_removed": pa.array(removed, pa.int64())})
+
+    return map_arrow(found, run, schema)
+
+
 SQL = r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS r,

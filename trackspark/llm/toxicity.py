@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .batches import map_arrow
+from .batches import map_arrow, trim
 from .bpe import extended, with_columns
 from .registry import query, table
 from .words import ALNUM_LOWER, Slice, slices
 
 #: Rows of each class that the model is fitted on, taken in the order of a hash of their id.
 FIT_ROWS = 3000
+#: Bytes of text of each class that the model is fitted on; the first document always is.
+FIT_BYTES = 16 << 20
 BITS = 20
 #: Word starts that serve as stems, in bytes.
 HEADS = (4, 5, 6)
@@ -129,16 +131,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on a bounded sample: at most ``rows`` documents of each class, weighted back to the classes' shares.
+def within(sizes: list, most: int) -> list:
+    """Ids of the rows ``(id, toxic, bytes)`` that come before a class has more than so many bytes; one of each class at least."""
+    total: dict[int, int] = {}
+    out = []
+    for doc_id, toxic, size in sizes:
+        before = total.get(toxic)
+        total[toxic] = (before or 0) + size
+        if before is None or total[toxic] <= most:
+            out.append(doc_id)
+    return out
 
-    Null ids, labels other than 0 / 1 and held-out ids take no part; null texts are empty bags.
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> Model:
+    """Fit on a bounded sample: at most ``rows`` documents and ``most`` bytes of each class, weighted back to the classes' shares.
+
+    Null ids, labels other than 0 / 1 and held-out ids take no part; null texts are empty bags. A label counts once per
+    row of it: repeated labels weigh more, an id with both labels is learned as both, and a repeated document is fitted
+    as often as it occurs, all of it within the bounds.
     """
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))
+    sample = picked[0].unionByName(picked[1])
+    # Ids, labels and sizes of the sample reach the driver, at most two times ``rows``; then the texts that fit.
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes")
+    sizes = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(size).orderBy(order, "doc_id", "toxic").collect()
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(within(sizes, most)))], StructType([StructField("doc_id", known.schema["doc_id"].dataType)]))
+    sample = F.broadcast(sample.join(chosen, "doc_id", "left_semi"))
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
 
     def bags(batches):
@@ -160,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     got = sorted((r for r in got if r["words"]), key=lambda r: (r["doc_id"], r["toxic"], r["bins"]))
     y = np.array([r["toxic"] for r in got], np.int64)
     share = np.array([counts[k] / max(1, (y == k).sum()) for k in y.tolist()])
-    return fit([(np.frombuffer(r["bins"], np.int32).reshape(-1, 1 + len(HEADS)), np.frombuffer(r["words"], np.int32)) for r in got], y, share)
+    model = fit([(np.frombuffer(r["bins"], np.int32).reshape(-1, 1 + len(HEADS)), np.frombuffer(r["words"], np.int32)) for r in got], y, share)
+    del got, y, share
+    trim()
+    return model
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", DoubleType())]))
