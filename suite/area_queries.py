@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
+from trackspark.functions.geo import METERS_PER_DEG
 from trackspark.functions.names import category_key
 from trackspark.operators import areas, coverage
 
@@ -107,9 +109,14 @@ def _(v):
     return rnd(areas.entry_samples(v.areas, v.area_vertices), "lng", "lat", digits=6)
 
 
-@query("deepest_points")
+@query("deepest_points", f"""{BASE} SELECT area_id, TRUE AS found FROM sq""")
 def _(v):
-    return areas.deepest_points(v.areas, v.area_vertices)
+    """Whether each depth is within 5 m of the largest circle's: the square's own, or that between its corner and the hole's."""
+    deep = areas.deepest_points(v.areas, v.area_vertices, tolerance_m=5.0)
+    shape = v.areas.select("area_id", "holed", (F.col("half_deg") * areas.cos_ref(v.areas)).alias("hx"), F.col("half_deg").alias("hy"))
+    largest = F.when(F.col("holed"), 0.6 * (F.col("hx") + F.col("hy")) - 0.6 * F.sqrt(2 * F.col("hx") * F.col("hy"))).otherwise(F.least("hx", "hy")) * METERS_PER_DEG
+    close = F.col("depth_m").between(largest - 5.0, largest + 0.001)
+    return deep.join(shape, "area_id").select("area_id", close.alias("found"))
 
 
 for _core in ("full", "credit", "deep"):

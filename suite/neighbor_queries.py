@@ -59,13 +59,20 @@ def _(v):
     return adjacency.enclosed(adj(v), v.visits)
 
 
+#: Every user's scope: the areas of the country and level of one they have visited, in the same tenth of a degree.
+POOLED = """(SELECT DISTINCT user_id, b.area_id, b.country_id, b.level_id FROM visits JOIN areas a USING (area_id)
+ JOIN areas b ON b.country_id = a.country_id AND b.level_id = a.level_id AND floor(10*b.lng) = floor(10*a.lng) AND floor(10*b.lat) = floor(10*a.lat))"""
+
+
 def pool(v):
-    """Every user's scope: strips of the grid."""
-    users = v.events.select("user_id").distinct().withColumn("strip", F.expr("user_id % 16"))
-    return users.join(v.areas.withColumn("strip", F.expr("(area_id div 64) % 16")), "strip").select("user_id", "area_id", "country_id", "level_id")
+    cell = [F.floor(10 * F.col(c)).alias("cell_" + c) for c in ("lng", "lat")]
+    placed = v.areas.select("area_id", "country_id", "level_id", *cell)
+    key = ["country_id", "level_id", "cell_lng", "cell_lat"]
+    seen = v.visits.select("user_id", "area_id").join(placed, "area_id").select("user_id", *key).distinct()
+    return seen.join(placed, key).select("user_id", "area_id", "country_id", "level_id")
 
 
-REGIONS = f"""{ADJ}, node AS (SELECT u.user_id, area_id FROM areas JOIN (SELECT DISTINCT user_id FROM events) u ON (area_id // 64) % 16 = u.user_id % 16 EXCEPT SELECT user_id, area_id FROM visits),
+REGIONS = f"""{ADJ}, node AS (SELECT user_id, area_id FROM {POOLED} p EXCEPT SELECT user_id, area_id FROM visits),
  link AS (SELECT a.user_id, a.area_id, b.area_id AS nbr_id, shared_km FROM node a JOIN adj USING (area_id) JOIN node b ON b.user_id = a.user_id AND b.area_id = adj.nbr_id),
  reach(user_id, area_id, lab) AS (SELECT user_id, area_id, area_id FROM node UNION SELECT l.user_id, l.nbr_id, reach.lab FROM reach JOIN link l ON l.user_id = reach.user_id AND l.area_id = reach.area_id),
  comp AS (SELECT user_id, area_id, min(lab) AS region FROM reach GROUP BY ALL), ii AS (SELECT user_id, area_id, sum(shared_km) AS k FROM link GROUP BY ALL),

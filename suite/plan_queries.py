@@ -8,7 +8,7 @@ from trackspark.functions.names import category_key
 from trackspark.operators import adjacency, areas, coverage, legs, metrics, neighbors, pools, selection
 
 from .area_queries import BASE, PTS, SEG, cov, cover_cte, idx, inside, located
-from .neighbor_queries import ADJ, FRACTION, REGIONS, VERT, adj, line, per, pool, regions, wished
+from .neighbor_queries import ADJ, FRACTION, POOLED, REGIONS, VERT, adj, line, per, pool, regions, wished
 from .registry import half_up, hav, query, r, rnd
 from .scalars import _DX, BOXED, forms
 
@@ -92,13 +92,9 @@ def _(v):
     return rnd(legs.anchor_gaps(pools.anchors(anchor_forms(v)), line(v)), "gap_km")
 
 
-#: Every user's scope: strips of the grid.
-POOLED = "(SELECT u.user_id, area_id, country_id, level_id FROM areas JOIN (SELECT DISTINCT user_id FROM events) u ON (area_id // 64) % 16 = u.user_id % 16)"
-
-
-@query("split_visited", f"WITH p AS (SELECT * FROM {POOLED} q), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, country_id, level_id ORDER BY area_id) AS k FROM p ANTI JOIN visits USING (user_id, area_id)) SELECT *, TRUE AS is_visited FROM p SEMI JOIN visits USING (user_id, area_id) UNION ALL SELECT user_id, area_id, country_id, level_id, FALSE FROM f WHERE k <= 100")
+@query("split_visited", f"WITH p AS (SELECT * FROM {POOLED} q) SELECT *, EXISTS (SELECT 1 FROM visits v WHERE v.user_id = p.user_id AND v.area_id = p.area_id) AS is_visited FROM p")
 def _(v):
-    return pools.split_visited(pool(v), v.visits, 100)
+    return pools.split_visited(pool(v), v.visits)
 
 
 @query("scope_special", "SELECT s.area_id, 9 + area_id % 2 AS group_id FROM areas s WHERE holed AND (area_id % 2 = 1 OR EXISTS (SELECT 1 FROM areas a WHERE a.country_id = 1 AND a.area_id IN (s.area_id, s.area_id + 1)))")

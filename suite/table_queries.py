@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import budget
 from trackspark.operators import tables
-from trackspark.plans.lineage import shared_folder
+from trackspark.plans.lineage import discard, materialize, shared_folder
 from trackspark.sources import archive, areas_json, catalog, dem, exports, messages
 from trackspark.sources.versioned import VersionedTable
 from trackspark.streaming import jobs
@@ -302,15 +302,21 @@ def _(v):
     return tables.fold_forms(p).select("plan_id", "intent", "days", F.col("start.lng").alias("start_lng"))
 
 
+#: Files of a micro-batch.
+BATCH_FILES = 4
+
+
 # Streaming jobs run to completion over the files (availableNow) and return the table they built.
 def run_stream(v, name, source, job, mode="append"):
     path = scratch(v, name)
-    # Three micro-batches in the order of time, so that state is carried from one to the next.
+    # Three micro-batches in the order of time, so that state is carried from one to the next; rows without a time come first.
+    source = materialize(source, "source")
     low, high = source.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    third = F.floor(3 * (F.unix_micros("ts") - F.lit(low)) / F.lit(max(1, high - low + 1)))
+    third = F.coalesce(F.floor(3 * (F.unix_micros("ts") - F.lit(low or 0)) / F.lit(max(1, (high or 0) - (low or 0) + 1))), F.lit(0))
     for k in range(3):
-        source.where(third == k).coalesce(1).write.mode("append").parquet(path + "-in")
-    stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path + "-in")
+        source.where(third == k).repartition(BATCH_FILES).write.mode("append").parquet(path + "-in")
+    stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(path + "-in")
+    discard(source)
     out = job(stream).writeStream.format("parquet") if mode == "append" else job(stream).writeStream.foreachBatch(
         lambda b, n: b.write.mode("overwrite").parquet(f"{path}-out/batch={n}")
     ).outputMode(mode)
@@ -327,9 +333,11 @@ def stream_points(v):
     return with_ele(v).selectExpr("track_id AS user_id", "track_id", "CAST(ts AS TIMESTAMP) AS ts", "seq", "lng", "lat", "ele")
 
 
-@query("stream_new_tiles", f"WITH {TILE_VISITS} SELECT track_id AS user_id, tile_key FROM tile_of")
+@query("stream_new_tiles", f"WITH {TILE_VISITS} SELECT DISTINCT track_id // 2 AS user_id, tile_key FROM tile_of")
 def _(v):
-    return run_stream(v, "tiles", stream_points(v), jobs.stream_new_tiles).select("user_id", "tile_key")
+    """Users with two tracks each."""
+    points = stream_points(v).withColumn("user_id", F.expr("track_id div 2"))
+    return run_stream(v, "tiles", points, jobs.stream_new_tiles).select("user_id", "tile_key")
 
 
 RUN = f"""(SELECT track_id, max(seq) AS seq, coalesce(sum(km), 0e0) AS km, coalesce(sum(greatest(d, 0e0)), 0e0) AS climb FROM (SELECT track_id, seq, {hav('plng', 'plat', 'lng', 'lat')} AS km, d FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat, value*3e0-lag(value*3e0) OVER w AS d FROM track_points WINDOW w AS (PARTITION BY track_id ORDER BY seq)) a) b GROUP BY 1)"""

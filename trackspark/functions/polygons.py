@@ -55,6 +55,13 @@ def edge_distance_sql(edges: str, px: str, py: str) -> str:
     return f"array_min(transform({edges}, e -> hypot({px} - e.ax - e.ux * {t}, {py} - e.ay - e.uy * {t})))"
 
 
+def nearest_in_square_sql(edges: str, mx: str, my: str, side: str, reach: float = 0.0) -> str:
+    """The edges that can be nearest to some point of a square with centre (mx, my), and all within ``reach`` of it."""
+    t = f"greatest(0D, least(e.len, ({mx} - e.ax) * e.ux + ({my} - e.ay) * e.uy))"
+    far = f"greatest({edge_distance_sql(edges, mx, my)} + {side} * {2**0.5}D, {side} * {0.5**0.5}D + {reach}D)"
+    return f"transform(array({far}), far -> filter({edges}, e -> hypot({mx} - e.ax - e.ux * {t}, {my} - e.ay - e.uy * {t}) <= far))[0]"
+
+
 def blocked_sql(edges: str, px: str, py: str, vx: str, vy: str, d: str) -> str:
     """Per nearby edge the one interval of t in which p + t v is nearer than ``d`` to it: ``array<struct<lo, hi>>``.
 

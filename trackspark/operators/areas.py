@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LNG, METERS_PER_DEG
-from ..functions.polygons import edge_distance_sql, edge_struct, inside_sql
+from ..functions.polygons import edge_distance_sql, edge_struct, inside_cell_sql, inside_sql, nearest_in_square_sql
 from ..plans.chunks import with_neighbors
+from ..plans.lineage import discard, materialize
 
 RING = ["area_id", "part_no", "ring_no"]
 # Entry samples per area, their offset, tolerance of the deepest point in metres.
@@ -152,14 +153,47 @@ def with_deepest(geoms: DataFrame, tolerance_deg: float, name: str = "deepest",
     return geoms.withColumn(name, F.expr(f"CASE WHEN {guard} THEN {best} END"))
 
 
+def deepest_in(geoms: DataFrame, tolerance_deg: float) -> DataFrame:
+    """``(area_id, d, x, y)``: a point whose distance to the boundary is within the tolerance of the largest.
+
+    Branch and bound with squares as rows. A square keeps the edges that can be nearest to one of its points and knows
+    whether its corner is inside, so it is rated at its centre by few edges; each round drops the squares that cannot
+    beat the best point of their area by more than the tolerance and quarters the others. Squares of one large polygon
+    spread over tasks.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * 1.01 + 1e-6
+    squares = geoms.select(
+        "area_id", (F.col("x0") - 5e-7).alias("qx"), (F.col("y0") - 5e-7).alias("qy"), side.alias("side"), F.lit(False).alias("corner_in"), "edges",
+    )
+    mx, my = "(qx + side / 2)", "(qy + side / 2)"
+    rated_at = f"CASE WHEN {inside_cell_sql('edges', 'corner_in', 'qx', 'qy', mx, my)} THEN 1D ELSE -1D END * {edge_distance_sql('edges', mx, my)}"
+    cx, cy, half = "(qx + (k % 2) * side / 2)", "(qy + (k div 2) * side / 2)", "(side / 2)"
+    child = (
+        f"named_struct('qx', {cx}, 'qy', {cy}, 'side', {half}, 'corner_in', {inside_cell_sql('edges', 'corner_in', 'qx', 'qy', cx, cy)}, "
+        f"'edges', {nearest_in_square_sql('edges', f'({cx} + side / 4)', f'({cy} + side / 4)', half)})"
+    )
+    best = None
+    while True:
+        rated = materialize(squares.withColumn("d", F.expr(rated_at)), "rated", spread=True)
+        discard(squares)
+        top = rated.groupBy("area_id").agg(F.max(F.struct("d", F.expr(mx).alias("x"), F.expr(my).alias("y"))).alias("b"))
+        top = top if best is None else top.unionByName(best).groupBy("area_id").agg(F.max("b").alias("b"))
+        best, old = materialize(top, "deepest"), best
+        open_ = rated.join(best, "area_id").where(F.col("d") + F.col("side") * 0.5**0.5 > F.greatest(F.col("b.d"), F.lit(0.0)) + tolerance_deg)
+        squares = materialize(open_.select("area_id", F.explode(F.expr(f"transform(sequence(0, 3), k -> {child})")).alias("c")).select("area_id", "c.*"), "squares", spread=True)
+        discard(rated, *([old] if old is not None else []))
+        if squares.isEmpty():
+            return best.select("area_id", "b.*")
+
+
 def deepest_points(areas: DataFrame, area_vertices: DataFrame, tolerance_m: float = DEEPEST_TOLERANCE_M) -> DataFrame:
     """Centre of (nearly) the largest inscribed circle per area: ``(area_id, lng, lat, depth_m)``.
 
     Areas without usable rings fall back to their given point with depth 0.
     """
     cos = cos_ref(areas)
-    rows = with_deepest(geometry(areas, area_vertices, cos), tolerance_m / METERS_PER_DEG)
-    found = rows.select("area_id", (F.col("deepest.x") / F.col("_cos")).alias("d_lng"), F.col("deepest.y").alias("d_lat"), F.col("deepest.d").alias("d"))
+    found = deepest_in(geometry(areas, area_vertices, cos), tolerance_m / METERS_PER_DEG).withColumn("_cos", cos)
+    found = found.select("area_id", (F.col("x") / F.col("_cos")).alias("d_lng"), F.col("y").alias("d_lat"), "d")
     out = areas.select("area_id", "lng", "lat").join(found, "area_id", "left")
     good = F.col("d") > 0
     return out.select(

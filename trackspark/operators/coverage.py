@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METERS_PER_DEG, haversine_km
-from ..functions.polygons import TOUCH, blocked_sql, edge_distance_sql, gaps_sql, in_square_sql, inside_cell_sql, inside_sql
+from ..functions.polygons import TOUCH, blocked_sql, edge_distance_sql, gaps_sql, in_square_sql, inside_cell_sql, inside_sql, nearest_in_square_sql
 from ..plans.chunks import top_k, with_neighbors, with_previous
 from ..plans.lineage import materialize
 from ..plans.ranges import points_in_ranges
@@ -98,9 +98,7 @@ def quartered(geoms: DataFrame, cell: float, reach: float, pad: float, nearest:
     x, y, side = f"(q.x * {cell}D)", f"(q.y * {cell}D)", f"(_size * {cell}D)"
     own = in_square_sql(x, y, side, reach)
     mx, my = f"({x} + {side} / 2)", f"({y} + {side} / 2)"
-    far = f"greatest({edge_distance_sql('edges', mx, my)} + {side} * {2**0.5}D, {side} * {0.5**0.5}D + {reach}D)"
-    t = f"greatest(0D, least(e.len, ({mx} - e.ax) * e.ux + ({my} - e.ay) * e.uy))"
-    kept = f"transform(array({far}), far -> filter(edges, e -> hypot({mx} - e.ax - e.ux * {t}, {my} - e.ay - e.uy * {t}) <= far))[0]" if nearest else f"filter(edges, e -> {own})"
+    kept = nearest_in_square_sql("edges", mx, my, side, reach) if nearest else f"filter(edges, e -> {own})"
     corner = inside_cell_sql("edges", "corner_in", f"(cx * {cell}D)", f"(cy * {cell}D)", x, y)
     quarter = f"named_struct('cx', q.x, 'cy', q.y, 'corner_in', {corner}, 'meets', {f'exists(edges, e -> {own})' if nearest else 'true'}, 'edges', {kept})"
     in_box = f"{x} <= x1 + {pad}D AND {x} + {side} >= x0 - {pad}D AND {y} <= y1 + {pad}D AND {y} + {side} >= y0 - {pad}D"

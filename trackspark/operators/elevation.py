@@ -112,21 +112,22 @@ def elevation_summary(profile: DataFrame) -> DataFrame:
 def interp_join(points: DataFrame, profile: DataFrame, key="track_id", bucket: float = 50_000.0) -> DataFrame:
     """Add ``v`` at ``x`` from a profile ``(key, x, v)``: as-of on both sides, linear between, clamped outside.
 
-    Both inputs are laid along ``x`` and cut into buckets, so a long track is spread over many tasks.
+    Both inputs are laid along ``x`` and cut into buckets, so a long track is spread over many tasks. Every place counts
+    once, however many rows stand there (of samples at one place the largest), so a recorder that stands still fills no
+    bucket; the rows then get the value of their place.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    sample = F.struct(F.col("x").alias("x"), F.col("v").alias("v"))
-    rows = profile.select(*keys, "x", sample.alias("s"), F.lit(0).alias("kind"), F.lit(None).alias("p"))
-    mine = F.struct(*[F.col(c) for c in points.columns if c not in (*keys, "x")], F.lit(True).alias("_row"))
-    rows = rows.drop("p").unionByName(
-        points.select(*keys, "x", F.lit(1).alias("kind"), mine.alias("p")), allowMissingColumns=True
-    )
+    samples = profile.groupBy(*keys, "x").agg(F.max("v").alias("v"))
+    rows = samples.select(*keys, "x", F.struct("x", "v").alias("s"), F.lit(0).alias("kind"))
+    places = points.select(*keys, "x").distinct()
+    rows = rows.unionByName(places.select(*keys, "x", F.lit(1).alias("kind")), allowMissingColumns=True)
     rows = rows.withColumns({"_at": F.struct("x", "kind"), "_chunk": F.floor(F.col("x") / bucket)})
     rows = fill_forward(rows, keys, "_at", {"lo": F.col("s")})
     rows = rows.withColumn("_back", F.struct("x", (1 - F.col("kind")).alias("kind")))
     rows = fill_forward(rows, keys, "_back", {"hi": F.when(F.col("kind") == 0, F.col("s"))}, backward=True)
     v = linear_interp("lo.x", "lo.v", "hi.x", "hi.v", "x")
-    return rows.where(F.col("kind") == 1).select(*keys, "x", "p.*", v.alias("v")).drop("_row")
+    values = rows.where(F.col("kind") == 1).select(*keys, "x", v.alias("v"))
+    return points.join(values, [*keys, "x"])
 
 
 def flatten_spans(points: DataFrame, spans: DataFrame) -> DataFrame:

@@ -6,37 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import coarse_phase
+from ..functions.tiles import tile_key
+from ..operators.tracks import segment_tiles
 from ..plans.lineage import discard, materialize
 from ..sources.versioned import VersionedTable
-from .state import LATEST_SCHEMA, RUNNING_SCHEMA, TILE_SCHEMA, LatestTask, NewTiles, RunningEffort
+from .state import LATEST_SCHEMA, RUNNING_SCHEMA, SEGMENT_SCHEMA, LatestTask, RunningEffort, TrackSegments
 
 WATERMARK = "1 hour"
+#: Seconds of event time after which a silent track or a finished task is forgotten.
+FORGET_S = 30 * 24 * 3600
 
 
-def stream_new_tiles(points: DataFrame, z: int = 14, watermark: str = WATERMARK) -> DataFrame:
+def stream_new_tiles(points: DataFrame, z: int = 14, watermark: str = WATERMARK, forget_s: int = FORGET_S) -> DataFrame:
     """Tiles a user enters for the first time: ``(user_id, tile_key, ts)``; exact across micro-batches.
 
-    Points go by time within their track; no line is drawn from one track of a user to the next.
+    Points go by time within their track; no line is drawn from one track of a user to the next. Two stateful operators
+    in a row: the last point of each track, kept until the track has been silent for ``forget_s`` of event time, and the
+    set of (user, tile) pairs seen, which stays, as a tile is won once. The tiles of a segment are found in between by
+    column expressions. ``ts`` is the time of an entry in the micro-batch that first saw the tile.
     """
     rows = points.select("user_id", "track_id", "ts", "seq", "lng", "lat").withWatermark("ts", watermark)
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=NewTiles(z), outputStructType=TILE_SCHEMA, outputMode="Append", timeMode="EventTime"
+    segments = rows.groupBy("user_id", "track_id").transformWithStateInPandas(
+        statefulProcessor=TrackSegments(z, forget_s * 1000), outputStructType=SEGMENT_SCHEMA, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts"
     )
+    cells = segments.withColumn("c", F.explode(segment_tiles(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), z)))
+    return cells.select("user_id", tile_key("c.x", "c.y").alias("tile_key"), "ts").dropDuplicates(["user_id", "tile_key"])
 
 
-def stream_running_effort(points: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Running distance, climb and effort of each track after every batch of its points."""
+def stream_running_effort(points: DataFrame, watermark: str = WATERMARK, forget_s: int = FORGET_S) -> DataFrame:
+    """Running distance, climb and effort of each track after every batch of its points.
+
+    A track silent for ``forget_s`` of event time is forgotten; points after that are a new track.
+    """
     rows = points.select("track_id", "ts", "seq", "lng", "lat", "ele").withWatermark("ts", watermark)
     return rows.groupBy("track_id").transformWithStateInPandas(
-        statefulProcessor=RunningEffort(), outputStructType=RUNNING_SCHEMA, outputMode="Update", timeMode="EventTime"
+        statefulProcessor=RunningEffort(forget_s * 1000), outputStructType=RUNNING_SCHEMA, outputMode="Update", timeMode="EventTime"
     )
 
 
-def stream_latest_tasks(tasks: DataFrame, timeout_s: int = 3600, watermark: str = WATERMARK) -> DataFrame:
-    """Latest status per task; a task RUNNING and silent beyond the timeout is reported STALE once."""
+def stream_latest_tasks(tasks: DataFrame, timeout_s: int = 3600, watermark: str = WATERMARK, forget_s: int = FORGET_S) -> DataFrame:
+    """Latest status per task; a task RUNNING and silent beyond the timeout is reported STALE once.
+
+    Tasks that have ended or gone stale are forgotten after ``forget_s`` of event time.
+    """
     rows = tasks.select("task_id", "status", "ts").withWatermark("ts", watermark)
     return rows.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=LatestTask(timeout_s), outputStructType=LATEST_SCHEMA, outputMode="Update", timeMode="EventTime"
+        statefulProcessor=LatestTask(timeout_s, forget_s * 1000), outputStructType=LATEST_SCHEMA, outputMode="Update", timeMode="EventTime"
     )
 
 

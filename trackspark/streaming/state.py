@@ -8,10 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-KEY_BASE = 131072  # fixed value, as in the batch tile key
 EARTH_RADIUS_KM, CLIMB_WEIGHT = 6371.0, 0.1  # fixed values
 
-TILE_SCHEMA = "user_id bigint, tile_key bigint, ts timestamp"
+SEGMENT_SCHEMA = "user_id bigint, ts timestamp, x0 double, y0 double, x1 double, y1 double"
 RUNNING_SCHEMA = "track_id bigint, seq int, km double, climb_m double, effort double"
 LATEST_SCHEMA = "task_id bigint, status string, ts timestamp"
 
@@ -27,78 +26,67 @@ def frac_tiles(lng: np.ndarray, lat: np.ndarray, z: int) -> tuple[np.ndarray, np
     return (lng + 180.0) / 360.0 * n, (1.0 - np.log(np.tan(r) + 1.0 / np.cos(r)) / np.pi) / 2.0 * n
 
 
-def line_tiles(x0: float, y0: float, x1: float, y1: float, z: int) -> list[int]:
-    """Keys of the cells a segment enters after its first one, by the crossings of the grid lines."""
-    cells = []
-    for line in range(int(np.floor(min(x0, x1))) + 1, int(np.floor(max(x0, x1))) + 1):
-        t = (line - x0) / (x1 - x0)
-        y = y0 + t * (y1 - y0)
-        cells.append((t, 1, line if x1 > x0 else line - 1, int(np.floor(y)) if y1 > y0 else int(np.ceil(y)) - 1))
-    for line in range(int(np.floor(min(y0, y1))) + 1, int(np.floor(max(y0, y1))) + 1):
-        t = (line - y0) / (y1 - y0)
-        x = x0 + t * (x1 - x0)
-        cells.append((t, 0, int(np.ceil(x)) - 1 if x1 > x0 else int(np.floor(x)), line if y1 > y0 else line - 1))
-    top = 1 << z
-    return [x * KEY_BASE + y for _, _, x, y in sorted(cells) if 0 <= x < top and 0 <= y < top]
-
-
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A key's rows of one micro-batch in track order."""
     parts = list(rows)
     return pd.concat(parts).sort_values("seq", kind="stable") if parts else pd.DataFrame()
 
 
-class NewTiles(StatefulProcessor):
-    """Last point of each track and the set of tiles won, per user."""
+class TrackSegments(StatefulProcessor):
+    """Last point of a track; a batch's points become segments in fractional tile space.
 
-    def __init__(self, z: int):
-        self.z = z
+    A track that is silent for ``forget_ms`` of event time is forgotten; points after that start a new line.
+    """
+
+    def __init__(self, z: int, forget_ms: int):
+        self.z, self.forget_ms = z, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "track_id bigint", "ms bigint, seq int, lng double, lat double")
-        self.won = handle.getMapState("won", "tile_key bigint", "seen boolean")
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms bigint, seq int, x double, y double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         parts = list(rows)
         if not parts:
             return
-        out: list[tuple] = []
-        for track, pdf in pd.concat(parts).sort_values(["ts", "seq"], kind="stable").groupby("track_id", sort=True):
-            self._track(key[0], int(track), pdf, out)
-        yield pd.DataFrame(out, columns=["user_id", "tile_key", "ts"])
-
-    def _track(self, user: int, track: int, pdf: pd.DataFrame, out: list[tuple]) -> None:
-        prev = None
-        ms = pdf.ts.astype("datetime64[ms]").astype("int64")
-        if self.last.containsKey((track,)):
-            at, seq, *prev = self.last.getValue((track,))
-            later = (ms > at) | ((ms == at) & (pdf.seq > seq))
-            pdf, ms = pdf[later], ms[later]
-        if pdf.empty:
+        pdf = pd.concat(parts).sort_values(["ts", "seq"], kind="stable")
+        ms, seq = pdf.ts.astype("datetime64[ms]").astype("int64").to_numpy(), pdf.seq.to_numpy()
+        x, y = frac_tiles(pdf.lng.to_numpy(), pdf.lat.to_numpy(), self.z)
+        ts = pdf.ts.to_numpy()
+        before = self.last.get() if self.last.exists() else None
+        if before is not None:
+            later = (ms > before[0]) | ((ms == before[0]) & (seq > before[1]))
+            ms, seq, x, y, ts = ms[later], seq[later], x[later], y[later], ts[later]
+        if not len(ms):
             return
-        fx, fy = frac_tiles(pdf.lng.to_numpy(), pdf.lat.to_numpy(), self.z)
-        if prev is not None:
-            px, py = (a[0] for a in frac_tiles(np.array([prev[0]]), np.array([prev[1]]), self.z))
-        else:
-            px, py = fx[0], fy[0]
-        for x, y, ts in zip(fx, fy, pdf.ts):
-            first = [int(np.floor(x)) * KEY_BASE + int(np.floor(y))] if (px, py) == (x, y) else []
-            for tile in first + line_tiles(px, py, x, y, self.z):
-                if not self.won.containsKey((tile,)):
-                    self.won.updateValue((tile,), (True,))
-                    out.append((user, tile, ts))
-            px, py = x, y
-        end = pdf.iloc[-1]
-        self.last.updateValue((track,), (int(ms.iloc[-1]), int(end.seq), float(end.lng), float(end.lat)))
+        start = (x[0], y[0]) if before is None else (before[2], before[3])
+        self.last.update((int(ms[-1]), int(seq[-1]), float(x[-1]), float(y[-1])))
+        set_timer(self.handle, int(ms[-1]) + self.forget_ms)
+        yield pd.DataFrame({"user_id": key[0], "ts": ts, "x0": np.r_[start[0], x[:-1]], "y0": np.r_[start[1], y[:-1]], "x1": x, "y1": y})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def set_timer(handle: StatefulProcessorHandle, ms: int) -> None:
+    """The key's only timer."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(ms)
+
+
 class RunningEffort(StatefulProcessor):
-    """Last point and the sums so far, per track."""
+    """Last point and the sums so far, per track; forgotten when the track is silent for ``forget_ms`` of event time."""
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.sums = handle.getValueState("sums", "seq int, lng double, lat double, ele double, km double, climb double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -115,19 +103,24 @@ class RunningEffort(StatefulProcessor):
             return
         km += float(steps_km(lng, lat).sum())
         climb += float(np.maximum(np.diff(ele), 0).sum())
+        set_timer(self.handle, int(pdf.ts.max().value // 1_000_000) + self.forget_ms)
         self.sums.update((int(seq[-1]), float(lng[-1]), float(lat[-1]), float(ele[-1]), km, climb))
         row = (key[0], int(seq[-1]), km, climb, km + CLIMB_WEIGHT * climb)
         yield pd.DataFrame([row], columns=["track_id", "seq", "km", "climb_m", "effort"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.sums.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 class LatestTask(StatefulProcessor):
-    """Latest status per task with an event-time timer for silence."""
+    """Latest status per task with an event-time timer for silence; tasks that have ended are forgotten after a while."""
 
-    def __init__(self, timeout_s: int):
-        self.timeout_ms = timeout_s * 1000
+    def __init__(self, timeout_s: int, forget_ms: int):
+        self.timeout_ms, self.forget_ms = timeout_s * 1000, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -139,17 +132,17 @@ class LatestTask(StatefulProcessor):
         ms = int(end.ts.value // 1_000_000)
         if self.latest.exists() and self.latest.get()[1] > ms:
             return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.latest.update((end.status, ms))
-        if end.status == "RUNNING":
-            self.handle.registerTimer(ms + self.timeout_ms)
+        set_timer(self.handle, ms + (self.timeout_ms if end.status == "RUNNING" else self.forget_ms))
         yield pd.DataFrame([(key[0], end.status, end.ts)], columns=["task_id", "status", "ts"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         status, ms = self.latest.get()
-        if status == "RUNNING":
+        if status != "RUNNING":
+            self.latest.clear()
+        else:
             self.latest.update(("STALE", ms))
+            self.handle.registerTimer(ms + self.timeout_ms + self.forget_ms)
             yield pd.DataFrame([(key[0], "STALE", pd.Timestamp(ms, unit="ms"))], columns=["task_id", "status", "ts"])
 
     def close(self) -> None:
