@@ -111,11 +111,11 @@ def _(v):
 
 @query("deepest_points", f"""{BASE} SELECT area_id, TRUE AS found FROM sq""")
 def _(v):
-    """Whether each depth is within 5 m of the largest circle's: the square's own, or that between its corner and the hole's."""
-    deep = areas.deepest_points(v.areas, v.area_vertices, tolerance_m=5.0)
+    """Whether each depth is within the tolerance of the largest circle's: the square's own, or that between its corner and the hole's."""
+    deep = areas.deepest_points(v.areas, v.area_vertices)
     shape = v.areas.select("area_id", "holed", (F.col("half_deg") * areas.cos_ref(v.areas)).alias("hx"), F.col("half_deg").alias("hy"))
     largest = F.when(F.col("holed"), 0.6 * (F.col("hx") + F.col("hy")) - 0.6 * F.sqrt(2 * F.col("hx") * F.col("hy"))).otherwise(F.least("hx", "hy")) * METERS_PER_DEG
-    close = F.col("depth_m").between(largest - 5.0, largest + 0.001)
+    close = F.col("depth_m").between(largest - areas.DEEPEST_TOLERANCE_M, largest + 0.001)
     return deep.join(shape, "area_id").select("area_id", close.alias("found"))
 
 
