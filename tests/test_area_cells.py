@@ -80,3 +80,20 @@ def test_random_parts_holes_and_cell_lines(spark, cell):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
     full = {(r.seq, r.area_id) for r in coverage.members(track(spark, where), idx).collect()}
     assert full == set(want)
+
+
+def test_grid_suits_small_areas(spark):
+    """Many small areas in one land: a cell holds few of them and the table of cells grows with their number only."""
+    step = 0.01
+    shapes = {i: [[square(15.0 + step * (i % 20), 50.0 + step * (i // 20), step / 2)]] for i in range(400)}
+    idx = coverage.area_index(*frames(spark, shapes))
+    assert idx.cell < coverage.CELL_DEG and idx.cells.count() <= coverage.CELLS_PER_AREA * 400
+    assert idx.cells.groupBy("cx", "cy").count().agg({"count": "max"}).first()[0] <= 9
+
+
+def test_deep_core_without_fallback(spark):
+    """An area that nowhere is 220 m deep has its credit core as deep core, or none."""
+    shapes = {1: [[square(15.0, 50.0, 0.002)]]}
+    where = track(spark, [(15.0, 50.0)])
+    assert coverage.members(where, coverage.area_index(*frames(spark, shapes)), "deep").count() == 1
+    assert coverage.members(where, coverage.area_index(*frames(spark, shapes), fallback=False), "deep").count() == 0
