@@ -135,3 +135,26 @@ def test_silent_running_task_turns_stale(spark, tmp_path):
     q.awaitTermination()
     got = {(r.task_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "RUNNING"), (2, "RUNNING"), (2, "DONE"), (3, "RUNNING"), (4, "RUNNING"), (1, "STALE")}
+
+
+def test_count_within_by_bisection(spark):
+    """Counts against brute force, with crowds of equal and of close places dealt to several parts."""
+    import numpy as np
+
+    from trackspark.functions.geo import KNN_KM_PER_DEG
+    from trackspark.operators import neighbors
+
+    rng = np.random.default_rng(3)
+    lng = np.r_[rng.uniform(15, 15.3, 400), np.full(50, 15.1), 15.2 + rng.uniform(0, 1e-4, 200)]
+    lat = np.r_[rng.uniform(50, 50.2, 400), np.full(50, 50.1), 50.1 + rng.uniform(0, 1e-4, 200)]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lng, lat, strict=True))], "area_id long, lng double, lat double")
+    x, y = lng * np.cos(np.radians(lat.mean())) * KNN_KM_PER_DEG, lat * KNN_KM_PER_DEG
+    want = (np.hypot(x[:, None] - x, y[:, None] - y) < 2.0).sum(axis=1) - 1
+    before, neighbors.ASKERS = neighbors.ASKERS, 100
+    try:
+        plan = neighbors.count_within(df, 2.0)
+    finally:
+        neighbors.ASKERS = before
+    assert "FlatMapGroupsInArrow" in plan._jdf.queryExecution().toString()
+    got = {r.area_id: r.n for r in plan.collect()}
+    assert got == dict(enumerate(want.tolist()))
