@@ -36,7 +36,7 @@ def _(v):
 @query("sample_dem_bands", f"WITH {DEM} SELECT track_id, seq, {r('ele')} AS ele FROM ele")
 def _(v):
     """The same heights from bands of rows."""
-    return rnd(elevation.sample_dem(v.track_points, bands_of_cells(v.dem_cells)).select("track_id", "seq", "ele"), "ele")
+    return rnd(elevation.sample_dem(v.track_points, v.stored("dem_bands", lambda: bands_of_cells(v.dem_cells))).select("track_id", "seq", "ele"), "ele")
 
 
 @query("elevation_profile", f"WITH {PROFILE} SELECT track_id, i, {r('cum_m')} AS cum_m, {r('ele')} AS ele FROM prof")

@@ -80,3 +80,18 @@ def test_long_files_are_numbered_across_byte_ranges(spark, tmp_path):
     assert got == [(5, i, i, 2 * i, 7) for i in range(1, 3001)] + [(6, 1, 1, 2, 7), (6, 4, 4, 8, 7)]
     assert {r.track_id for r in messages.read_messages(spark, str(tmp_path), tracks=[6]).collect()} == {6}
     assert rows.where(F.col("way_tags") != "highway=path").count() == 0
+
+
+def test_bands_of_cells_with_gaps_and_carried_columns(spark):
+    """Cells with some missing become bands as the raster itself; whole-number columns of the files come along."""
+    import numpy as np
+
+    n = 70
+    grid = np.arange(n * n, dtype=">i2").reshape(n, n)
+    grid[3, 5] = grid[58, 0] = dem.VOID
+    files = spark.createDataFrame([("N50E014.hgt", bytearray(grid.tobytes()), 7)], "name string, content binary, survey long")
+    cells = dem.decode_rasters(files, ["survey"])
+    assert {r.survey for r in cells.select("survey").distinct().collect()} == {7}
+    bands = dem.bands_of_cells(cells.where("ele IS NOT NULL"))
+    assert "FlatMapGroupsInArrow" in bands._jdf.queryExecution().toString()
+    assert sorted(bands.collect()) == sorted(dem.decode_bands(files, ["survey"]).drop("survey").collect())

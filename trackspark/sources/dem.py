@@ -23,35 +23,41 @@ BANDS = "tile_lat int, tile_lng int, n int, band int, first_row int, heights arr
 BATCH = 64  # bands of a raster in one record batch
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            n = row["n"]
-            cells = np.frombuffer(row["content"], dtype=">i2")
-            for first in range(0, n * n, BAND):
-                grid = cells[first : first + BAND].astype(np.int32)
-                at = np.arange(first, first + len(grid), dtype=np.int32)
-                same = lambda v: pa.array(np.full(len(grid), v, dtype=np.int32))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array(at // n), pa.array(at % n), pa.array(grid, mask=grid == VOID)],
-                    names=["tile_lat", "tile_lng", "n", "r", "c", "ele"],
-                )
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            n, high = row["n"], max(1, BAND_CELLS // row["n"])
-            cells = np.frombuffer(row["content"], dtype=">i2").reshape(n, n)
-            firsts = np.arange(0, n, high)
-            for some in np.split(firsts, range(BATCH, len(firsts), BATCH)):
-                parts = [cells[f : f + high + 1].ravel() for f in some.tolist()]
-                flat = np.concatenate(parts).astype(np.int16)
-                ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-                heights = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=flat == VOID))
-                same = lambda v: pa.array(np.full(len(some), v, dtype=np.int32))  # noqa: E731, B023
-                arrays = [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array((some // high).astype(np.int32)), pa.array(some.astype(np.int32)), heights]
-                yield pa.RecordBatch.from_arrays(arrays, names=["tile_lat", "tile_lng", "n", "band", "first_row", "heights"])
+def _cells(carry: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = row["n"]
+                cells = np.frombuffer(row["content"], dtype=">i2")
+                for first in range(0, n * n, BAND):
+                    grid = cells[first : first + BAND].astype(np.int32)
+                    at = np.arange(first, first + len(grid), dtype=np.int32)
+                    same = lambda v, kind=np.int32: pa.array(np.full(len(grid), v, dtype=kind))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array(at // n), pa.array(at % n), pa.array(grid, mask=grid == VOID), *[same(row[c], np.int64) for c in carry]],
+                        names=["tile_lat", "tile_lng", "n", "r", "c", "ele", *carry],
+                    )
+
+    return run
+
+
+def _bands(carry: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, high = row["n"], max(1, BAND_CELLS // row["n"])
+                cells = np.frombuffer(row["content"], dtype=">i2").reshape(n, n)
+                firsts = np.arange(0, n, high)
+                for some in np.split(firsts, range(BATCH, len(firsts), BATCH)):
+                    parts = [cells[f : f + high + 1].ravel() for f in some.tolist()]
+                    flat = np.concatenate(parts).astype(np.int16)
+                    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+                    heights = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=flat == VOID))
+                    same = lambda v, kind=np.int32: pa.array(np.full(len(some), v, dtype=kind))  # noqa: E731, B023
+                    arrays = [same(row["tile_lat"]), same(row["tile_lng"]), same(n), pa.array((some // high).astype(np.int32)), pa.array(some.astype(np.int32)), heights]
+                    yield pa.RecordBatch.from_arrays([*arrays, *[same(row[c], np.int64) for c in carry]], names=["tile_lat", "tile_lng", "n", "band", "first_row", "heights", *carry])
+
+    return run
 
 
 def rows_per_band(n: Column) -> Column:
@@ -64,19 +70,37 @@ def resolution(length: Column) -> Column:
     return F.when((length > 0) & (n * n * 2 == length), n.cast("int")).otherwise(0)
 
 
-def _usable(files: DataFrame) -> DataFrame:
+def _usable(files: DataFrame, carry: list[str]) -> DataFrame:
     rows = files.withColumns({"n": resolution(F.length("content")), "t": parse_dem_tile("name")})
-    return rows.where("n >= 2 AND t IS NOT NULL").select("t.tile_lat", "t.tile_lng", "n", "content")
+    return rows.where("n >= 2 AND t IS NOT NULL").select("t.tile_lat", "t.tile_lng", "n", "content", *[F.col(c).cast("bigint").alias(c) for c in carry])
 
 
-def decode_rasters(files: DataFrame) -> DataFrame:
-    """``(name, content)`` rows to cells; files of a wrong size or name are skipped, voids become NULL."""
-    return _usable(files).mapInArrow(_cells, CELLS)
+def decode_rasters(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``(name, content)`` rows to cells; files of a wrong size or name are skipped, voids become NULL.
+
+    Whole-number columns of ``carry``, such as the survey a file is from, come along.
+    """
+    carry = carry or []
+    return _usable(files, carry).mapInArrow(_cells(carry), ", ".join([CELLS, *[f"{c} bigint" for c in carry]]))
 
 
-def decode_bands(files: DataFrame) -> DataFrame:
+def decode_bands(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``(name, content)`` rows to bands ``(tile_lat, tile_lng, n, band, first_row, heights)``; as :func:`decode_rasters` otherwise."""
-    return _usable(files).mapInArrow(_bands, BANDS)
+    carry = carry or []
+    return _usable(files, carry).mapInArrow(_bands(carry), ", ".join([BANDS, *[f"{c} bigint" for c in carry]]))
+
+
+def _scatter(data: pa.Table) -> pa.Table:
+    """The known cells of one band laid into its array."""
+    lat, lng, n, band = (data.column(c)[0].as_py() for c in ("tile_lat", "tile_lng", "n", "band"))
+    high = max(1, BAND_CELLS // n)
+    heights = np.zeros(min(high + 1, n - band * high) * n, np.int16)
+    void = np.ones(len(heights), bool)
+    at = (np.asarray(data.column("r")) - band * high) * n + np.asarray(data.column("c"))
+    heights[at], void[at] = np.asarray(data.column("z")), False
+    whole = pa.ListArray.from_arrays(pa.array([0, len(heights)], pa.int32()), pa.array(heights, mask=void))
+    row = [pa.array([v], pa.int32()) for v in (lat, lng, n, band, band * high)]
+    return pa.Table.from_arrays([*row, whole], names=["tile_lat", "tile_lng", "n", "band", "first_row", "heights"])
 
 
 def bands_of_cells(cells: DataFrame) -> DataFrame:
@@ -85,11 +109,8 @@ def bands_of_cells(cells: DataFrame) -> DataFrame:
     home = cells.withColumns({"_b": F.floor(F.col("r") / high).cast("int"), "_h": high})
     shared = F.when((F.col("r") % F.col("_h") == 0) & (F.col("r") > 0), F.col("_b") - 1)
     copies = home.withColumn("band", F.explode(F.array_compact(F.array("_b", shared))))
-    at = (F.col("r") - F.col("band") * F.col("_h")) * F.col("n") + F.col("c")
-    known = copies.where("ele IS NOT NULL").groupBy("tile_lat", "tile_lng", "n", "band").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("ele").cast("smallint").alias("z")))).alias("m"))
-    size = (F.least(rows_per_band(F.col("n")) + 1, F.col("n") - F.col("band") * rows_per_band(F.col("n")))) * F.col("n")
-    heights = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.try_element_at("m", i))
-    return known.select("tile_lat", "tile_lng", "n", "band", (F.col("band") * rows_per_band(F.col("n"))).alias("first_row"), heights.alias("heights"))
+    known = copies.where("ele IS NOT NULL").select("tile_lat", "tile_lng", "n", "band", "r", "c", F.col("ele").cast("smallint").alias("z"))
+    return known.groupBy("tile_lat", "tile_lng", "n", "band").applyInArrow(_scatter, BANDS)
 
 
 def raster_files(spark: SparkSession, path: str, tiles: DataFrame | None = None) -> DataFrame:
