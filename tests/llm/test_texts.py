@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trackspark.llm import bpe, decontamination, licenses, neardup, substrings, token_counts, toxicity, words
@@ -241,6 +242,24 @@ def test_near_duplicates_crowd(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, [t for _, t in rows])).collect()) == expected
 
 
+def test_near_duplicates_crowd_tile(spark):
+    """Of a crowd a tile names only the links that join its components, not all pairs."""
+    rng = random.Random(17)
+    base = prose(rng, 200)
+    rows = [(i, mutated(rng, base, 5)) for i in range(120)]
+    frame = docs(spark, [t for _, t in rows])
+    low = neardup.low_bytes(neardup.signatures(frame).withColumnRenamed("doc_id", "id"))
+    made = low.join(neardup.sets_of(frame.selectExpr("doc_id AS id", "text")), "id").withColumn("component", F.col("id")).collect()
+    both = [r.asDict() | {"odd": odd} for r in made for odd in (True, False)]
+    links = neardup.tile(pa.Table.from_pylist(both), neardup.PERCENT).to_pylist()
+    label = {i: i for i, _ in rows}
+    for x in links:
+        old, new = sorted((label[x["a"]], label[x["b"]]))[::-1]
+        label = {i: new if c == old else c for i, c in label.items()}
+    assert [label[i] for i, _ in rows] == [c for _, _, c, _ in brute_near(rows)]
+    assert len(links) == 120 - len(set(label.values()))
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2300)] + [(5, 5)]

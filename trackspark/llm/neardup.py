@@ -5,9 +5,9 @@
 2. Nodes that share a band are candidates. The first pass links each bucket's members to its leader only, the member
    that shares most with others. A second pass takes the buckets that still hold several components: their members
    outside the largest component meet all members of other components. Where that would be many pairs (a crowd of
-   loosely similar texts), blocks of the members meet in tiles: a task compares the signatures of two blocks column by
-   column and names only pairs that can pass the test. First each member names its best partner in every other
-   component; then, between components that are still apart, all partners.
+   loosely similar texts), blocks of the members meet in tiles with their shingle sets: a task compares the signatures
+   of two blocks column by column and the sets of what can pass, and names only as many links as join the components of
+   its blocks. No list of a crowd's pairs is made.
 3. Candidates pass a test of their signatures, then the exact overlap of their full shingle sets.
 4. Components come from alternating large-star and small-star.
 
@@ -40,8 +40,8 @@ MINIMA = ROWS * BANDS
 AGREE = round(MINIMA * (0.75 - 4.9 * (0.75 * 0.25 / MINIMA) ** 0.5))
 #: Pairs per member up to which all pairs between a bucket's components are candidates.
 SPARE = 2
-#: Members of a crowded bucket in a tile: those outside the largest component, and all.
-ODD, ALL = 2048, 4096
+#: Members of a crowded bucket in a tile: those outside the largest component, and all; so many shingles each on average.
+ODD, ALL, SET = 2048, 4096, 512
 #: Pairs that are sent to every executor as a filter (16 bytes each); above, the texts are joined by a shuffle.
 SENT_PAIRS = 500_000
 
@@ -136,6 +136,20 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
+def sets_of(texts: DataFrame) -> DataFrame:
+    """``id, codes``: the sorted hashes of every shingle set of rows ``(id, text)``, eight bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch.column(1), SPACED_LOWER):
+                row, code = shingles(part)
+                ends = np.cumsum(np.bincount(row, minlength=part.rows))
+                sets = [x.tobytes() for x in np.split(code, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "codes"])
+
+    return map_arrow(texts, run, "id long, codes binary")
+
+
 def low_bytes(nodes: DataFrame) -> DataFrame:
     """``id, low``: the lowest byte of every minimum; where minima agree, so do these."""
 
@@ -147,31 +161,57 @@ def low_bytes(nodes: DataFrame) -> DataFrame:
     return map_arrow(nodes.select("id", "minima"), run, "id long, low binary")
 
 
-def tile(data: pa.Table, best: bool) -> pa.Table:
-    """Of two blocks of one bucket: pairs ``(a, b)`` of different components whose low bytes agree often enough.
+def tile(data: pa.Table, percent: int) -> pa.Table:
+    """Of two blocks of one bucket: links ``(a, b)`` that join all components with a link between the blocks.
 
-    ``best``: of each odd member only the closest member of every other component.
+    A member meets those of other components whose low bytes agree often enough, the closest first; the rest only while
+    they are still in other components. Sets are compared in full.
     """
     side = np.asarray(data.column("odd"))
-    ids, parts = (np.asarray(data.column(n)) for n in ("id", "component"))
+    ids = np.asarray(data.column("id"))
+    parts = np.unique(np.asarray(data.column("component")), return_inverse=True)[1]
     low = np.frombuffer(b"".join(data.column("low").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    sets = data.column("codes").to_pylist()
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    first = np.cumsum(size) - size
+    codes, flat = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    del sets
     odd, every = np.flatnonzero(side), np.flatnonzero(~side)
     columns = np.ascontiguousarray(low[every].T)
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for first in range(0, len(odd), 128):
-        mine = odd[first : first + 128]
+    mark = np.zeros(len(codes), bool)
+    links = []
+
+    def linked(row: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` whose set overlaps that of ``row`` by the threshold."""
+        n = size[others]
+        starts = np.cumsum(n) - n
+        at = np.repeat(first[others] - starts, n) + np.arange(int(n.sum()))
+        both = np.add.reduceat(mark[flat[at]], starts, dtype=np.int64)
+        return others[100 * both >= percent * (size[row] + n - both)]
+
+    for start in range(0, len(odd), 128):
+        mine = odd[start : start + 128]
         same = np.zeros((len(mine), len(every)), np.uint8)
         for k in range(MINIMA):
             same += low[mine, k][:, None] == columns[k]
-        x, y = np.nonzero((same >= AGREE) & (parts[mine][:, None] != parts[every]))
-        if best and len(x):
-            order = np.lexsort((-same[x, y].astype(np.int16), parts[every[y]], x))
-            x, y = x[order], y[order]
-            of = parts[every[y]]
-            new = np.append(True, (x[1:] != x[:-1]) | (of[1:] != of[:-1]))
-            x, y = x[new], y[new]
-        found.append((ids[mine[x]], ids[every[y]]))
-    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        for row, agreed in zip(mine, same, strict=True):
+            near = np.flatnonzero(agreed >= AGREE)
+            near = every[near[np.argsort(-agreed[near].astype(np.int16), kind="stable")]]
+            own = flat[first[row] : first[row] + size[row]]
+            mark[own] = True
+            # The closest first: most members are joined to most others by it.
+            for lot in (slice(0, 1), slice(1, None)):
+                others = near[lot]
+                others = others[parts[others] != parts[row]]
+                # No more sets at once than fit into a block.
+                for few in np.split(others, range(512, len(others), 512)):
+                    few = few[parts[few] != parts[row]]
+                    for other in linked(row, few) if len(few) else ():
+                        if parts[other] != parts[row]:
+                            links.append((ids[row], ids[other]))
+                            parts[parts == parts[other]] = parts[row]
+            mark[own] = False
+    x, y = np.array(links, np.int64).reshape(-1, 2).T
     return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
 
@@ -206,24 +246,33 @@ class Search:
         crowded = F.expr("n * n - squares") > 2 * (F.lit(SPARE) * F.col("n") + 64)
         return named.join(total.select("key", "n", F.expr("n - main.n").alias("n_odd"), F.col("main.component").alias("main"), crowded.alias("crowded")), "key")
 
-    def tiles(self, crowd: DataFrame, best: bool) -> DataFrame:
-        """Candidates ``(a, b)`` between the components of crowded buckets."""
-        wanted = low_bytes(self.nodes.join(crowd.select("id").distinct(), "id", "left_semi"))
-        blocks = crowd.select("key", "id", "component", "main", F.ceil(F.col("n_odd") / ODD).alias("p"), F.ceil(F.col("n") / ALL).alias("q")).join(wanted, "id")
+    def tiles(self, crowd: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` between the components of the buckets of ``crowd``, as many as join them."""
+        wanted = materialize(crowd.select("id").distinct(), "wanted")
+        few = wanted.count() <= 2 * SENT_PAIRS
+        some = F.broadcast(wanted) if few else wanted
+        low = low_bytes(self.nodes.join(some, "id", "left_semi"))
+        sets = sets_of(self.docs.join(some, "id", "left_semi").select("id", "text"))
+        facts = materialize(low.join(sets.where(F.length("codes") > 0), "id").withColumn("size", F.length("codes") / 8), "facts")
+        # Blocks are bounded in members and in shingles.
+        strange = F.col("component") != F.col("main")
+        sized = crowd.select("key", "id", "component", "main").join(facts.select("id", "size"), "id")
+        blocks = lambda n, w, most: F.greatest(F.ceil(n / most), F.ceil(w / (most * SET))).cast("long")
+        counts = sized.groupBy("key").agg(
+            blocks(F.count_if(strange), F.sum(F.when(strange, F.col("size")).otherwise(0)), ODD).alias("p"), blocks(F.count(F.lit(1)), F.sum("size"), ALL).alias("q"))
+        members = crowd.select("key", "id", "component", "main").join(counts, "key").join(facts.drop("size"), "id")
         deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
         count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        odd = blocks.where("component <> main").select("key", deal("p", 1).alias("i"), count("q").alias("j"), "id", "component", "low", F.lit(True).alias("odd"))
-        every = blocks.select("key", count("p").alias("i"), deal("q", 2).alias("j"), "id", "component", "low", F.lit(False).alias("odd"))
-        return odd.union(every).groupBy("key", "i", "j").applyInArrow(lambda data: tile(data, best), "a long, b long").distinct()
-
-    def linked(self, label: DataFrame, pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-        """The components after the links among ``pairs``."""
-        more = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            discard(more)
-            return label
-        found = self.confirm(more)
-        discard(more)
+        odd = members.where(strange).select("key", deal("p", 1).alias("i"), count("q").alias("j"), "id", "component", "low", "codes", F.lit(True).alias("odd"))
+        every = members.select("key", count("p").alias("i"), deal("q", 2).alias("j"), "id", "component", "low", "codes", F.lit(False).alias("odd"))
+        percent = self.percent
+        links = odd.union(every).groupBy("key", "i", "j").applyInArrow(lambda data: tile(data, percent), "a long, b long").distinct()
+        found = materialize(links, "links")
+        discard(wanted, facts)
+        return found
+
+    def joined(self, label: DataFrame, found: DataFrame) -> DataFrame:
+        """The components after further links."""
         return label if found.isEmpty() else components(label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
 
     def run(self) -> DataFrame:
@@ -245,13 +294,16 @@ class Search:
         small = open_.where("not crowded").select("key", "id", "component", "main")
         odd = small.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
         met = odd.join(small.select("key", F.col("id").alias("y"), F.col("component").alias("of_y")), "key").where("of_x <> of_y")
-        crowd = materialize(open_.where("crowded"), "crowd")
-        label = self.linked(label, pairs_of(met, "x", "y").union(self.tiles(crowd, True)).distinct(), tried)
+        crowd = materialize(open_.where("crowded").select("key", "id"), "crowd")
+        more = materialize(pairs_of(met, "x", "y").join(tried, ["a", "b"], "left_anti"), "pairs")
         discard(open_, tried)
-        left = materialize(self.open_buckets(crowd.select("key", "id"), label), "crowd")
+        if not more.isEmpty():
+            label = self.joined(label, self.confirm(more))
+        left = materialize(self.open_buckets(crowd, label), "crowd")
+        discard(more, crowd)
         if not left.isEmpty():
-            label = self.linked(label, self.tiles(left, False))
-        discard(crowd, left)
+            label = self.joined(label, self.tiles(left))
+        discard(left)
         return label
 
 
