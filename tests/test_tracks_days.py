@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -177,3 +178,26 @@ def test_elevation_windows(spark):
     for r in elevation.elevation_windows(p).orderBy("track_id", "start_i").collect():
         got.setdefault(r.track_id, []).append((r.start_i, r.end_i))
     assert got == {t: greedy_windows(c, 120_000.0) for t, c in cum.items() if len(c) > 1}
+
+
+def test_climb_windows_are_added_in_track_order(spark):
+    """Partial sums that an aggregation spills and merges again must not move a gain of about one half."""
+    rng = random.Random(5)
+    values, want = {}, {}
+    for t in range(400):
+        # Rising steps of 0.03 m times whole numbers that make up one half in the end.
+        steps = [rng.randrange(1, 400) for _ in range(19)]
+        steps.append((50 - sum(steps)) % 100 + 100)
+        v = values[t] = [round(sum(steps[:i]) / 100, 2) * 3.0 for i in range(21)]
+        total = 0.0
+        for a, b in zip(v, v[1:]):
+            total += max(0.0, b - a)
+        want[t] = math.floor(total + 0.5)
+    rows = [(t, i, x) for t, v in values.items() for i, x in enumerate(v)]
+    points = spark.createDataFrame(rows, "track_id long, seq int, ele double")
+    spark.conf.set("spark.sql.TungstenAggregate.testFallbackStartsAt", "20, 47")
+    try:
+        got = {r.track_id: r.climb_m for r in tracks.climb_m(points, window=20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.TungstenAggregate.testFallbackStartsAt")
+    assert got == want
