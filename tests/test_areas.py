@@ -1,10 +1,12 @@
 import math
 import random
+import types
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from suite import neighbor_queries
 from trackspark.functions.geo import METERS_PER_DEG
 from trackspark.operators import adjacency, areas, coverage, neighbors
 
@@ -147,6 +149,26 @@ def test_enclave(spark):
     assert adjacency.enclosed_regions(adj, per, visited(spark, range(1, 10)), visited(spark, range(2, 10))).count() == 0
 
 
+def test_regions_of_shared_scopes(spark, monkeypatch):
+    """The same groups as from listed pools, of which only parts that may qualify are listed."""
+    rng = random.Random(11)
+    a, adj, per = adjacent(spark, grid(8))
+    scopes = spark.createDataFrame([(i // 12 % 2, i) for i in range(1, 65)], "scope int, area_id bigint")
+    users = spark.createDataFrame([(u, u % 2) for u in range(24)], "user_id bigint, scope int")
+    rows = [(u, i) for u in range(24) for i in range(1, 65) if rng.random() < (u % 6) / 6]
+    seen = spark.createDataFrame(rows, "user_id bigint, area_id bigint")
+    pool = users.join(scopes, "scope").select("user_id", "area_id")
+    want = {tuple(r) for r in adjacency.enclosed_regions(adj, per, pool, seen).collect()}
+    listed, plain = [], adjacency.enclosed_regions
+    monkeypatch.setattr(adjacency, "enclosed_regions", lambda adj, per, pool, *rest: listed.append(pool.count()) or plain(adj, per, pool, *rest))
+    views = types.SimpleNamespace(visits=seen)
+    monkeypatch.setattr(neighbor_queries, "adj", lambda v: adj)
+    monkeypatch.setattr(neighbor_queries, "per", lambda v: per)
+    monkeypatch.setattr(neighbor_queries, "strips", lambda v: (users.withColumnRenamed("scope", "strip"), scopes.withColumnRenamed("scope", "strip")))
+    assert {tuple(r) for r in neighbor_queries.regions(views).collect()} == want and len(want) > 20
+    assert listed[0] < 0.8 * pool.count()
+
+
 def test_rim_prefers_the_country_border(spark):
     shapes = {1: [[square(15, 50, 0.05)]], 2: [[square(15.1, 50, 0.05)]], 3: [[square(14.9, 50, 0.05)]]}
     a, adj, _ = adjacent(spark, shapes, country={1: 1, 2: 2, 3: 1})
