@@ -158,3 +158,25 @@ def test_count_within_by_bisection(spark):
     assert "FlatMapGroupsInArrow" in plan._jdf.queryExecution().toString()
     got = {r.area_id: r.n for r in plan.collect()}
     assert got == dict(enumerate(want.tolist()))
+
+
+def test_latest_task_reads_and_writes_its_state_once(spark):
+    """A task costs one read, one write and a change of timer per batch; timers are never listed."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from trackspark.streaming.state import LatestTask
+
+    calls, held = [], {}
+    state = SimpleNamespace(get=lambda: calls.append("get") or held.get("v"), update=lambda v: calls.append("update") or held.update(v=v))
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=lambda ms: calls.append(ms), deleteTimer=lambda ms: calls.append(-ms))
+    task = LatestTask(60, 5000)
+    task.init(handle)
+    out = list(task.handleInputRows((7,), iter([Row(status="RUNNING", us=3_000_001), Row(status="FAILED", us=2_000_000)]), None))
+    assert out == [Row(task_id=7, status="RUNNING", us=3_000_001)] and calls == ["get", "update", 63_000]
+    calls.clear()
+    out = list(task.handleInputRows((7,), iter([Row(status="COMPLETED", us=4_000_000)]), None))
+    assert out == [Row(task_id=7, status="COMPLETED", us=4_000_000)] and calls == ["get", -63_000, "update", 9_000]
+    calls.clear()
+    assert list(task.handleInputRows((7,), iter([Row(status="RUNNING", us=1_000_000)]), None)) == [] and calls == ["get"]

@@ -10,7 +10,7 @@ from ..functions.tiles import tile_key
 from ..operators.tracks import segment_tiles
 from ..plans.lineage import discard, materialize
 from ..sources.versioned import VersionedTable
-from .state import LATEST_SCHEMA, RUNNING_SCHEMA, SEGMENT_SCHEMA, LatestTask, RunningEffort, TrackSegments
+from .state import LATEST_SCHEMA, NO_TIME, RUNNING_SCHEMA, SEGMENT_SCHEMA, LatestTask, RunningEffort, TrackSegments
 
 WATERMARK = "1 hour"
 #: Seconds of event time after which a silent track or a finished task is forgotten.
@@ -49,10 +49,11 @@ def stream_latest_tasks(tasks: DataFrame, timeout_s: int = 3600, watermark: str
 
     Tasks that have ended or gone stale are forgotten after ``forget_s`` of event time.
     """
-    rows = tasks.select("task_id", "status", "ts").withWatermark("ts", watermark)
-    return rows.groupBy("task_id").transformWithStateInPandas(
+    rows = tasks.select("task_id", "status", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", watermark)
+    out = rows.groupBy("task_id").transformWithState(
         statefulProcessor=LatestTask(timeout_s, forget_s * 1000), outputStructType=LATEST_SCHEMA, outputMode="Update", timeMode="EventTime"
     )
+    return out.select("task_id", "status", F.timestamp_micros(F.when(F.col("us") > NO_TIME, F.col("us"))).alias("ts"))
 
 
 def stream_timings(calls: DataFrame, width: str = "10 minutes", slide: str | None = None, watermark: str = WATERMARK) -> DataFrame:
