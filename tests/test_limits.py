@@ -180,3 +180,22 @@ def test_latest_task_reads_and_writes_its_state_once(spark):
     assert out == [Row(task_id=7, status="COMPLETED", us=4_000_000)] and calls == ["get", -63_000, "update", 9_000]
     calls.clear()
     assert list(task.handleInputRows((7,), iter([Row(status="RUNNING", us=1_000_000)]), None)) == [] and calls == ["get"]
+
+
+def test_track_timers_are_moved_without_listing():
+    """The state tells when a track's timer was due, so none are listed."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from trackspark.streaming.state import RunningEffort, TrackSegments
+
+    for task, key in ((RunningEffort(5000), (7,)), (TrackSegments(10, 5000), (1, 7))):
+        moves, held = [], {}
+        state = SimpleNamespace(get=lambda h=held: h.get("v"), update=lambda v, h=held: h.update(v=v))
+        handle = SimpleNamespace(getValueState=lambda *_, s=state: s, registerTimer=moves.append, deleteTimer=lambda ms, m=moves: m.append(-ms))
+        task.init(handle)
+        for second in (1, 2):
+            rows = pd.DataFrame({"ts": pd.to_datetime([second], unit="s"), "seq": [second], "lng": [14.0 + second], "lat": [50.0], "ele": [0.0]})
+            assert len(list(task.handleInputRows(key, iter([rows]), None))) == 1
+        assert moves == [6000, -6000, 7000]

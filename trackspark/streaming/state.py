@@ -56,7 +56,7 @@ class TrackSegments(StatefulProcessor):
         ms, seq = pdf.ts.astype("datetime64[ms]").astype("int64").to_numpy(), pdf.seq.to_numpy()
         x, y = frac_tiles(pdf.lng.to_numpy(), pdf.lat.to_numpy(), self.z)
         ts = pdf.ts.to_numpy()
-        before = self.last.get() if self.last.exists() else None
+        before = self.last.get()
         if before is not None:
             later = (ms > before[0]) | ((ms == before[0]) & (seq > before[1]))
             ms, seq, x, y, ts = ms[later], seq[later], x[later], y[later], ts[later]
@@ -64,7 +64,7 @@ class TrackSegments(StatefulProcessor):
             return
         start = (x[0], y[0]) if before is None else (before[2], before[3])
         self.last.update((int(ms[-1]), int(seq[-1]), float(x[-1]), float(y[-1])))
-        set_timer(self.handle, int(ms[-1]) + self.forget_ms)
+        move_timer(self.handle, None if before is None else before[0] + self.forget_ms, int(ms[-1]) + self.forget_ms)
         yield pd.DataFrame({"user_id": key[0], "ts": ts, "x0": np.r_[start[0], x[:-1]], "y0": np.r_[start[1], y[:-1]], "x1": x, "y1": y})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -75,10 +75,10 @@ class TrackSegments(StatefulProcessor):
         pass
 
 
-def set_timer(handle: StatefulProcessorHandle, ms: int) -> None:
-    """The key's only timer."""
-    for timer in list(handle.listTimers()):
-        handle.deleteTimer(timer)
+def move_timer(handle: StatefulProcessorHandle, old_ms: int | None, ms: int) -> None:
+    """Put off a key's only timer; the state tells when it was due, so that timers need not be listed."""
+    if old_ms is not None:
+        handle.deleteTimer(old_ms)
     handle.registerTimer(ms)
 
 
@@ -90,14 +90,14 @@ class RunningEffort(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "seq int, lng double, lat double, ele double, km double, climb double")
+        self.sums = handle.getValueState("sums", "seq int, lng double, lat double, ele double, km double, climb double, due bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = _ordered(rows)
         seq, lng, lat, ele = (pdf[c].to_numpy() for c in ("seq", "lng", "lat", "ele"))
         km = climb = 0.0
-        if self.sums.exists():
-            s = self.sums.get()
+        s = self.sums.get()
+        if s is not None:
             keep = seq > s[0]
             seq, lng, lat, ele = seq[keep], lng[keep], lat[keep], ele[keep]
             lng, lat, ele = np.r_[s[1], lng], np.r_[s[2], lat], np.r_[s[3], ele]
@@ -106,8 +106,9 @@ class RunningEffort(StatefulProcessor):
             return
         km += float(steps_km(lng, lat).sum())
         climb += float(np.maximum(np.diff(ele), 0).sum())
-        set_timer(self.handle, int(pdf.ts.max().value // 1_000_000) + self.forget_ms)
-        self.sums.update((int(seq[-1]), float(lng[-1]), float(lat[-1]), float(ele[-1]), km, climb))
+        due = int(pdf.ts.max().value // 1_000_000) + self.forget_ms
+        move_timer(self.handle, None if s is None else s[6], due)
+        self.sums.update((int(seq[-1]), float(lng[-1]), float(lat[-1]), float(ele[-1]), km, climb, due))
         row = (key[0], int(seq[-1]), km, climb, km + CLIMB_WEIGHT * climb)
         yield pd.DataFrame([row], columns=["track_id", "seq", "km", "climb_m", "effort"])
 
