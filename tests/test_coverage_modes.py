@@ -51,6 +51,6 @@ def test_batches_equal_expressions(spark, monkeypatch):
 def test_two_modes_meet_the_cells_once(spark):
     folder = "/root/testdata/sf0.001"
     load()
-    for name in ("coverage_diff", "coverage_intersect"):
+    for name in ("coverage_diff", "coverage_except", "coverage_intersect"):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "cx" in plan, name
