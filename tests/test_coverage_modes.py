@@ -1,4 +1,4 @@
-"""Several coverage modes in one pass: NumPy tests over batches against the expressions of one row."""
+"""Several coverage modes in one pass, and borders: NumPy tests over batches against the expressions of one row."""
 
 import random
 
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from suite import load
 from suite.registry import QUERIES
 from trackspark.functions import edge_batches
+from trackspark.functions.geo import METERS_PER_DEG
 from trackspark.functions.polygons import TOUCH, blocked_sql, gaps_sql
-from trackspark.operators import coverage
+from trackspark.operators import adjacency, coverage
 
 from test_area_cells import wavy
 from test_areas import frames, square, track
@@ -54,3 +55,29 @@ def test_two_modes_meet_the_cells_once(spark):
     for name in ("coverage_diff", "coverage_except", "coverage_intersect"):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "cx" in plan, name
+
+
+def test_fraction_of_asked_areas_only(spark):
+    """The share along visited areas, asked for some areas, equals that of all; borders equal the expressions of one row."""
+    step = 0.02
+    shapes = {i: [[square(15.0 + step * (i % 4), 50.0 + step * (i // 4), step / 2)]] for i in range(12)}
+    shapes[12] = [[wavy(30, 0.03, 4, 0.3, 15.03, 50.02)]]
+    index = adjacency.neighbor_index(*frames(spark, shapes))
+    adj, per = adjacency.adjacency(index), adjacency.perimeters(index)
+    visits = spark.createDataFrame([(u, (u * 5 + k * 3) % 13) for u in (1, 2) for k in range(4)], "user_id long, area_id long").distinct()
+    asked = spark.createDataFrame([(1, 0), (1, 5), (1, 5), (2, 6), (2, 99), (3, 1)], "user_id long, area_id long")
+    rows = lambda df: {(r.user_id, r.area_id): round(r.fraction, 9) for r in df.collect()}
+    every, some = rows(adjacency.neighbor_fraction(adj, per, visits)), rows(adjacency.neighbor_fraction(adj, per, visits, asked))
+    wanted = {(r.user_id, r.area_id) for r in asked.collect()}
+    assert some and some == {k: f for k, f in every.items() if k in wanted}
+    got = {(r.area_id, r.nbr_id): r.shared_km for r in adj.collect()}
+    tol = adjacency.ADJACENCY_M / METERS_PER_DEG
+    seg = index.geoms.select(F.col("area_id").alias("own_id"), F.explode("edges").alias("b")).selectExpr("own_id", "b.ax AS x", "b.ay AS y", "b.bx - b.ax AS vx", "b.by - b.ay AS vy")
+    pairs = coverage.cell_pieces(seg, index.cell).join(index.cells, ["cx", "cy"]).where("own_id <> area_id").withColumn("_r", F.lit(tol))
+    pairs = pairs.withColumn("_g", F.expr(gaps_sql(blocked_sql("edges", "x", "y", "vx", "vy", "_r"), "t0", "t1")))
+    mid = "(g.lo + g.hi) / 2"
+    out = f"aggregate(filter(_g, g -> NOT {index.inside(f'(x + {mid} * vx)', f'(y + {mid} * vy)')}), 0D, (s, g) -> s + (g.hi - g.lo))"
+    km = pairs.withColumn("km", (F.expr(f"t1 - t0 - {out}")) * F.hypot("vx", "vy") * METERS_PER_DEG / 1000.0).where("km > 1e-9")
+    want = {(r.own_id, r.area_id): r.km for r in km.groupBy("own_id", "area_id").agg(F.sum("km").alias("km")).collect()}
+    assert set(got) == set(want) | {(b, a) for a, b in want}
+    assert all(abs(v - want.get(k, 0.0)) < 1e-9 for k, v in got.items())
