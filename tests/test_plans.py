@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trackspark.operators import tracks
+from trackspark.operators import adjacency, tracks
 from trackspark.plans import chunks, ranges
 from trackspark.plans.nearest import nearest
 
@@ -106,3 +106,16 @@ def test_segment_tiles_against_stepping(spark):
     cells = tracks.segment_tiles(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 14)
     for r in df.select("i", cells.alias("c")).collect():
         assert {(c.x, c.y) for c in r.c} == stepped(*segs[r.i])
+
+
+def _guess(df) -> int:
+    """Bytes the optimizer expects."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_rounds_do_not_inflate_the_guessed_size(spark):
+    n = 300
+    edges = spark.range(n - 1).selectExpr("1L AS user_id", "id AS area_id", "id + 1 AS nbr_id")
+    edges = edges.unionByName(edges.selectExpr("user_id", "nbr_id AS area_id", "area_id AS nbr_id"))
+    labels = adjacency.components(edges, spark.range(n).selectExpr("1L AS user_id", "id AS area_id"))
+    assert _guess(labels) < 1_000_000 and {(r.user_id, r.label) for r in labels.collect()} == {(1, 0)}
