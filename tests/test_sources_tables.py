@@ -106,3 +106,20 @@ def test_build_up_takes_near_and_rewarding_areas_first(spark):
     later = [got[1][a] for a in sorted(got[1])]
     assert later == sorted(later) and 0 not in got[1]
     assert set(got[2]) == {*range(30), 99} - {5} and got[2][99] > max(v for a, v in got[2].items() if a != 99)
+
+
+def test_build_up_makes_its_candidates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    plans = spark.createDataFrame([(1, 1e6, 15.0, 50.0, 15.2, 50.0)], "plan_id bigint, target double, start_lng double, start_lat double, end_lng double, end_lat double")
+    cands = spark.createDataFrame([(1, a, 15.0 + a / 100, 50.05, 1.0, 1.0 + a) for a in range(30)], "plan_id bigint, area_id bigint, lng double, lat double, reward double, dist_km double")
+    adj = spark.createDataFrame([(a, b, 1.0) for a in range(30) for b in (a - 1, a + 1) if 0 <= b < 30], "area_id bigint, nbr_id bigint, shared_km double")
+    per = spark.createDataFrame([(a, 10.0) for a in range(30)], "area_id bigint, perimeter_km double")
+    box = spark.createDataFrame([(15.0, 49.0, 25.0, 51.0)], "min_lng double, min_lat double, max_lng double, max_lat double")
+    got = selection.build_up(plans, cands.mapInArrow(count, cands.schema), adj, per, spark.createDataFrame([(1, 0)], "plan_id bigint, area_id bigint"), box)
+    assert got.count() == 29 and made.value == 30
