@@ -81,3 +81,20 @@ def test_fraction_of_asked_areas_only(spark):
     want = {(r.own_id, r.area_id): r.km for r in km.groupBy("own_id", "area_id").agg(F.sum("km").alias("km")).collect()}
     assert set(got) == set(want) | {(b, a) for a, b in want}
     assert all(abs(v - want.get(k, 0.0)) < 1e-9 for k, v in got.items())
+
+
+def test_segments_are_dealt_by_block_not_by_cell(spark, monkeypatch):
+    """A long segment is one row per block before the shuffle; blocks dealt in many parts give the same pairs."""
+    rng = random.Random(5)
+    shapes = {i: [[square(15.0 + 0.01 * (i % 8), 50.0 + 0.01 * (i // 8), 0.004)]] for i in range(64)}
+    index = coverage.area_index(*frames(spark, shapes))
+    points = track(spark, *[[(rng.uniform(14.98, 15.1), rng.uniform(49.98, 50.1)) for _ in range(30)] for _ in range(3)])
+    seg = coverage.track_segments(points, index).where("NOT lone")
+    by_block, by_cell = coverage.cell_pieces(seg, index.cell * coverage.BLOCK).count(), coverage.cell_pieces(seg, index.cell).count()
+    cells = index.cells.selectExpr("*", f"floor(cx / {coverage.BLOCK}) AS bx", f"floor(cy / {coverage.BLOCK}) AS by")
+    dealt = coverage.in_blocks(seg.select("track_id", "seq", "x", "y", "vx", "vy"), cells, coverage.crowded_blocks(points, cells, index), index.cell)
+    assert dealt.where("seq IS NOT NULL").count() == by_block and by_cell > 3 * by_block
+    whole = {tuple(r) for r in coverage.area_coverages(points, index, ("full", "credit")).collect()}
+    monkeypatch.setattr(coverage, "PART_SEGMENTS", 7)
+    monkeypatch.setattr(coverage, "PART_EDGES", 40)
+    assert len(whole) > 100 and {tuple(r) for r in coverage.area_coverages(points, index, ("full", "credit")).collect()} == whole
