@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from trackspark.operators import adjacency, tracks
+import trackspark.plans.nearest as module
 from trackspark.plans import chunks, ranges
 from trackspark.plans.nearest import nearest
 
@@ -119,3 +120,25 @@ def test_rounds_do_not_inflate_the_guessed_size(spark):
     edges = edges.unionByName(edges.selectExpr("user_id", "nbr_id AS area_id", "area_id AS nbr_id"))
     labels = adjacency.components(edges, spark.range(n).selectExpr("1L AS user_id", "id AS area_id"))
     assert _guess(labels) < 1_000_000 and {(r.user_id, r.label) for r in labels.collect()} == {(1, 0)}
+
+
+def test_groups_of_few_sites_are_joined_once(spark, monkeypatch):
+    """Only groups of many sites walk the cells; both ways find the same."""
+    rng = random.Random(8)
+    place = lambda: (rng.choice([0.1, rng.random()]), rng.random(), 0.0)
+    sites = spark.createDataFrame([(g, i, *place(), 0.0) for g, n in ((1, 20), (2, 400), (3, 1)) for i in range(n)], "g int, sid int, sx double, sy double, sz double, sr double")
+    queries = spark.createDataFrame([(g, i, *place()) for g in (1, 2, 3, 4) for i in range(30)], "g int, qid int, qx double, qy double, qz double")
+    metric = F.hypot(F.col("sx") - F.col("qx"), F.col("sy") - F.col("qy"))
+    searched, plain = [], module._searched
+    monkeypatch.setattr(module, "_searched", lambda q, s, *rest: searched.append((q.count(), s.count())) or plain(q, s, *rest))
+    for k in (1, 3):
+        pairs = {}
+        for q in queries.collect():
+            for s in sites.where(F.col("g") == q.g).collect() if q.qid == 0 else pairs[q.g, "s"]:
+                pairs.setdefault((q.g, "s"), []).append(s) if q.qid == 0 else None
+                pairs.setdefault((q.g, q.qid), []).append(((s.sx - q.qx) ** 2 + (s.sy - q.qy) ** 2, s.sid))
+            pairs.setdefault((q.g, "s"), [])
+        want = {(g, q, n + 1, sid) for (g, q), found in pairs.items() if q != "s" for n, (_, sid) in enumerate(sorted(found)[:k])}
+        out = nearest(queries, sites, metric, k, ["g"], root=1.0, slack=1e-9)
+        assert {(r.g, r.qid, r["rank"], r.sid) for r in out.collect()} == want
+    assert searched == [(30, 400)] * 2
